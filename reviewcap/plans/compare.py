@@ -1,0 +1,58 @@
+"""Local twin of the driver's correctness check: Spark result vs DuckDB oracle.
+
+Compares row count, column names and an order-insensitive hash of the
+values (columns sorted by name).  Used by tests; small results only.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import os
+
+import duckdb
+import pandas as pd
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def duckdb_conn(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return "NULL"
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "NULL"
+        return repr(v)
+    if hasattr(v, "isoformat"):
+        return v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
+    if isinstance(v, (list, tuple)):
+        return "[" + ",".join(_norm(x) for x in v) + "]"
+    return str(v)
+
+
+def frame_digest(pdf: pd.DataFrame) -> tuple[int, list[str], str]:
+    cols = sorted(pdf.columns)
+    rows = sorted("|".join(_norm(r[c]) for c in cols) for r in pdf[cols].astype(object).to_dict("records"))
+    h = hashlib.sha256("\n".join(rows).encode()).hexdigest()
+    return len(rows), cols, h
+
+
+def compare(spark_df, sql: str, sf_dir: str) -> dict:
+    s = spark_df.toPandas()
+    s = s.astype(object).where(pd.notna(s), None)
+    d = duckdb_conn(sf_dir).sql(sql).df()
+    d = d.astype(object).where(pd.notna(d), None)
+    sn, sc, sh = frame_digest(s)
+    dn, dc, dh = frame_digest(d)
+    return {"rows": (sn, dn), "cols_match": sc == dc, "cols": (sc, dc), "hash_match": sh == dh,
+            "spark": s, "oracle": d}

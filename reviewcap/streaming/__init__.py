@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysis is bounded: every input is a table read as of a date, and there
+is no watermark, late data or state anywhere in what is rebuilt here.  The
+batch operators take an explicit ``as_of`` (or a per-row as-of column), which
+is what a scheduled re-run needs.
+"""
