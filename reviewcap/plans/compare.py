@@ -40,19 +40,21 @@ def _norm(v):
     return str(v)
 
 
-def frame_digest(pdf: pd.DataFrame) -> tuple[int, list[str], str]:
-    cols = sorted(pdf.columns)
-    rows = sorted("|".join(_norm(r[c]) for c in cols) for r in pdf[cols].astype(object).to_dict("records"))
-    h = hashlib.sha256("\n".join(rows).encode()).hexdigest()
-    return len(rows), cols, h
+def digest(columns: list[str], rows: list[tuple]) -> tuple[int, list[str], str]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    cols = [columns[i] for i in order]
+    lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
+    h = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    return len(lines), cols, h
 
 
 def compare(spark_df, sql: str, sf_dir: str) -> dict:
-    s = spark_df.toPandas()
-    s = s.astype(object).where(pd.notna(s), None)
-    d = duckdb_conn(sf_dir).sql(sql).df()
-    d = d.astype(object).where(pd.notna(d), None)
-    sn, sc, sh = frame_digest(s)
-    dn, dc, dh = frame_digest(d)
+    s_rows = [tuple(r) for r in spark_df.collect()]
+    s_cols = list(spark_df.columns)
+    rel = duckdb_conn(sf_dir).sql(sql)
+    d_cols = list(rel.columns)
+    d_rows = rel.fetchall()
+    sn, sc, sh = digest(s_cols, s_rows)
+    dn, dc, dh = digest(d_cols, d_rows)
     return {"rows": (sn, dn), "cols_match": sc == dc, "cols": (sc, dc), "hash_match": sh == dh,
-            "spark": s, "oracle": d}
+            "spark": pd.DataFrame(s_rows, columns=s_cols), "oracle": pd.DataFrame(d_rows, columns=d_cols)}
