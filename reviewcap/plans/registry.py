@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from reviewcap.operators import cases as C
 from reviewcap.operators import loss as L
 from reviewcap.operators import precision as P
-from reviewcap.params import FIXTURE_LOSS, FIXTURE_PRECISION
-from reviewcap.sources import fixture_tables
+from reviewcap.operators import assignment as A
+from reviewcap.operators import scoring as S
+from reviewcap.params import DEFAULT_PLAN, FIXTURE_LOSS, FIXTURE_PRECISION
+from reviewcap.sources import fixture_customers, fixture_tables, published_rule_inputs, unit_portfolios
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +87,58 @@ def rule_precision_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return P.rule_precision_pruned(t.merchants, t.dd_case, t.case_state_change, FIXTURE_PRECISION)
 
 
+# --- PLAN: one planning unit per customer (FIXTURES.md "Many units") --------
+UNITS = ("unit",)
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    return unit_portfolios(fixture_customers(spark, sf))
+
+
+def _scored_units(spark: SparkSession, sf: str, precision_col: str) -> DataFrame:
+    with_loss = S.attach_loss(_units(spark, sf), rule_loss(spark, sf), DEFAULT_PLAN)
+    return S.priority_scores(with_loss, DEFAULT_PLAN, precision_col, UNITS)
+
+
+def current_state(spark: SparkSession, sf: str) -> DataFrame:
+    return S.current_state(_units(spark, sf), DEFAULT_PLAN, UNITS)
+
+
+def attach_loss(spark: SparkSession, sf: str) -> DataFrame:
+    out = S.attach_loss(_units(spark, sf), rule_loss(spark, sf), DEFAULT_PLAN)
+    return out.select("unit", "rule_name", "avg_fraud_volume_per_problematic_merchant",
+                      "monthly_avg_fraud_volume_per_problematic_merchant")
+
+
+def _priority(precision_col: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _scored_units(spark, sf, precision_col).select(
+            "unit", "rule_name", "loss_score", "precision_score", "volume_score", "priority_score")
+    return run
+
+
+def review_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The source's single-team plan: published inputs, loss measured on the tables."""
+    with_loss = S.attach_loss(published_rule_inputs(spark), rule_loss(spark, sf), DEFAULT_PLAN)
+    scored = S.priority_scores(with_loss, DEFAULT_PLAN)
+    return A.proposed_state_report(A.review_assignment(scored, DEFAULT_PLAN))
+
+
+def _assigned_units(spark: SparkSession, sf: str) -> DataFrame:
+    return A.review_assignment(_scored_units(spark, sf, "rule_precision_l3m"), DEFAULT_PLAN, UNITS)
+
+
+def review_assignment_by_unit(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned_units(spark, sf).select(
+        "unit", "rule_name", "current_review_type", "priority_score", "proposed_review_type",
+        "avg_cases_per_month", "avg_handling_time_minutes", "proposed_time_minutes", "proposed_time_hours")
+
+
+def capacity_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    summary = A.assignment_summary(_assigned_units(spark, sf), DEFAULT_PLAN, UNITS)
+    return A.capacity_comparison(current_state(spark, sf), summary, UNITS)
+
+
 QUERIES: dict[str, Query] = {
     "classify_contains": classify_contains,
     "classify_exact": classify_exact,
@@ -98,6 +152,13 @@ QUERIES: dict[str, Query] = {
     "request_payment_merchant_spine": request_payment_merchant_spine,
     "rule_precision": rule_precision,
     "rule_precision_pruned": rule_precision_pruned,
+    "current_state": current_state,
+    "attach_loss": attach_loss,
+    "priority_case": _priority("per_case_precision"),
+    "priority_l3m": _priority("rule_precision_l3m"),
+    "review_assignment": review_assignment,
+    "review_assignment_by_unit": review_assignment_by_unit,
+    "capacity_comparison": capacity_comparison,
 }
 
 
@@ -116,4 +177,11 @@ def oracle_queries() -> dict[str, str]:
         "request_payment_merchant_spine": O.spine_sql(),
         "rule_precision": O.rule_precision_sql(),
         "rule_precision_pruned": O.rule_precision_sql(),
+        "current_state": O.current_state_sql(),
+        "attach_loss": O.attach_loss_sql(),
+        "priority_case": O.priority_sql("per_case_precision"),
+        "priority_l3m": O.priority_sql("rule_precision_l3m"),
+        "review_assignment": O.review_assignment_sql(),
+        "review_assignment_by_unit": O.review_assignment_by_unit_sql(),
+        "capacity_comparison": O.capacity_comparison_sql(),
     }
