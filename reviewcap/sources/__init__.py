@@ -1,6 +1,6 @@
 """Inputs: warehouse tables, fixture views over the driver tables, planning inputs."""
 
-from reviewcap.sources.fixtures import fixture_customers, fixture_tables
+from reviewcap.sources.fixtures import fixture_customers, fixture_tables, fixture_views
 from reviewcap.sources.rule_inputs import published_rule_inputs, published_top5_loss, unit_portfolios
 from reviewcap.sources.schemas import assert_unique, conform, duplicate_keys, lower_columns
 from reviewcap.sources.tables import ReviewTables
@@ -12,6 +12,7 @@ __all__ = [
     "duplicate_keys",
     "fixture_customers",
     "fixture_tables",
+    "fixture_views",
     "lower_columns",
     "published_rule_inputs",
     "published_top5_loss",

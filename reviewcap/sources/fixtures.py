@@ -9,10 +9,13 @@ scale factor.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewcap.session import ensure_checkpoint_dir
 from reviewcap.sources.tables import ReviewTables
 
 MONEY = "decimal(18,2)"
@@ -131,7 +134,7 @@ def fixture_requests(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> ReviewTables:
+def fixture_views(spark: SparkSession, sf_dir: str) -> ReviewTables:
     """The five review tables as views over ``sf_dir`` (lazy; nothing runs here)."""
     lineitem = _read(spark, sf_dir, "lineitem")
     dd_case = fixture_dd_case(lineitem)
@@ -146,3 +149,77 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> ReviewTables:
 
 def fixture_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer")
+
+
+# Bump when a fixture definition changes, so stored copies are rebuilt.
+FIXTURE_VERSION = "1"
+_SOURCES = ("lineitem", "orders", "customer")
+_TABLES = ("dd_case", "case_state_change", "merchants", "payments", "requests")
+# Sort keys of the stored copies: time-ordered files give parquet row groups
+# tight min/max statistics, so the queries' time-window filters skip them.
+_SORT = {"dd_case": ("time_created",), "case_state_change": ("case_id",), "merchants": ("profile_id",),
+         "payments": ("attempt_time",), "requests": ("payment_request_id",)}
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _source_key(spark: SparkSession, sf_dir: str) -> str:
+    parts = [FIXTURE_VERSION, sf_dir.rstrip("/")]
+    for name in _SOURCES:
+        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        st = fs.getFileStatus(p)
+        parts.append(f"{name}:{st.getLen()}:{st.getModificationTime()}")
+        if st.isDirectory():
+            summary = fs.getContentSummary(p)
+            parts.append(f"{summary.getLength()}:{summary.getFileCount()}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+def _complete_copy(spark: SparkSession, root: str, name: str) -> str | None:
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return None
+    for st in fs.listStatus(p):
+        child = st.getPath()
+        if child.getName().startswith(name + "-") and fs.exists(
+                spark._jvm.org.apache.hadoop.fs.Path(child, "_SUCCESS")):
+            return child.toString()
+    return None
+
+
+def _store(spark: SparkSession, df: DataFrame, root: str, name: str) -> DataFrame:
+    path = _complete_copy(spark, root, name)
+    if path is None:
+        # A fresh directory per writer: a partial or concurrent write is never read.
+        path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+        df.sortWithinPartitions(*_SORT[name]).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> ReviewTables:
+    """The five review tables over ``sf_dir``, stored once as parquet in the shared folder.
+
+    In production these are stored warehouse tables; here they are derived
+    from the driver tables once per input (keyed by the source files and
+    FIXTURE_VERSION) and written under ``spark.checkpoint.dir``.  Later runs
+    read the stored copies, so every query starts from scanned tables, with
+    column pruning and filter pushdown into the files.  ``materialize=False``
+    returns the lazy views instead.
+    """
+    views = fixture_views(spark, sf_dir)
+    if not materialize:
+        return views
+    ckpt = ensure_checkpoint_dir(spark)
+    root = f"{ckpt.rstrip('/')}/reviewcap-fixtures/{_source_key(spark, sf_dir)}"
+    dd_case = _store(spark, views.dd_case, root, "dd_case")
+    return ReviewTables(
+        dd_case=dd_case,
+        case_state_change=_store(spark, fixture_case_state_change(dd_case), root, "case_state_change"),
+        merchants=_store(spark, views.merchants, root, "merchants"),
+        payments=_store(spark, views.payments, root, "payments"),
+        requests=_store(spark, views.requests, root, "requests"),
+    )
