@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewcap.operators import cases as C
+from reviewcap.operators import derive as D
 from reviewcap.operators import loss as L
 from reviewcap.operators import precision as P
 from reviewcap.operators import assignment as A
@@ -139,6 +140,29 @@ def capacity_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return A.capacity_comparison(current_state(spark, sf), summary, UNITS)
 
 
+# --- Derived inputs (X1-X5) --------------------------------------------------
+TREND_DATES = tuple(D.month_starts(FIXTURE_PRECISION.as_of, 6))
+
+
+def derived_rule_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    t = fixture_tables(spark, sf)
+    return D.derived_rule_inputs(spark, t.dd_case, t.case_state_change, t.merchants, FIXTURE_LOSS,
+                                 FIXTURE_PRECISION)
+
+
+def derived_review_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """End to end with no typed-in numbers except current review types (default Standard)."""
+    inputs = D.with_current_types(derived_rule_inputs(spark, sf), published_rule_inputs(spark))
+    with_loss = S.attach_loss(inputs, rule_loss(spark, sf), DEFAULT_PLAN)
+    scored = S.priority_scores(with_loss, DEFAULT_PLAN)
+    return A.proposed_state_report(A.review_assignment(scored, DEFAULT_PLAN))
+
+
+def rule_precision_trend(spark: SparkSession, sf: str) -> DataFrame:
+    t = fixture_tables(spark, sf)
+    return D.rule_precision_trend(t.merchants, t.dd_case, t.case_state_change, TREND_DATES, FIXTURE_PRECISION)
+
+
 QUERIES: dict[str, Query] = {
     "classify_contains": classify_contains,
     "classify_exact": classify_exact,
@@ -159,6 +183,9 @@ QUERIES: dict[str, Query] = {
     "review_assignment": review_assignment,
     "review_assignment_by_unit": review_assignment_by_unit,
     "capacity_comparison": capacity_comparison,
+    "derived_rule_inputs": derived_rule_inputs,
+    "derived_review_assignment": derived_review_assignment,
+    "rule_precision_trend": rule_precision_trend,
 }
 
 
@@ -184,4 +211,7 @@ def oracle_queries() -> dict[str, str]:
         "review_assignment": O.review_assignment_sql(),
         "review_assignment_by_unit": O.review_assignment_by_unit_sql(),
         "capacity_comparison": O.capacity_comparison_sql(),
+        "derived_rule_inputs": O.derived_rule_inputs_sql(),
+        "derived_review_assignment": O.derived_review_assignment_sql(),
+        "rule_precision_trend": O.rule_precision_trend_sql(TREND_DATES),
     }
