@@ -138,3 +138,13 @@ def priority_scores(with_loss: DataFrame, params: PlanParams, precision_col: str
     out = df.withColumns({"loss_score": loss_score, "precision_score": prec, "volume_score": volume,
                           "priority_score": score}).drop("_max_loss", "_effort", "_max_effort")
     return drop_unit(out) if not units else out
+
+
+def prioritisation_report(scored: DataFrame, precision_col: str | None = None,
+                          units: Sequence[str] = ()) -> DataFrame:
+    """Rules by descending priority (ties by name) with the inputs behind the score."""
+    precision_col = precision_col or "rule_precision_l3m"
+    return scored.select(*units, "rule_name", "monthly_avg_fraud_volume_per_problematic_merchant",
+                         "avg_cases_per_month", "avg_handling_time_minutes", precision_col,
+                         "current_review_type", "priority_score").orderBy(
+        *units, F.desc("priority_score"), "rule_name")
