@@ -126,3 +126,28 @@ def rule_precision_trend(merchants: DataFrame, dd_case: DataFrame, case_state_ch
     out = _precision_from(merchants.filter(merchant_filter(params)), cases,
                           params.with_(as_of="as_of", row_cap=0), catalog, ("as_of",))
     return out.filter(F.col("profiles_flagged_by_risk_rules") > 0)
+
+
+def rule_loss_trend(dd_case: DataFrame, merchants: DataFrame, payments: DataFrame,
+                    as_of_dates: Sequence[dt.date], params: LossParams,
+                    catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
+    """LOSS at each as-of date (the loss window has no upper bound, as in LOSS).
+
+    A case is copied to the dates whose window start it is not before (at
+    most |dates| copies); the first case, the range join and both aggregation
+    levels then run with the as-of date as one more grouping key.  Payments
+    keep the derived lower bound of the earliest window.
+    """
+    from reviewcap.operators.loss import MONEY_COLS, rule_loss_exact
+    from reviewcap.operators.cases import first_case_per_profile_rule
+
+    dates = F.array(*[F.lit(d) for d in as_of_dates])
+    m = params.window_months
+    cases = dd_case.withColumn("as_of", F.explode(F.filter(
+        dates, lambda d: F.col("time_created") >= F.add_months(d, -m))))
+    earliest = F.add_months(F.lit(min(as_of_dates)), -m)
+    pays = payments.filter(F.col("attempt_time") > earliest)
+    p = params.with_(as_of="as_of")
+    first = first_case_per_profile_rule(cases, p, catalog, ("as_of",))
+    exact = rule_loss_exact(first, merchants, pays, p, ("as_of",))
+    return exact.withColumns({c: F.col(c).cast("double") for c in MONEY_COLS})

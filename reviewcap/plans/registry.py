@@ -163,6 +163,11 @@ def rule_precision_trend(spark: SparkSession, sf: str) -> DataFrame:
     return D.rule_precision_trend(t.merchants, t.dd_case, t.case_state_change, TREND_DATES, FIXTURE_PRECISION)
 
 
+def rule_loss_trend(spark: SparkSession, sf: str) -> DataFrame:
+    t = fixture_tables(spark, sf)
+    return D.rule_loss_trend(t.dd_case, t.merchants, t.payments, TREND_DATES, FIXTURE_LOSS)
+
+
 QUERIES: dict[str, Query] = {
     "classify_contains": classify_contains,
     "classify_exact": classify_exact,
@@ -186,6 +191,7 @@ QUERIES: dict[str, Query] = {
     "derived_rule_inputs": derived_rule_inputs,
     "derived_review_assignment": derived_review_assignment,
     "rule_precision_trend": rule_precision_trend,
+    "rule_loss_trend": rule_loss_trend,
 }
 
 
@@ -214,4 +220,5 @@ def oracle_queries() -> dict[str, str]:
         "derived_rule_inputs": O.derived_rule_inputs_sql(),
         "derived_review_assignment": O.derived_review_assignment_sql(),
         "rule_precision_trend": O.rule_precision_trend_sql(TREND_DATES),
+        "rule_loss_trend": O.rule_loss_trend_sql(TREND_DATES),
     }
