@@ -197,7 +197,8 @@ def _store(spark: SparkSession, df: DataFrame, root: str, name: str) -> DataFram
         # A fresh directory per writer: a partial or concurrent write is never read.
         path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
         df.sortWithinPartitions(*_SORT[name]).write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    # The schema is known from the view: passing it skips the footer-inference job.
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> ReviewTables:
