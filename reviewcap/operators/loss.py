@@ -14,6 +14,7 @@ from reviewcap.operators.cases import first_case_per_profile_rule
 from reviewcap.params import LossParams, as_of_col
 
 MONEY = "decimal(18,2)"
+SALT_COL = "_salt"  # stored payment salt, see sources.layout
 
 
 def _zero():
@@ -30,12 +31,14 @@ def _payments(payments: DataFrame, params: LossParams) -> DataFrame:
     cond = F.col("successful_transaction_flag") == params.success_flag
     if params.as_of is None or isinstance(params.as_of, dt.date):
         cond = cond & (F.col("attempt_time") > F.add_months(as_of_col(params.as_of), -params.window_months))
+    stored_salt = [SALT_COL] if SALT_COL in payments.columns else []
     return payments.filter(cond).select(
         F.col("profile_id").alias("_pay_profile_id"),
         "card_attempt_id", "attempt_time",
         F.col("attempted_gbp_amount_gross").cast(MONEY).alias("attempted_gbp_amount_gross"),
         "fraud_flag",
         F.col("chargeback_amount_gbp").cast(MONEY).alias("chargeback_amount_gbp"),
+        *stored_salt,
     )
 
 
@@ -73,7 +76,10 @@ def matched_payments(first_cases: DataFrame, merchants: DataFrame, payments: Dat
 
     Inner, not outer, so AQE may split a hot profile on either side; with
     ``salt_buckets > 1`` each profile's payments are also spread over that
-    many join keys and the (small) case side is replicated to match.
+    many join keys and the (small) case side is replicated to match.  When
+    payments are stored with a ``_salt`` column (``sources.layout``), that
+    stored salt is used, so a table bucketed by (profile_id, _salt) is joined
+    without being shuffled.
     """
     windows = first_cases.join(
         merchants.filter(F.col("date_offboarded").isNotNull()).select("profile_id", "date_offboarded"),
@@ -82,9 +88,10 @@ def matched_payments(first_cases: DataFrame, merchants: DataFrame, payments: Dat
     extra: list[str] = []
     if params.salt_buckets > 1:
         n = params.salt_buckets
-        p = p.withColumn("_salt", F.pmod(F.xxhash64("card_attempt_id"), F.lit(n)))
-        windows = windows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-        extra = ["_salt"]
+        if SALT_COL not in p.columns:
+            p = p.withColumn(SALT_COL, F.pmod(F.xxhash64("card_attempt_id"), F.lit(n)))
+        windows = windows.withColumn(SALT_COL, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+        extra = [SALT_COL]
     j = windows.join(p, _range_cond(windows, p, extra), "inner")
     return j.select(*[windows[c] for c in first_cases.columns], "card_attempt_id",
                     "attempted_gbp_amount_gross", "fraud_flag", "chargeback_amount_gbp")

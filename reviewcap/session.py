@@ -31,6 +31,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
     conf["spark.driver.memory"] = os.environ.get("REVIEWCAP_DRIVER_MEMORY", "8g")
+    # Local catalog tables (sources.layout) go to a scratch warehouse, not the working directory.
+    conf["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="reviewcap-warehouse-")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
