@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from helpers import ACQ, AS_OF, BIN6, PF, WITHDRAWAL, cases, events, merchants, payments, rule_inputs, ts
