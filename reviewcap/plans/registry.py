@@ -24,6 +24,17 @@ from reviewcap.sources import fixture_customers, fixture_tables, published_rule_
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def portable(df: DataFrame, text: tuple[str, ...] = (), double: tuple[str, ...] = ()) -> DataFrame:
+    """Cast NULL-bearing dates / flags / ids to ISO text and nullable counts to double.
+
+    Only the registered outputs do this (the oracle casts the same columns), so
+    both engines' results hash alike however they are converted; the operators
+    keep their natural types.
+    """
+    return df.withColumns({**{c: F.col(c).cast("string") for c in text},
+                           **{c: F.col(c).cast("double") for c in double}})
+
+
 def classify_contains(spark: SparkSession, sf: str) -> DataFrame:
     return C.classify_contains_counts(fixture_tables(spark, sf).dd_case)
 
@@ -43,8 +54,8 @@ def post_case_payments(spark: SparkSession, sf: str) -> DataFrame:
     t = fixture_tables(spark, sf)
     first = C.first_case_per_profile_rule(t.dd_case, FIXTURE_LOSS)
     out = L.post_case_payments(first, t.merchants, t.payments, FIXTURE_LOSS)
-    return out.withColumns({c: F.col(c).cast("double")
-                            for c in ("attempted_gbp_amount_gross", "chargeback_amount_gbp")})
+    return portable(out, text=("card_attempt_id", "fraud_flag", "date_offboarded"),
+                    double=("attempted_gbp_amount_gross", "chargeback_amount_gbp"))
 
 
 def rule_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,15 +77,20 @@ def case_review_times(spark: SparkSession, sf: str) -> DataFrame:
     return C.case_review_times(t.dd_case, t.case_state_change, FIXTURE_PRECISION.case_types)
 
 
+TURNAROUND = ("minutes_created_to_assignment", "hours_created_to_assigned", "minutes_assigned_to_reviewed",
+              "hours_created_to_reviewed")
+
+
 def case_turnaround(spark: SparkSession, sf: str) -> DataFrame:
     t = fixture_tables(spark, sf)
-    return P.payfac_dd_cases(t.dd_case, t.case_state_change, FIXTURE_PRECISION)
+    return portable(P.payfac_dd_cases(t.dd_case, t.case_state_change, FIXTURE_PRECISION), double=TURNAROUND)
 
 
 def request_payment_merchant_spine(spark: SparkSession, sf: str) -> DataFrame:
     t = fixture_tables(spark, sf)
-    return P.spine_per_merchant(P.request_payment_merchant_spine(t.requests, t.payments, t.merchants,
-                                                                 FIXTURE_PRECISION))
+    return portable(P.spine_per_merchant(P.request_payment_merchant_spine(t.requests, t.payments, t.merchants,
+                                                                          FIXTURE_PRECISION)),
+                    text=("date_offboarded",))
 
 
 def rule_precision(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,12 +176,14 @@ def derived_review_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_precision_trend(spark: SparkSession, sf: str) -> DataFrame:
     t = fixture_tables(spark, sf)
-    return D.rule_precision_trend(t.merchants, t.dd_case, t.case_state_change, TREND_DATES, FIXTURE_PRECISION)
+    return portable(D.rule_precision_trend(t.merchants, t.dd_case, t.case_state_change, TREND_DATES,
+                                           FIXTURE_PRECISION), text=("as_of",))
 
 
 def rule_loss_trend(spark: SparkSession, sf: str) -> DataFrame:
     t = fixture_tables(spark, sf)
-    return D.rule_loss_trend(t.dd_case, t.merchants, t.payments, TREND_DATES, FIXTURE_LOSS)
+    return portable(D.rule_loss_trend(t.dd_case, t.merchants, t.payments, TREND_DATES, FIXTURE_LOSS),
+                    text=("as_of",))
 
 
 QUERIES: dict[str, Query] = {
