@@ -83,20 +83,28 @@ def current_state(rule_inputs: DataFrame, params: PlanParams, units: Sequence[st
     return drop_unit(out)
 
 
-def rounded_rule_loss(loss: DataFrame) -> DataFrame:
-    """(rule_group, avg) with the average rounded to 2 places, as the display does."""
-    return loss.select("rule_group", round2_half_even(F.col("avg_fraud_per_problematic_merchant"))
+def rounded_rule_loss(loss: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rule_group, avg) with the average rounded to 2 places, as the display does."""
+    return loss.select(*keys, "rule_group", round2_half_even(F.col("avg_fraud_per_problematic_merchant"))
                        .alias("_avg_loss"))
 
 
-def attach_loss(rule_inputs: DataFrame, loss: DataFrame, params: PlanParams) -> DataFrame:
+def attach_loss(rule_inputs: DataFrame, loss: DataFrame, params: PlanParams,
+                keys: Sequence[str] = ()) -> DataFrame:
     """Per rule, the average loss per problematic merchant (0.0 when absent) and /6.
 
-    ``loss`` holds one row per rule group of the catalog, so its size is
-    bounded by the catalog, not by the data: it is broadcast.
+    ``keys`` are planning-unit columns present on both sides when LOSS was
+    computed per unit (``rule_loss(..., by=keys)``).  Without keys the loss
+    table has one row per catalog rule group - its size is bounded by the
+    catalog, not by the data - and it is broadcast; with keys it grows with
+    the units and is left to the planner (AQE measures it).
     """
-    lk = rounded_rule_loss(loss)
-    j = rule_inputs.join(F.broadcast(lk), rule_inputs["rule_name"] == lk["rule_group"], "left").drop("rule_group")
+    lk = rounded_rule_loss(loss, keys).withColumnRenamed("rule_group", "_rule_group")
+    cond = rule_inputs["rule_name"] == lk["_rule_group"]
+    for k in keys:
+        cond = cond & (rule_inputs[k] == lk[k])
+    right = lk if keys else F.broadcast(lk)
+    j = rule_inputs.join(right, cond, "left").drop("_rule_group", *[lk[k] for k in keys])
     avg = F.coalesce(F.col("_avg_loss"), F.lit(0.0))
     return j.withColumns({
         "avg_fraud_volume_per_problematic_merchant": avg,

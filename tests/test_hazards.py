@@ -230,3 +230,14 @@ def test_h22_h23_h24_loss_lookup(spark):
            for r in S.attach_loss(ri, loss, DEFAULT_PLAN).collect()}
     assert got == {"Known": (100.0, 100.0 / 6), "Missing": (0.0, 0.0)}
     assert [r.rule_group for r in S.unplanned_loss_rules(ri, loss).collect()] == ["AbuserFlag"]
+
+
+def test_attach_loss_per_unit(spark):
+    ri = spark.createDataFrame([("t1", "A", 1.0, 1.0, 1, 10, "Standard"), ("t2", "A", 1.0, 1.0, 1, 10, "Standard")],
+                               "team string, rule_name string, rule_precision_l3m double, per_case_precision double, "
+                               "avg_cases_per_month int, avg_handling_time_minutes int, current_review_type string")
+    loss = spark.createDataFrame([("t1", "A", 60.0), ("t2", "A", 120.0)],
+                                 "team string, rule_group string, avg_fraud_per_problematic_merchant double")
+    got = {r.team: r.monthly_avg_fraud_volume_per_problematic_merchant
+           for r in S.attach_loss(ri, loss, DEFAULT_PLAN, keys=("team",)).collect()}
+    assert got == {"t1": 10.0, "t2": 20.0}
