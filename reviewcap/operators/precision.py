@@ -48,12 +48,33 @@ def request_payment_merchant_spine(requests: DataFrame, payments: DataFrame, mer
     return spine.filter(merchant_filter(params))
 
 
-def spine_per_merchant(spine: DataFrame) -> DataFrame:
-    """Spine rows, request rows and payment rows per merchant row."""
-    return spine.groupBy(*MERCHANT_COLS).agg(
-        F.count(F.lit(1)).alias("spine_rows"),
-        F.count("r_payment_request_id").alias("request_rows"),
-        F.count("card_attempt_id").alias("payment_rows"),
+def spine_per_merchant(requests: DataFrame, payments: DataFrame, merchants: DataFrame,
+                       params: PrecisionParams) -> DataFrame:
+    """Spine rows, request rows and payment rows per merchant row, without forming the spine.
+
+    Equal to grouping the filtered spine by merchant columns.  Requests are
+    matched to payments first (keyed by request id, not by merchant), the
+    pairs are counted per payment profile - partial aggregation collapses a
+    merchant with a third of all payments before any shuffle - and only then
+    attached to merchants.  A merchant with no payment is one spine row.
+    """
+    r = requests.select(F.col("payment_request_id").alias("r_payment_request_id"),
+                        F.col("psp_reference").alias("r_psp_reference"))
+    p = payments.select(F.col("payment_request_id").alias("p_payment_request_id"),
+                        F.col("psp_reference").alias("p_psp_reference"),
+                        F.col("profile_id").alias("p_profile_id"), "card_attempt_id")
+    # Requests without a payment cannot reach a merchant: a right join keeps what can.
+    rp = r.join(p, (F.col("r_payment_request_id") == F.col("p_payment_request_id"))
+                & (F.col("r_psp_reference") == F.col("p_psp_reference")), "right")
+    per_profile = rp.groupBy("p_profile_id").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("r_payment_request_id").alias("_req"),
+        F.count("card_attempt_id").alias("_pay"))
+    m = merchants.select(*MERCHANT_COLS).filter(merchant_filter(params))
+    j = m.join(per_profile, F.col("profile_id") == F.col("p_profile_id"), "left")
+    return j.groupBy(*MERCHANT_COLS).agg(
+        F.sum(F.coalesce(F.col("_rows"), F.lit(1))).cast("long").alias("spine_rows"),
+        F.sum(F.coalesce(F.col("_req"), F.lit(0))).cast("long").alias("request_rows"),
+        F.sum(F.coalesce(F.col("_pay"), F.lit(0))).cast("long").alias("payment_rows"),
     )
 
 
@@ -124,11 +145,10 @@ def rule_precision(requests: DataFrame, payments: DataFrame, merchants: DataFram
     """D6 over the source's join graph: the request/payment/merchant spine, then cases.
 
     The spine only repeats merchant rows and every output is a distinct
-    count, so the spine is reduced to distinct merchant rows before cases are
-    attached: no payments x cases pairs are ever formed.
+    count, so the spine is reduced to its merchant rows (``spine_per_merchant``)
+    before cases are attached: no payments x cases pairs are ever formed.
     """
-    spine = request_payment_merchant_spine(requests, payments, merchants, params)
-    merchant_rows = spine.select(*MERCHANT_COLS).distinct()
+    merchant_rows = spine_per_merchant(requests, payments, merchants, params).select(*MERCHANT_COLS)
     cases = payfac_dd_cases(dd_case, case_state_change, params)
     return _precision_from(merchant_rows, cases, params, catalog, ())
 

@@ -88,8 +88,7 @@ def case_turnaround(spark: SparkSession, sf: str) -> DataFrame:
 
 def request_payment_merchant_spine(spark: SparkSession, sf: str) -> DataFrame:
     t = fixture_tables(spark, sf)
-    return portable(P.spine_per_merchant(P.request_payment_merchant_spine(t.requests, t.payments, t.merchants,
-                                                                          FIXTURE_PRECISION)),
+    return portable(P.spine_per_merchant(t.requests, t.payments, t.merchants, FIXTURE_PRECISION),
                     text=("date_offboarded",))
 
 

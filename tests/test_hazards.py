@@ -241,3 +241,22 @@ def test_attach_loss_per_unit(spark):
     got = {r.team: r.monthly_avg_fraud_volume_per_problematic_merchant
            for r in S.attach_loss(ri, loss, DEFAULT_PLAN, keys=("team",)).collect()}
     assert got == {"t1": 10.0, "t2": 20.0}
+
+
+def test_spine_counts_equal_literal_spine(spark):
+    from helpers import requests as reqs
+    m = merchants(spark, [("1", None, None, None, "ONBOARDED"), ("1", None, None, None, "ONBOARDED"),
+                          ("2", None, None, None, "OFFBOARDED"), (None, None, None, None, "ONBOARDED"),
+                          ("3", None, None, None, "PENDING")])
+    p = payments(spark, [(1, "1", ts(2000, 1, 1), 1.0, None, None, "success"),
+                         (2, "1", ts(2000, 1, 2), 1.0, None, None, "success"),
+                         (3, None, ts(2000, 1, 3), 1.0, None, None, "success"),
+                         (4, "3", ts(2000, 1, 3), 1.0, None, None, "success")])
+    r = reqs(spark, [(1, "p"), (1, "p"), (2, "x"), (9, "p")])
+    params = PrecisionParams(as_of=AS_OF, excluded_profiles=())
+    lit = P.request_payment_merchant_spine(r, p, m, params).groupBy(*P.MERCHANT_COLS).agg(
+        F.count(F.lit(1)).alias("spine_rows"), F.count("r_payment_request_id").alias("request_rows"),
+        F.count("card_attempt_id").alias("payment_rows"))
+    got = sorted(map(tuple, P.spine_per_merchant(r, p, m, params).collect()), key=str)
+    assert got == sorted(map(tuple, lit.collect()), key=str)
+    assert {(x[0], x[5]) for x in got} == {("1", 6), ("2", 1), (None, 1)}
