@@ -52,3 +52,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def cluster_conf(total_cores: int, largest_shuffle_tb: float = 100.0) -> dict[str, str]:
+    """Settings to pass at submit time on a cluster (the library sets none itself).
+
+    Shuffle partitions are sized so the largest shuffle's partitions are about
+    256 MB before AQE coalesces small ones (and never fewer than 3 waves of
+    tasks); skew splitting starts at 4x the median and 512 MB.
+    """
+    target = int(largest_shuffle_tb * 1024 * 1024 / 256)  # 256 MB partitions
+    parts = max(3 * total_cores, target)
+    return {
+        **BASE_CONF,
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64MB",
+        "spark.sql.files.maxPartitionBytes": "256MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512MB",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",  # broadcast only after measuring (AQE)
+    }
