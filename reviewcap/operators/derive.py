@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reviewcap.catalog import DEFAULT_CATALOG, RuleCatalog
 from reviewcap.functions import classify_contains, half_open_window, not_equal_keep_null, pct_half_up
-from reviewcap.operators.precision import _precision_from, merchant_filter, payfac_dd_cases, rule_precision_pruned
+from reviewcap.operators.precision import _precision_from, merchant_filter, payfac_dd_cases
 from reviewcap.params import LossParams, PrecisionParams, as_of_col
 
 
@@ -55,7 +55,10 @@ def derived_rule_inputs(spark: SparkSession, dd_case: DataFrame, case_state_chan
     """
     lo = as_of_col(loss_params.as_of)
     po = as_of_col(precision_params.as_of)
-    times = payfac_dd_cases(dd_case, case_state_change, precision_params.with_(case_types=(loss_params.case_type,)))
+    # One pass over the event log feeds both the per-rule metrics and PRECISION:
+    # the per-case table is checkpointed to the shared folder (eager) and read twice.
+    cases = payfac_dd_cases(dd_case, case_state_change, precision_params).checkpoint()
+    times = cases.filter(F.col("case_type") == loss_params.case_type)
     rule = classify_contains(F.col("rule_triggered"), catalog).alias("rule_name")
     in_loss_window = half_open_window(F.col("time_created"), lo, loss_params.window_months)
     mins = F.col("minutes_assigned_to_reviewed")
@@ -71,7 +74,8 @@ def derived_rule_inputs(spark: SparkSession, dd_case: DataFrame, case_state_chan
                     F.count(F.when(F.col("_w"), F.col("_m"))).alias("_min_n"),
                     F.count_if(F.col("_r")).alias("reviewed_cases"),
                     F.count_if(F.col("_r") & (F.col("_acted") == 1)).alias("actioned_cases")))
-    prec = (rule_precision_pruned(merchants, dd_case, case_state_change, precision_params, catalog)
+    prec = (_precision_from(merchants.filter(merchant_filter(precision_params)), cases, precision_params,
+                            catalog, ())
             .select(F.col("rule_group").alias("precision_label"), "precision_l3m"))
     bridge = F.broadcast(bridge_frame(spark, catalog))  # |catalog| + 1 rows
     z = F.lit(0).cast("long")
