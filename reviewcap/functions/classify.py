@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reviewcap.catalog import DEFAULT_CATALOG, RuleCatalog
 
 
+def longest_literal(pattern: str) -> str:
+    """The longest run of a LIKE pattern without wildcards (any match contains it)."""
+    return max(re.split(r"[%_]", pattern), key=len)
+
+
+def like_guarded(up: Column, pattern: str) -> Column:
+    """``up LIKE pattern``, evaluated only where the pattern's longest literal occurs.
+
+    Patterns with ``_`` stay regex matches in Spark (no LIKE simplification);
+    the ``contains`` guard is a plain substring search and ``AND`` short-
+    circuits, so most rows never reach the regex.  Same truth value.
+    """
+    lit = longest_literal(pattern)
+    like = up.like(pattern)
+    return up.contains(lit) & like if lit else like
+
+
 def classify_contains(text: Column, catalog: RuleCatalog = DEFAULT_CATALOG) -> Column:
     """LOSS mode: ``upper(text) LIKE upper(pattern)``, in catalog order, else the fallback.
 
@@ -17,7 +36,7 @@ def classify_contains(text: Column, catalog: RuleCatalog = DEFAULT_CATALOG) -> C
     up = F.upper(text)
     expr = None
     for rule in catalog.rules:
-        cond = up.like(rule.like_pattern.upper())
+        cond = like_guarded(up, rule.like_pattern.upper())
         expr = F.when(cond, F.lit(rule.loss_label)) if expr is None else expr.when(cond, F.lit(rule.loss_label))
     return expr.otherwise(F.lit(catalog.loss_else))
 

@@ -91,3 +91,32 @@ def test_many_units_fixture_counts(spark):
     upgrades = (asg.filter(F.col("proposed_review_type") != "Light").groupBy("unit")
                 .agg(F.array_sort(F.collect_list("rule_name")).alias("s")))
     assert upgrades.select("s").distinct().count() == 111
+
+
+def test_guarded_like_equals_plain_like(spark):
+    from reviewcap.catalog import DEFAULT_CATALOG
+    from reviewcap.functions.classify import like_guarded
+    rng = random.Random(3)
+    base = [s for r in DEFAULT_CATALOG.rules for s in r.exact_strings]
+    texts = [None, "", "Amount over limit"]
+    for _ in range(3000):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):  # mutate: replace, drop or insert a character
+            i = rng.randrange(len(t))
+            op = rng.random()
+            if op < 0.4:
+                t[i] = rng.choice("_xO- ")
+            elif op < 0.7:
+                del t[i]
+            else:
+                t.insert(i, rng.choice("ab_%"))
+        s = "".join(t)
+        texts.append(rng.choice([s, "pre " + s, s + " post", s.lower()]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, m string")
+    up = F.upper(F.col("m"))
+    cols = []
+    for k, r in enumerate(DEFAULT_CATALOG.rules):
+        p = r.like_pattern.upper()
+        cols.append((like_guarded(up, p).eqNullSafe(up.like(p))).alias(f"c{k}"))
+    row = df.select(*[F.min(c.cast("int")).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+    assert all(v == 1 for v in row)
