@@ -53,14 +53,51 @@ def _range_cond(left: DataFrame, right: DataFrame, extra_keys: Sequence[str] = (
 
 def post_case_payments(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
                        params: LossParams) -> DataFrame:
-    """J1 + J2 as written: first cases LEFT JOIN merchants LEFT JOIN payments (range condition).
+    """J1 + J2: first cases LEFT JOIN merchants LEFT JOIN payments (range condition).
 
     One row per (first case, matching payment); first cases with no payment
     keep one row with NULL payment columns.  The payment upper bound comes
     from the merchant join, so never-offboarded merchants match nothing.
+
+    Written as the inner range join (AQE can split a hot merchant's payments;
+    ``salt_buckets`` salts it) plus the left rows that matched nothing, found
+    with an anti join against the distinct matched keys - never an outer
+    join whose skewed payment side could not be split.  Same rows as the
+    literal left joins (tested against them and the oracle).
     """
     m = merchants.select("profile_id", "date_offboarded")
     left = first_cases.join(m, "profile_id", "left")
+    keys = [c for c in left.columns]
+    p = _payments(payments, params)
+    extra: list[str] = []
+    lj, pj = left, p
+    if params.salt_buckets > 1:
+        n = params.salt_buckets
+        if SALT_COL not in pj.columns:
+            pj = pj.withColumn(SALT_COL, F.pmod(F.xxhash64("card_attempt_id"), F.lit(n)))
+        lj = lj.withColumn(SALT_COL, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+        extra = [SALT_COL]
+    pay_cols = ["card_attempt_id", "attempted_gbp_amount_gross", "fraud_flag", "chargeback_amount_gbp"]
+    matched = lj.join(pj, _range_cond(lj, pj, extra), "inner").select(*[lj[c] for c in keys], *pay_cols)
+    hit = matched.select(*keys).distinct()
+    null_safe = None
+    for c in keys:
+        eq = left[c].eqNullSafe(hit[c])
+        null_safe = eq if null_safe is None else null_safe & eq
+    unmatched = left.join(hit, null_safe, "left_anti").select(
+        *keys, *[F.lit(None).cast(p.schema[c].dataType).alias(c) for c in pay_cols])
+    out = matched.unionByName(unmatched)
+    return out.select(
+        *[c for c in first_cases.columns if c not in ("profile_id", "created_time")],
+        "profile_id", *pay_cols, "date_offboarded",
+    )
+
+
+def post_case_payments_literal(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
+                               params: LossParams) -> DataFrame:
+    """J1 + J2 exactly as written (outer joins); the reference form for tests."""
+    m = merchants.select("profile_id", "date_offboarded")
+    left = first_cases.join(m, "profile_id", "left")
     p = _payments(payments, params)
     j = left.join(p, _range_cond(left, p), "left")
     return j.select(

@@ -96,13 +96,22 @@ def test_loss_literal_join_matches_and_salting(spark):
     salted = sorted(map(tuple, L.rule_loss(c, m, p, params.with_(salt_buckets=4)).collect()))
     assert base == salted
     from reviewcap.operators.cases import first_case_per_profile_rule
-    lit = L.post_case_payments(first_case_per_profile_rule(c, params), m, p, params)
+    first = first_case_per_profile_rule(c, params)
+    lit = L.post_case_payments_literal(first, m, p, params)
     assert lit.filter(F.col("card_attempt_id").isNotNull()).count() == 5
     assert lit.count() == 5 + 2  # B (no payment) and D (no merchant) keep one row each
+    for salt in (1, 3):
+        got = L.post_case_payments(first, m, p, params.with_(salt_buckets=salt))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, lit.collect()), key=str)
 
 
 def test_h21_duplicate_merchants_fan_out(spark):
     c, m, p = _loss_tables(spark, dup_merchant=True)
+    from reviewcap.operators.cases import first_case_per_profile_rule
+    first = first_case_per_profile_rule(c, LossParams(as_of=AS_OF))
+    lit = L.post_case_payments_literal(first, m, p, LossParams(as_of=AS_OF))
+    got = L.post_case_payments(first, m, p, LossParams(as_of=AS_OF))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, lit.collect()), key=str)
     rows = {r.rule_group: r for r in L.rule_loss(c, m, p, LossParams(as_of=AS_OF)).collect()}
     assert rows["Bin6AttemptedVolumeSpike"].total_payments == 6
     assert rows["Bin6AttemptedVolumeSpike"].unique_merchants == 2
