@@ -37,3 +37,25 @@ def test_precision_has_no_count_distinct_expand(spark):
     for name in ("rule_precision_pruned", "rule_loss"):
         plan = plan_of(E.queries()[name](spark, SF001))
         assert "Expand" not in plan, name
+
+
+def _nodes(node, out):
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _nodes(node.executedPlan(), out)
+    if name.endswith("QueryStage"):
+        return _nodes(node.plan(), out)
+    out.append((name, node))
+    kids = node.children()
+    for i in range(kids.size()):
+        _nodes(kids.apply(i), out)
+    return out
+
+
+@pytest.mark.parametrize("name", ["priority_case", "priority_l3m", "review_assignment",
+                                  "review_assignment_by_unit", "capacity_comparison", "derived_review_assignment"])
+def test_windows_are_partitioned(spark, name):
+    df = E.queries()[name](spark, SF001)
+    windows = [node for n, node in _nodes(df._jdf.queryExecution().executedPlan(), []) if n == "Window"]
+    assert windows, name
+    assert all(w.partitionSpec().size() > 0 for w in windows), name
