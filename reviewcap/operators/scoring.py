@@ -128,11 +128,17 @@ def priority_scores(with_loss: DataFrame, params: PlanParams, precision_col: str
     """
     precision_col = precision_col or params.precision_col
     df, keys = unit_keys(with_loss, units)
-    w = Window.partitionBy(*keys)
     monthly = F.col("monthly_avg_fraud_volume_per_problematic_merchant")
     effort = (F.col("avg_cases_per_month").cast("long") * F.col("avg_handling_time_minutes").cast("long"))
-    df = df.withColumns({"_max_loss": F.max(monthly).over(w), "_effort": effort,
-                         "_max_effort": F.max(effort).over(w)})
+    if units:
+        # per-unit maxima: a window on the unit, whose shuffle the assignment fold reuses
+        w = Window.partitionBy(*keys)
+        max_loss, max_effort = F.max(monthly).over(w), F.max(effort).over(w)
+    else:
+        # one unit: the maxima are one-row aggregates (scalar subqueries), not a single-partition window
+        max_loss = with_loss.select(F.max(monthly)).scalar()
+        max_effort = with_loss.select(F.max(effort)).scalar()
+    df = df.withColumns({"_max_loss": max_loss, "_effort": effort, "_max_effort": max_effort})
     loss_score = F.when(F.col("_max_loss") > 0,
                         F.least((monthly / F.col("_max_loss")) * F.lit(100.0), F.lit(100.0))).otherwise(F.lit(0.0))
     prec = F.col(precision_col).cast("double")
