@@ -135,9 +135,9 @@ def priority_scores(with_loss: DataFrame, params: PlanParams, precision_col: str
         w = Window.partitionBy(*keys)
         max_loss, max_effort = F.max(monthly).over(w), F.max(effort).over(w)
     else:
-        # one unit: the maxima are one-row aggregates (scalar subqueries), not a single-partition window
-        max_loss = with_loss.select(F.max(monthly)).scalar()
-        max_effort = with_loss.select(F.max(effort)).scalar()
+        # one unit: the maxima are one one-row aggregate (a scalar subquery), not a single-partition window
+        maxima = with_loss.select(F.struct(F.max(monthly).alias("l"), F.max(effort).alias("e"))).scalar()
+        max_loss, max_effort = maxima.getField("l"), maxima.getField("e")
     df = df.withColumns({"_max_loss": max_loss, "_effort": effort, "_max_effort": max_effort})
     loss_score = F.when(F.col("_max_loss") > 0,
                         F.least((monthly / F.col("_max_loss")) * F.lit(100.0), F.lit(100.0))).otherwise(F.lit(0.0))
