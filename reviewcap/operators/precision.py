@@ -30,11 +30,12 @@ def merchant_filter(params: PrecisionParams):
 
 
 def request_payment_merchant_spine(requests: DataFrame, payments: DataFrame, merchants: DataFrame,
-                                   params: PrecisionParams) -> DataFrame:
+                                   params: PrecisionParams, apply_filter: bool = True) -> DataFrame:
     """J4 + J5 + P11 + P12 as written: requests FULL JOIN payments FULL JOIN merchants, filtered.
 
     Catalyst turns both full joins into right joins because the filter
-    rejects rows without a merchant.  Row level; callers aggregate.
+    rejects rows without a merchant.  Row level; callers aggregate
+    (``spine_per_merchant`` gives the per-merchant counts without forming it).
     """
     r = requests.select(F.col("payment_request_id").alias("r_payment_request_id"),
                         F.col("psp_reference").alias("r_psp_reference"))
@@ -45,7 +46,7 @@ def request_payment_merchant_spine(requests: DataFrame, payments: DataFrame, mer
     rp = r.join(p, (F.col("r_payment_request_id") == F.col("p_payment_request_id"))
                 & (F.col("r_psp_reference") == F.col("p_psp_reference")), "full")
     spine = rp.join(m, F.col("profile_id") == F.col("p_profile_id"), "full")
-    return spine.filter(merchant_filter(params))
+    return spine.filter(merchant_filter(params)) if apply_filter else spine
 
 
 def spine_per_merchant(requests: DataFrame, payments: DataFrame, merchants: DataFrame,

@@ -131,3 +131,26 @@ def test_current_state_published(spark):
     assert round(r.reduction_needed_hours, 4) == 29.3208
     assert round(r.reduction_needed_pct, 3) == 28.106
     assert round(r.current_weekly_hours_with_overhead, 4) == 110.0423
+
+
+@pytest.mark.parametrize("sf,counts", [
+    ("/root/testdata/sf0.001", (4599, 13043, 150, 1500, 6000)),
+    ("/root/testdata/sf0.01", (45832, 129449, 1500, 15000, 60000)),
+])
+def test_fixture_row_counts(spark, sf, counts):
+    from reviewcap.sources import fixture_tables
+    t = fixture_tables(spark, sf)
+    got = tuple(df.count() for df in (t.dd_case, t.case_state_change, t.merchants, t.payments, t.requests))
+    assert got == counts
+
+
+def test_unfiltered_spine_counts_sf001(spark):
+    from pyspark.sql import functions as F
+    from reviewcap.operators.precision import request_payment_merchant_spine
+    from reviewcap.params import FIXTURE_PRECISION
+    from reviewcap.sources import fixture_tables
+    t = fixture_tables(spark, SF01)
+    spine = request_payment_merchant_spine(t.requests, t.payments, t.merchants, FIXTURE_PRECISION, apply_filter=False)
+    r = spine.agg(F.count(F.lit(1)).alias("n"), F.count("r_payment_request_id").alias("req"),
+                  F.count("card_attempt_id").alias("pay"), F.count("profile_id").alias("m")).collect()[0]
+    assert (r.n, r.req, r.pay, r.m) == (62706, 60000, 28407, 28407)
