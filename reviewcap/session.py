@@ -43,15 +43,25 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+_LOCAL_CHECKPOINT_ROOT: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests) make one."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``.
+
+    Read from the session; only when it is unset on a local master (tests)
+    is a scratch folder made (once per application).  It is registered with
+    ``setCheckpointDir`` so ``DataFrame.checkpoint()`` writes there; the
+    setting itself is a startup config and is never changed at run time.
+    """
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: point it at a folder every executor shares")
-        d = tempfile.mkdtemp(prefix="reviewcap-ckpt-")  # local tests only
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = _LOCAL_CHECKPOINT_ROOT.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="reviewcap-ckpt-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -55,3 +55,15 @@ def _path_to(t, table):
         if p:
             return [(name, text)] + p
     return None
+
+
+def test_fixture_tables_fall_back_to_views(spark, monkeypatch):
+    import reviewcap.sources.fixtures as fx
+
+    def boom(*a, **k):
+        raise PermissionError("no shared folder")
+
+    monkeypatch.setattr(fx, "_source_key", boom)
+    t = fx.fixture_tables(spark, SF001)
+    base = fx.fixture_views(spark, SF001)
+    assert t.dd_case.count() == base.dd_case.count() == 4599
