@@ -51,6 +51,17 @@ def _range_cond(left: DataFrame, right: DataFrame, extra_keys: Sequence[str] = (
     return cond
 
 
+def _salted(left: DataFrame, pay: DataFrame, params: LossParams) -> tuple[DataFrame, DataFrame, list[str]]:
+    """With ``salt_buckets`` S > 1: payments keep (or get) a salt in [0, S), the case side is copied S times."""
+    if params.salt_buckets <= 1:
+        return left, pay, []
+    n = params.salt_buckets
+    if SALT_COL not in pay.columns:
+        pay = pay.withColumn(SALT_COL, F.pmod(F.xxhash64("card_attempt_id"), F.lit(n)))
+    left = left.withColumn(SALT_COL, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+    return left, pay, [SALT_COL]
+
+
 def post_case_payments(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
                        params: LossParams) -> DataFrame:
     """J1 + J2: first cases LEFT JOIN merchants LEFT JOIN payments (range condition).
@@ -67,16 +78,9 @@ def post_case_payments(first_cases: DataFrame, merchants: DataFrame, payments: D
     """
     m = merchants.select("profile_id", "date_offboarded")
     left = first_cases.join(m, "profile_id", "left")
-    keys = [c for c in left.columns]
+    keys = list(left.columns)
     p = _payments(payments, params)
-    extra: list[str] = []
-    lj, pj = left, p
-    if params.salt_buckets > 1:
-        n = params.salt_buckets
-        if SALT_COL not in pj.columns:
-            pj = pj.withColumn(SALT_COL, F.pmod(F.xxhash64("card_attempt_id"), F.lit(n)))
-        lj = lj.withColumn(SALT_COL, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-        extra = [SALT_COL]
+    lj, pj, extra = _salted(left, p, params)
     pay_cols = ["card_attempt_id", "attempted_gbp_amount_gross", "fraud_flag", "chargeback_amount_gbp"]
     matched = lj.join(pj, _range_cond(lj, pj, extra), "inner").select(*[lj[c] for c in keys], *pay_cols)
     hit = matched.select(*keys).distinct()
@@ -121,14 +125,7 @@ def matched_payments(first_cases: DataFrame, merchants: DataFrame, payments: Dat
     windows = first_cases.join(
         merchants.filter(F.col("date_offboarded").isNotNull()).select("profile_id", "date_offboarded"),
         "profile_id")
-    p = _payments(payments, params)
-    extra: list[str] = []
-    if params.salt_buckets > 1:
-        n = params.salt_buckets
-        if SALT_COL not in p.columns:
-            p = p.withColumn(SALT_COL, F.pmod(F.xxhash64("card_attempt_id"), F.lit(n)))
-        windows = windows.withColumn(SALT_COL, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-        extra = [SALT_COL]
+    windows, p, extra = _salted(windows, _payments(payments, params), params)
     j = windows.join(p, _range_cond(windows, p, extra), "inner")
     return j.select(*[windows[c] for c in first_cases.columns], "card_attempt_id",
                     "attempted_gbp_amount_gross", "fraud_flag", "chargeback_amount_gbp")
