@@ -142,8 +142,9 @@ def capacity_comparison(current: DataFrame, summary: DataFrame, units: Sequence[
     """
     if units:
         j = current.join(summary, list(units))
-    else:  # one row each side: join on a constant key
-        j = current.withColumn("_k", F.lit(0)).join(summary.withColumn("_k", F.lit(0)), "_k")
+    else:  # one unit: the summary is one row, attached as a scalar subquery (no join at all)
+        row = summary.select(F.struct(*summary.columns).alias("s")).scalar()
+        j = current.select("*", *[row.getField(c).alias(c) for c in summary.columns])
     return j.select(
         *units,
         "current_weekly_hours", "current_weekly_hours_with_overhead", "final_weekly_hours",
