@@ -1,16 +1,16 @@
 """PLAN, part 1: current workload, attached loss, priority scores.
 
 Every function works per planning unit (``units`` columns); with no unit
-columns the whole input is one unit, as in the source analysis.  Per-unit
-maxima use a window partitioned by the unit, which the assignment's
-grouping by the same keys then reuses (one shuffle for the whole plan).
+columns the whole input is one unit, as in the source analysis.  Scores are
+computed inside each unit's collected row, so scoring and the assignment
+fold share one exchange on the unit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewcap.functions import round2_half_even
@@ -125,32 +125,42 @@ def priority_scores(with_loss: DataFrame, params: PlanParams, precision_col: str
     ``precision_col`` is ``per_case_precision`` (D12) or ``rule_precision_l3m``
     (D13, rounded to 2 places first); the default follows the source, whose
     second score replaces the first before planning.
+
+    The per-unit maxima (J9) are taken inside each unit's row: the unit's
+    rules (bounded by the catalog) are collected once, ``array_max`` gives the
+    maxima and ``transform`` scores every rule, then ``inline`` returns rows.
+    One aggregation per unit - the same hash exchange the assignment fold
+    uses - with no window (never a single-partition one) and no subquery
+    that would recompute the upstream LOSS.
     """
     precision_col = precision_col or params.precision_col
     df, keys = unit_keys(with_loss, units)
-    monthly = F.col("monthly_avg_fraud_volume_per_problematic_merchant")
-    effort = (F.col("avg_cases_per_month").cast("long") * F.col("avg_handling_time_minutes").cast("long"))
-    if units:
-        # per-unit maxima: a window on the unit, whose shuffle the assignment fold reuses
-        w = Window.partitionBy(*keys)
-        max_loss, max_effort = F.max(monthly).over(w), F.max(effort).over(w)
-    else:
-        # one unit: the maxima are one one-row aggregate (a scalar subquery), not a single-partition window
-        maxima = with_loss.select(F.struct(F.max(monthly).alias("l"), F.max(effort).alias("e"))).scalar()
-        max_loss, max_effort = maxima.getField("l"), maxima.getField("e")
-    df = df.withColumns({"_max_loss": max_loss, "_effort": effort, "_max_effort": max_effort})
-    loss_score = F.when(F.col("_max_loss") > 0,
-                        F.least((monthly / F.col("_max_loss")) * F.lit(100.0), F.lit(100.0))).otherwise(F.lit(0.0))
-    prec = F.col(precision_col).cast("double")
-    if precision_col == "rule_precision_l3m":
-        prec = round2_half_even(prec)
-    volume = F.when(F.col("_max_effort") > 0,
-                    (F.col("_effort").cast("double") / F.col("_max_effort").cast("double")) * F.lit(100.0)
-                    ).otherwise(F.lit(0.0))
-    wl, wp, wv = (float(x) for x in params.weights)
-    score = round2_half_even(loss_score * F.lit(wl) + prec * F.lit(wp) + volume * F.lit(wv))
-    out = df.withColumns({"loss_score": loss_score, "precision_score": prec, "volume_score": volume,
-                          "priority_score": score}).drop("_max_loss", "_effort", "_max_effort")
+    payload = [c for c in df.columns if c not in keys]
+
+    def monthly(x: Column) -> Column:
+        return x["monthly_avg_fraud_volume_per_problematic_merchant"]
+
+    def effort(x: Column) -> Column:
+        return x["avg_cases_per_month"].cast("long") * x["avg_handling_time_minutes"].cast("long")
+
+    g = df.groupBy(*keys).agg(F.collect_list(F.struct(*payload)).alias("_rules"))
+    g = g.withColumns({"_max_loss": F.array_max(F.transform("_rules", monthly)),
+                       "_max_effort": F.array_max(F.transform("_rules", effort))})
+    wl, wp, wv = (float(w) for w in params.weights)
+
+    def score(x: Column) -> Column:
+        loss_score = F.when(F.col("_max_loss") > 0, F.least(
+            (monthly(x) / F.col("_max_loss")) * F.lit(100.0), F.lit(100.0))).otherwise(F.lit(0.0))
+        prec = x[precision_col].cast("double")
+        if precision_col == "rule_precision_l3m":
+            prec = round2_half_even(prec)
+        volume = F.when(F.col("_max_effort") > 0, (effort(x).cast("double") / F.col("_max_effort").cast("double"))
+                        * F.lit(100.0)).otherwise(F.lit(0.0))
+        total = round2_half_even(loss_score * F.lit(wl) + prec * F.lit(wp) + volume * F.lit(wv))
+        return (x.withField("loss_score", loss_score).withField("precision_score", prec)
+                .withField("volume_score", volume).withField("priority_score", total))
+
+    out = g.select(*keys, F.inline(F.transform("_rules", score)))
     return drop_unit(out) if not units else out
 
 
