@@ -133,22 +133,34 @@ def assignment_summary(assigned: DataFrame, params: PlanParams, units: Sequence[
     return drop_unit(out)
 
 
-def capacity_comparison(current: DataFrame, summary: DataFrame, units: Sequence[str] = ()) -> DataFrame:
-    """Current vs proposed weekly hours per unit.
+def capacity_comparison(assigned: DataFrame, params: PlanParams, units: Sequence[str] = ()) -> DataFrame:
+    """Current vs proposed weekly hours per unit, in one aggregation of the assigned rules.
 
-    Hours saved are measured on the assignment formula (with the monthly
-    overhead) for both states; the current-state figure without overhead is
-    carried for reference.
+    The assigned rows still carry each rule's cases and handling time, so the
+    current state (D9, without the monthly overhead, and with it for a
+    like-for-like comparison) and the proposal (D20) come from the same pass:
+    no join of separately computed tables, nothing recomputed.
     """
-    if units:
-        j = current.join(summary, list(units))
-    else:  # one unit: the summary is one row, attached as a scalar subquery (no join at all)
-        row = summary.select(F.struct(*summary.columns).alias("s")).scalar()
-        j = current.select("*", *[row.getField(c).alias(c) for c in summary.columns])
-    return j.select(
-        *units,
-        "current_weekly_hours", "current_weekly_hours_with_overhead", "final_weekly_hours",
-        "budget_weekly_hours", "feasible",
-        (F.col("current_weekly_hours_with_overhead") - F.col("final_weekly_hours")).alias("hours_saved_weekly"),
-        (F.col("final_weekly_hours") - F.col("budget_weekly_hours")).alias("hours_over_budget"),
+    df, keys = unit_keys(assigned, units)
+    cur_minutes = F.col("avg_cases_per_month").cast("long") * F.col("avg_handling_time_minutes").cast("long")
+    cents = F.rint(cur_minutes.cast("double") / F.lit(60.0) * F.lit(100.0)).cast("long")
+    g = df.groupBy(*keys).agg(
+        F.sum(cents).alias("_cents"), F.sum(cur_minutes).alias("_cur_minutes"),
+        F.sum("proposed_time_minutes").alias("_final_minutes"),
+        F.min(budget_col(df, params)).alias("budget_weekly_hours"))
+    monthly = F.col("_cents").cast("double") / F.lit(100.0)
+    current = (monthly * F.lit(float(params.months_per_year)) / F.lit(float(params.weeks_per_year))
+               + F.lit(float(params.weekly_fixed_hours)))
+    current_oh = weekly_hours_with_overhead(F.col("_cur_minutes"), params)
+    final = weekly_hours_with_overhead(F.col("_final_minutes"), params)
+    out = g.select(
+        *keys,
+        current.alias("current_weekly_hours"),
+        current_oh.alias("current_weekly_hours_with_overhead"),
+        final.alias("final_weekly_hours"),
+        "budget_weekly_hours",
+        (final <= F.col("budget_weekly_hours")).alias("feasible"),
+        (current_oh - final).alias("hours_saved_weekly"),
+        (final - F.col("budget_weekly_hours")).alias("hours_over_budget"),
     )
+    return drop_unit(out)

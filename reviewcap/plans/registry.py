@@ -151,8 +151,7 @@ def review_assignment_by_unit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capacity_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    summary = A.assignment_summary(_assigned_units(spark, sf), DEFAULT_PLAN, UNITS)
-    return A.capacity_comparison(current_state(spark, sf), summary, UNITS)
+    return A.capacity_comparison(_assigned_units(spark, sf), DEFAULT_PLAN, UNITS)
 
 
 # --- Derived inputs (X1-X5) --------------------------------------------------

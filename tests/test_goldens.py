@@ -160,10 +160,11 @@ def test_capacity_comparison_single_team(spark):
     p = DEFAULT_PLAN
     ri = published_rule_inputs(spark)
     asg = A.review_assignment(S.priority_scores(S.attach_loss(ri, published_top5_loss(spark), p), p), p)
-    df = A.capacity_comparison(S.current_state(ri, p), A.assignment_summary(asg, p))
+    df = A.capacity_comparison(asg, p)
     r = df.collect()[0]
     assert round(r.current_weekly_hours_with_overhead, 4) == 110.0423
     assert round(r.final_weekly_hours, 4) == 74.9962 and r.feasible
     assert round(r.hours_saved_weekly, 4) == round(110.0423076923077 - 74.99615384615385, 4)
+    assert round(r.current_weekly_hours, 4) == 104.3208
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
