@@ -269,3 +269,15 @@ def test_spine_counts_equal_literal_spine(spark):
     got = sorted(map(tuple, P.spine_per_merchant(r, p, m, params).collect()), key=str)
     assert got == sorted(map(tuple, lit.collect()), key=str)
     assert {(x[0], x[5]) for x in got} == {("1", 6), ("2", 1), (None, 1)}
+
+
+def test_loss_by_team_equals_per_team_runs(spark):
+    c, m, p = _loss_tables(spark)
+    c = c.withColumn("team", (F.col("id") % 2).cast("int"))
+    params = LossParams(as_of=AS_OF)
+    by_team = {(r.team, r.rule_group): tuple(r)[2:] for r in L.rule_loss(c, m, p, params, by=("team",)).collect()}
+    single = {}
+    for team in (0, 1):
+        for r in L.rule_loss(c.filter(F.col("team") == team).drop("team"), m, p, params).collect():
+            single[(team, r.rule_group)] = tuple(r)[1:]
+    assert by_team == single
