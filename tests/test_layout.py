@@ -67,3 +67,17 @@ def test_fixture_tables_fall_back_to_views(spark, monkeypatch):
     t = fx.fixture_tables(spark, SF001)
     base = fx.fixture_views(spark, SF001)
     assert t.dd_case.count() == base.dd_case.count() == 4599
+
+
+def test_write_result_and_cluster_conf(spark, tmp_path):
+    from reviewcap.session import cluster_conf
+    from reviewcap.sources.sinks import preview, write_result
+    df = E.queries()["rule_loss"](spark, SF001)
+    out = str(tmp_path / "loss")
+    write_result(df, out, partition_by=("rule_group",))
+    back = spark.read.parquet(out)
+    assert back.count() == 18 and set(back.columns) == set(df.columns)
+    assert "rule_group" in preview(df, 3)
+    conf = cluster_conf(8000, largest_shuffle_tb=100)
+    assert int(conf["spark.sql.shuffle.partitions"]) >= 3 * 8000
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
