@@ -81,3 +81,26 @@ def test_write_result_and_cluster_conf(spark, tmp_path):
     conf = cluster_conf(8000, largest_shuffle_tb=100)
     assert int(conf["spark.sql.shuffle.partitions"]) >= 3 * 8000
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_readme_usage_from_paths(spark, tmp_path):
+    """The README's usage example, on parquet copies of the sf0.001 fixtures."""
+    import datetime as dt
+
+    from reviewcap.operators import assignment, loss, precision, scoring
+    from reviewcap.params import LossParams, PlanParams, PrecisionParams
+    from reviewcap.sources import ReviewTables, published_rule_inputs
+
+    f = fixture_tables(spark, SF001)
+    paths = {}
+    for n in ("dd_case", "case_state_change", "merchants", "payments", "requests"):
+        paths[n] = str(tmp_path / n)
+        getattr(f, n).write.parquet(paths[n])
+    t = ReviewTables.from_paths(spark, paths)
+    as_of = dt.date(2000, 7, 1)
+    by_rule = loss.rule_loss(t.dd_case, t.merchants, t.payments, LossParams(as_of=as_of))
+    prec = precision.rule_precision_pruned(t.merchants, t.dd_case, t.case_state_change, PrecisionParams(as_of=as_of))
+    pp = PlanParams(budget_weekly_hours=75)
+    scored = scoring.priority_scores(scoring.attach_loss(published_rule_inputs(spark), by_rule, pp), pp)
+    plan = assignment.review_assignment(scored, pp)
+    assert (by_rule.count(), prec.count(), plan.count()) == (18, 18, 17)
