@@ -65,16 +65,18 @@ def _event_pivot(case_state_change: DataFrame) -> DataFrame:
 
 
 def case_review_times(dd_case: DataFrame, case_state_change: DataFrame,
-                      case_types: Sequence[str] = (ACQUIRING, PAYFAC_DD)) -> DataFrame:
+                      case_types: Sequence[str] = (ACQUIRING, PAYFAC_DD),
+                      carry: Sequence[str] = ()) -> DataFrame:
     """Per case of the given types: its attributes plus the event-log pivot.
 
     The log is aggregated per case before the join (partial aggregation
     shrinks it map-side), then joined 1:1 to the filtered cases.  The final
     grouping by all case attributes keeps the source's semantics when a case
     id repeats; it reuses the join's case-id partitioning, so no extra shuffle.
-    Catalyst prunes pivot columns a caller does not use.
+    Catalyst prunes pivot columns a caller does not use.  ``carry`` adds
+    further case columns (e.g. a team key) as grouping keys.
     """
-    carried = [c for c in CASE_CARRIED if c in dd_case.columns]
+    carried = [c for c in CASE_CARRIED if c in dd_case.columns] + [c for c in carry if c not in CASE_CARRIED]
     cases = dd_case.filter(F.col("case_type").isin(list(case_types))).select(
         F.col("id").alias("case_id"),
         F.col("reference_id").alias("profile_id"),

@@ -17,9 +17,10 @@ MERCHANT_COLS = ("profile_id", "date_offboarded", "offboarding_reason", "deactiv
                  "profile_onboarding_status")
 
 
-def payfac_dd_cases(dd_case: DataFrame, case_state_change: DataFrame, params: PrecisionParams) -> DataFrame:
+def payfac_dd_cases(dd_case: DataFrame, case_state_change: DataFrame, params: PrecisionParams,
+                    carry: Sequence[str] = ()) -> DataFrame:
     """D4 + D5: review times and turnaround of the cases of the precision case types."""
-    return case_turnaround(case_review_times(dd_case, case_state_change, params.case_types))
+    return case_turnaround(case_review_times(dd_case, case_state_change, params.case_types, carry))
 
 
 def merchant_filter(params: PrecisionParams):
@@ -164,5 +165,5 @@ def rule_precision_pruned(merchants: DataFrame, dd_case: DataFrame, case_state_c
     case-side grouping keys (e.g. a per-row as-of date).
     """
     merchant_rows = merchants.filter(merchant_filter(params))
-    cases = payfac_dd_cases(dd_case, case_state_change, params)
+    cases = payfac_dd_cases(dd_case, case_state_change, params, carry=[c for c in by if c in dd_case.columns])
     return _precision_from(merchant_rows, cases, params, catalog, by)

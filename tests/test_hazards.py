@@ -281,3 +281,20 @@ def test_loss_by_team_equals_per_team_runs(spark):
         for r in L.rule_loss(c.filter(F.col("team") == team).drop("team"), m, p, params).collect():
             single[(team, r.rule_group)] = tuple(r)[1:]
     assert by_team == single
+
+
+def test_precision_by_team_equals_per_team_runs(spark):
+    c, e, m = _precision_tables(spark)
+    c = c.withColumn("team", (F.col("id") % 2).cast("int"))
+    params = PrecisionParams(as_of=AS_OF, excluded_profiles=("7",))
+
+    def nonzero(rows, key):
+        return {key(r): tuple(r)[-4:] for r in rows if any(tuple(r)[-4:-1])}
+
+    by_team = nonzero(P.rule_precision_pruned(m, c, e, params, by=("team",)).collect(),
+                      lambda r: (r.team, r.rule_group))
+    single = {}
+    for team in (0, 1):
+        rows = P.rule_precision_pruned(m, c.filter(F.col("team") == team).drop("team"), e, params).collect()
+        single.update(nonzero(rows, lambda r, t=team: (t, r.rule_group)))
+    assert by_team == single and by_team
