@@ -15,9 +15,13 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+
 # The library's own threads would take cores that Spark gives to other tasks.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -53,7 +57,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Whole texts to ids; ``kept`` bounds the dictionaries of parts and pre-tokens."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -123,3 +127,13 @@ def batches(texts: list[str], most_chars: int = 1_000_000):
         size += len(t)
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def encoded_batches(it: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text) to batches of (doc_id, ids): the ids of each whole text and the end id."""
+    end = struct.pack("<I", end_id)
+    for batch in it:
+        ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+        for s in batches(texts):
+            out = [b + end for b in encoder(path).encode(texts[s])]
+            yield pa.record_batch([ids.slice(s.start, s.stop - s.start), pa.array(out, pa.binary())], ["doc_id", "ids"])

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import ID_BYTES, batches, encoder
+from .bpe import ID_BYTES, encoded_batches
 from .common import col, stored
 
 MAX_BITS = 18
@@ -53,17 +53,8 @@ _HEAD = "<4sHHIIQIQ"
 
 def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, little-endian u32): the ids of each whole text and the end id."""
-    end = struct.pack("<I", end_id)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for s in batches(texts):
-                out = [b + end for b in encoder(path).encode(texts[s])]
-                yield pa.record_batch([ids.slice(s.start, s.stop - s.start), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(lambda it: encoded_batches(it, path, end_id), "doc_id long, ids binary")
 
 
 # ---- the code -------------------------------------------------------------

@@ -221,6 +221,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          F.when(single, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
+    lost = ngram_join(docs, id_col, text_col, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost_id")).distinct()
+    return docs.join(lost, col(id_col).cast("long") == F.col("_lost_id"), "left_anti")
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents

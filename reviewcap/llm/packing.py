@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import ID_BYTES
-from .common import stored
+from .bpe import ID_BYTES, encoded_batches
+from .common import col, stored
 
 PLAN_SCHEMA = "length int, q_from long, q_to long, cut int, take int, first_sequence long, offset int, copies int, drawn long"
 
@@ -117,39 +117,38 @@ def plan_windows(counts: dict[int, int], window: int) -> list[tuple]:
     return rows
 
 
-def cut_pieces(ids: DataFrame, window: int) -> DataFrame:
-    """The pieces of a table ``doc_id, ids``: full windows and a rest of each document.
+def cut_pieces(it: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, ids) to their pieces: full windows and a rest of each document.
 
-    ``nth`` numbers the pieces of one length within the task that cut them.
+    ``nth`` numbers the pieces of one length within the task that cuts them.
     """
     wide = window * ID_BYTES
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        task = TaskContext.get().partitionId()
-        for batch in it:
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc, ids_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for at in range(0, len(ids_), wide):
-                    piece = ids_[at:at + wide]
-                    n = len(piece) // ID_BYTES
-                    seen[n] = seen.get(n, -1) + 1
-                    for held, v in zip(rows, (doc, at // ID_BYTES, n, len(ids_) // ID_BYTES, seen[n], piece)):
-                        held.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array([task] * len(rows[0]), pa.int32()), *(pa.array(r, k) for r, k in zip(rows, kinds))],
-                                  ["task", "doc_id", "start", "length", "doc_tokens", "nth", "ids"])
-
-    return ids.select("doc_id", "ids").mapInArrow(run, "task int, doc_id long, start long, length int, doc_tokens long, nth long, ids binary")
-
-
-def pack(ids: DataFrame, window: int = 4096) -> DataFrame:
+    seen: dict[int, int] = {}
+    task = TaskContext.get().partitionId()
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    for batch in it:
+        rows = []
+        for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for at in range(0, len(ids), wide):
+                piece = ids[at:at + wide]
+                n = len(piece) // ID_BYTES
+                seen[n] = seen.get(n, -1) + 1
+                rows.append((task, doc, at // ID_BYTES, n, len(ids) // ID_BYTES, seen[n], piece))
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["task", "doc_id", "start", "length", "doc_tokens", "nth", "ids"])
+
+
+def pack(docs: DataFrame, path: str, end_id: int, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary u32) of every piece.
 
-    ``ids`` has ``doc_id, ids``; its pieces are stored once in the shared folder.
+    ``path``: the vocabulary file; ``end_id`` follows each document's ids.
+    The pieces are stored once, in the shared folder.
     """
-    spark = ids.sparkSession
-    pieces = stored(cut_pieces(ids, window), "pieces")
+    spark = docs.sparkSession
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    pieces = rows.mapInArrow(lambda it: cut_pieces(encoded_batches(it, path, end_id), window),
+                             "task int, doc_id long, start long, length int, doc_tokens long, nth long, ids binary")
+    pieces = stored(pieces, "pieces")
     by_task = pieces.groupBy("length", "task").agg((F.max("nth") + 1).alias("n"))
     by_task = stored(by_task, "piece-counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, huffman, packing, sharding, url_filter
+from . import bpe, chat, exact_dedup, fingerprints, huffman, ngram_join, packing, pieces, sharding, url_filter
 from .common import documents, stored
 
 
@@ -13,6 +13,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bpe.vocabulary_path("piece_bpe_32k.model")
+    encoded = pieces.encode_pieces(documents(spark, sf_dir), path)
+    return pieces.decode_pieces(encoded, path).select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                                                      "score", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
@@ -39,15 +46,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_token_files(huffman.write_token_files(ids)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edited(documents(spark, sf_dir))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = huffman.token_ids(documents(spark, sf_dir), bpe.vocabulary_path("word_bpe_49k.json"), end_id=2)
-    pieces = packing.pack(ids)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack(documents(spark, sf_dir), bpe.vocabulary_path("word_bpe_49k.json"), end_id=2)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_chat_format, op5_sharding, op6_url_filter, op7_token_files, op9_fingerprints, op10_packing)}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat.ORACLE, "op6_url_filter": url_filter.ORACLE}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_sentencepiece, op3_chat_format, op5_sharding, op6_url_filter, op7_token_files, op8_ngram_join, op9_fingerprints, op10_packing)}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_ngram_join": ngram_join.ORACLE}
