@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, huffman, ngram_join, packing, pieces, sharding, url_filter
+from . import bpe, chat, exact_dedup, fingerprints, huffman, language_id, ngram_join, packing, pieces, sharding, url_filter
 from .common import documents, stored
 
 
@@ -31,6 +31,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(documents(spark, sf_dir), language_id.page_evidence(documents(spark, sf_dir, "pages")))
+    return found.select("doc_id", "lang", "posterior", "text_lang", "declared", "kept")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.hilbert_shards(documents(spark, sf_dir), ["lang", "source", "n_chars"], 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
@@ -59,5 +64,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_sentencepiece, op3_chat_format, op5_sharding, op6_url_filter, op7_token_files, op8_ngram_join, op9_fingerprints, op10_packing)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_language_id, op5_sharding, op6_url_filter, op7_token_files, op8_ngram_join, op9_fingerprints, op10_packing)}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_ngram_join": ngram_join.ORACLE}
