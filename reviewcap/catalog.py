@@ -129,6 +129,24 @@ CATALOG_SCHEMA = T.StructType([
 ])
 
 
+def catalog_from_frame(df: DataFrame) -> RuleCatalog:
+    """The catalog that a table of ``CATALOG_SCHEMA`` holds (a parameter table: one row for each rule).
+
+    Rules are matched in the order of ``ordinal``; the one row without a
+    pattern names the fallback groups.  Fails on none or more of those, and on
+    an ordinal that occurs twice.
+    """
+    rows = sorted(df.select(*CATALOG_SCHEMA.names).collect(), key=lambda r: r["ordinal"])
+    if len({r["ordinal"] for r in rows}) < len(rows):
+        raise ValueError("an ordinal of the catalog occurs more than once")
+    rest = [r for r in rows if r["like_pattern"] is None]
+    if len(rest) != 1:
+        raise ValueError(f"the catalog needs one fallback row, not {len(rest)}")
+    rules = tuple(Rule(r["loss_label"], r["like_pattern"], tuple(r["exact_strings"] or ()), r["precision_label"])
+                  for r in rows if r["like_pattern"] is not None)
+    return RuleCatalog(rules, rest[0]["loss_label"], rest[0]["precision_label"])
+
+
 def catalog_frame(spark: SparkSession, catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
     """The catalog as a DataFrame (|rules| + 1 rows, the fallback row has no pattern)."""
     rows = [(i + 1, i + 1, r.like_pattern, list(r.exact_strings), r.loss_label, r.precision_label)

@@ -35,6 +35,12 @@ def review_level(t: Column) -> Column:
     return out
 
 
+def known_type(t: Column) -> Column:
+    """``t``, or an error for a review type that is not one of the three (NULL passes)."""
+    return F.when(t.isNull() | t.isin(*REVIEW_TYPES), t).otherwise(
+        F.raise_error(F.concat(F.lit("unknown review type: "), t)).cast("string"))
+
+
 def lock_type(rule_name: Column, params: PlanParams) -> Column:
     """The locked review type of a rule, or NULL (a literal map: locks are parameters)."""
     if not params.locks:
@@ -58,6 +64,7 @@ def review_assignment(scored: DataFrame, params: PlanParams, units: Sequence[str
     ``locked, proposed_review_type, proposed_time_minutes, proposed_time_hours``.
     """
     df, keys = unit_keys(scored, units)
+    df = df.withColumn("current_review_type", known_type(F.col("current_review_type")))
     cases, aht = F.col("avg_cases_per_month"), F.col("avg_handling_time_minutes")
     lock = lock_type(F.col("rule_name"), params)
     init_type = F.coalesce(lock, F.lit(LIGHT))
@@ -70,15 +77,15 @@ def review_assignment(scored: DataFrame, params: PlanParams, units: Sequence[str
         "_lock": lock,
     })
     payload = [c for c in df.columns if c not in keys]
-    item = F.struct((-F.col("priority_score")).alias("_neg_score"), F.col("rule_name").alias("_rule"),
+    # A rule without a score is visited last, as the source sorts missing scores last.
+    item = F.struct(F.col("priority_score").isNull().alias("_no_score"),
+                    (-F.col("priority_score")).alias("_neg_score"), F.col("rule_name").alias("_rule"),
                     *[F.col(c) for c in payload])
     per_unit = df.groupBy(*keys).agg(
         F.array_sort(F.collect_list(item)).alias("_items"),
         F.sum("_init_minutes").alias("_base"),
         F.min(budget_col(df, params)).alias("_budget"),
     )
-    items = F.when(F.size("_items") <= F.lit(params.max_rules_per_unit), F.col("_items")).otherwise(
-        F.raise_error(F.lit(f"more than {params.max_rules_per_unit} rules in one planning unit")))
     budget = F.col("_budget")
 
     def step(acc: Column, x: Column) -> Column:
@@ -88,11 +95,10 @@ def review_assignment(scored: DataFrame, params: PlanParams, units: Sequence[str
                         F.array_append(acc["ok"], ok).alias("ok"))
 
     init = F.struct(F.col("_base").cast("long").alias("tot"), F.array().cast("array<boolean>").alias("ok"))
-    folded = per_unit.select(*keys, items.alias("_items"),
-                             F.aggregate(items, init, step)["ok"].alias("_ok"))
+    folded = per_unit.select(*keys, "_items", F.aggregate("_items", init, step)["ok"].alias("_ok"))
     rows = folded.select(*keys, F.inline(F.transform(
         "_items", lambda x, i: F.struct(x.alias("r"), F.element_at(F.col("_ok"), i + 1).alias("_accepted")))))
-    rows = rows.select(*keys, "r.*", "_accepted").drop("_neg_score", "_rule")
+    rows = rows.select(*keys, "r.*", "_accepted").drop("_no_score", "_neg_score", "_rule")
     proposed = (F.when(F.col("_lock").isNotNull(), F.col("_lock"))
                 .when(F.col("_accepted"), F.col("current_review_type"))
                 .otherwise(F.lit(LIGHT)))

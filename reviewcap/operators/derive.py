@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewcap.catalog import DEFAULT_CATALOG, RuleCatalog
-from reviewcap.functions import classify_contains, half_open_window, not_equal_keep_null, pct_half_up
-from reviewcap.operators.precision import _precision_from, merchant_filter, payfac_dd_cases
+from reviewcap.functions import (classify_contains, classify_exact, half_open_window, not_equal_keep_null,
+                                 pct_half_up, upper_eq)
+from reviewcap.operators.cases import first_case_per_profile_rule
+from reviewcap.operators.loss import MONEY_COLS, loss_per_profile, loss_per_rule
+from reviewcap.operators.precision import _precision_from, case_flags, merchant_filter, payfac_dd_cases
 from reviewcap.params import LossParams, PrecisionParams, as_of_col
+from reviewcap.sources.sinks import store_once
 
 
 def half_up_ratio(num: Column, den: Column) -> Column:
@@ -55,18 +59,21 @@ def derived_rule_inputs(spark: SparkSession, dd_case: DataFrame, case_state_chan
     """
     lo = as_of_col(loss_params.as_of)
     po = as_of_col(precision_params.as_of)
-    # One pass over the event log feeds both the per-rule metrics and PRECISION:
-    # the per-case table is checkpointed to the shared folder (eager) and read twice.
-    cases = payfac_dd_cases(dd_case, case_state_change, precision_params).checkpoint()
+    # One pass over the event log feeds both the per-rule metrics and PRECISION: both
+    # labels and the few columns they need are stored once, without the case texts.
+    cases = store_once(payfac_dd_cases(dd_case, case_state_change, precision_params).select(
+        "profile_id", "case_type", "state", "time_created", "case_assigned_time", "case_closed_time",
+        "minutes_assigned_to_reviewed",
+        classify_contains(F.col("rule_triggered"), catalog).alias("rule_name"),
+        classify_exact(F.col("rule_triggered"), catalog).alias("rule_group")), "classified-cases")
     times = cases.filter(F.col("case_type") == loss_params.case_type)
-    rule = classify_contains(F.col("rule_triggered"), catalog).alias("rule_name")
     in_loss_window = half_open_window(F.col("time_created"), lo, loss_params.window_months)
     mins = F.col("minutes_assigned_to_reviewed")
     reviewed = (F.col("state") == loss_params.closed_state) & half_open_window(
         F.col("case_closed_time"), po, precision_params.window_months)
     outcomes = _merchant_outcomes(merchants, precision_params.hidden_reason)
     per_rule = (times.join(outcomes, "profile_id", "left")
-                .select(rule, in_loss_window.alias("_w"), mins.alias("_m"), reviewed.alias("_r"),
+                .select("rule_name", in_loss_window.alias("_w"), mins.alias("_m"), reviewed.alias("_r"),
                         F.coalesce(F.col("_acted"), F.lit(0)).alias("_acted"))
                 .groupBy("rule_name").agg(
                     F.count_if(F.col("_w")).alias("cases_in_window"),
@@ -74,8 +81,8 @@ def derived_rule_inputs(spark: SparkSession, dd_case: DataFrame, case_state_chan
                     F.count(F.when(F.col("_w"), F.col("_m"))).alias("_min_n"),
                     F.count_if(F.col("_r")).alias("reviewed_cases"),
                     F.count_if(F.col("_r") & (F.col("_acted") == 1)).alias("actioned_cases")))
-    prec = (_precision_from(merchants.filter(merchant_filter(precision_params)), cases, precision_params,
-                            catalog, ())
+    prec = (_precision_from(merchants.filter(merchant_filter(precision_params)),
+                            case_flags(cases, precision_params), catalog, (), precision_params.hidden_reason)
             .select(F.col("rule_group").alias("precision_label"), "precision_l3m"))
     bridge = F.broadcast(bridge_frame(spark, catalog))  # |catalog| + 1 rows
     z = F.lit(0).cast("long")
@@ -98,7 +105,7 @@ def derived_rule_inputs(spark: SparkSession, dd_case: DataFrame, case_state_chan
 def with_current_types(derived: DataFrame, current: DataFrame, default: str = "Standard") -> DataFrame:
     """Attach each rule's current review type (a small parameter table); ``default`` otherwise."""
     cur = current.select("rule_name", F.col("current_review_type").alias("_cur"))
-    return (derived.join(F.broadcast(cur), "rule_name", "left")
+    return (derived.join(cur, "rule_name", "left")
             .withColumn("current_review_type", F.coalesce(F.col("_cur"), F.lit(default))).drop("_cur"))
 
 
@@ -116,19 +123,35 @@ def rule_precision_trend(merchants: DataFrame, dd_case: DataFrame, case_state_ch
                          catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
     """PRECISION at each as-of date; rows where the rule flagged someone.
 
-    Each case is copied only to the as-of dates whose window can contain its
-    assignment or creation time (a bounded explode, at most |dates| and
-    usually window-months + 1 copies), never to the cartesian product of
+    Only cases assigned or created in some date's window count.  The first
+    assignment comes from the ASSIGN events before the last date, and cases
+    assigned before every window are dropped before the join; cases created in
+    a window are a time-bounded scan.  Each case is then copied to the dates
+    whose window holds it (at most |dates| copies), never to the product of
     cases and dates.
     """
-    dates = F.array(*[F.lit(d) for d in as_of_dates])
     m = params.window_months
-    cases = payfac_dd_cases(dd_case, case_state_change, params)
+    first, last = F.add_months(F.lit(min(as_of_dates)), -m), F.lit(max(as_of_dates))
+    cases = dd_case.filter(upper_eq(F.col("case_type"), params.flag_case_type) & F.col("case_type").isin(*params.case_types)).select(
+        F.col("id").alias("case_id"), F.col("reference_id").alias("profile_id"), "time_created", "state",
+        F.col("metadata").alias("rule_triggered"))
+    assigned = (case_state_change.filter((F.col("event") == "ASSIGN") & (F.col("time_created") < last))
+                .groupBy("case_id").agg(F.min("time_created").alias("case_assigned_time"))
+                .filter(F.col("case_assigned_time") >= first))
+    none = F.lit(None).cast("timestamp")
+    # A case without any event is not in the review times, so it counts nowhere.
+    created = cases.filter((F.col("time_created") >= first) & (F.col("time_created") < last)).join(
+        case_state_change.select("case_id"), "case_id", "left_semi")
+    both = cases.join(assigned, "case_id").withColumn("time_created", none).unionByName(
+        created.withColumn("case_assigned_time", none))
+    dates = F.array(*[F.lit(d) for d in as_of_dates])
     relevant = F.filter(dates, lambda d: half_open_window(F.col("case_assigned_time"), d, m)
                         | half_open_window(F.col("time_created"), d, m))
-    cases = cases.withColumn("as_of", F.explode(relevant))
-    out = _precision_from(merchants.filter(merchant_filter(params)), cases,
-                          params.with_(as_of="as_of", row_cap=0), catalog, ("as_of",))
+    rows = both.select("profile_id", "state", "time_created", "case_assigned_time", F.lit(params.flag_case_type).alias("case_type"),
+                       classify_exact(F.col("rule_triggered"), catalog).alias("rule_group"),
+                       F.explode(relevant).alias("as_of"))
+    flags = case_flags(rows, params.with_(as_of="as_of"), ("as_of",))
+    out = _precision_from(merchants.filter(merchant_filter(params)), flags, catalog, ("as_of",), params.hidden_reason)
     return out.filter(F.col("profiles_flagged_by_risk_rules") > 0)
 
 
@@ -137,21 +160,22 @@ def rule_loss_trend(dd_case: DataFrame, merchants: DataFrame, payments: DataFram
                     catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
     """LOSS at each as-of date (the loss window has no upper bound, as in LOSS).
 
-    A case is copied to the dates whose window start it is not before (at
-    most |dates| copies); the first case, the range join and both aggregation
-    levels then run with the as-of date as one more grouping key.  Payments
-    keep the derived lower bound of the earliest window.
+    Cases are copied to the dates whose window start they are not before, and
+    reduced to the first case of each (date, rule, profile).  The distinct
+    first cases - most dates share theirs - meet payments once, and only the
+    sums per case are expanded to dates.  Cases and payments keep the lower
+    bound of the earliest window.
     """
-    from reviewcap.operators.loss import MONEY_COLS, rule_loss_exact
-    from reviewcap.operators.cases import first_case_per_profile_rule
-
     dates = F.array(*[F.lit(d) for d in as_of_dates])
     m = params.window_months
-    cases = dd_case.withColumn("as_of", F.explode(F.filter(
-        dates, lambda d: F.col("time_created") >= F.add_months(d, -m))))
     earliest = F.add_months(F.lit(min(as_of_dates)), -m)
+    cases = dd_case.filter(F.col("time_created") >= earliest).withColumn("as_of", F.explode(F.filter(
+        dates, lambda d: F.col("time_created") >= F.add_months(d, -m))))
     pays = payments.filter(F.col("attempt_time") > earliest)
     p = params.with_(as_of="as_of")
-    first = first_case_per_profile_rule(cases, p, catalog, ("as_of",))
-    exact = rule_loss_exact(first, merchants, pays, p, ("as_of",))
+    per_date = first_case_per_profile_rule(cases, p, catalog, ("as_of",))
+    first = per_date.groupBy("rule_group", "profile_id", "created_time").agg(F.collect_list("as_of").alias("dates"))
+    per_case = loss_per_profile(first, merchants, pays, p, ("rule_group", "created_time", "dates"))
+    per_profile = per_case.withColumn("as_of", F.explode("dates"))
+    exact = loss_per_rule(per_profile, ("as_of", "rule_group"))
     return exact.withColumns({c: F.col(c).cast("double") for c in MONEY_COLS})

@@ -12,6 +12,7 @@ from reviewcap.catalog import DEFAULT_CATALOG, RuleCatalog
 from reviewcap.functions import money_text, problematic_payment, round2_half_even
 from reviewcap.operators.cases import first_case_per_profile_rule
 from reviewcap.params import LossParams, as_of_col
+from reviewcap.sources.sinks import store_once
 
 MONEY = "decimal(18,2)"
 SALT_COL = "_salt"  # stored payment salt, see sources.layout
@@ -70,11 +71,12 @@ def post_case_payments(first_cases: DataFrame, merchants: DataFrame, payments: D
     keep one row with NULL payment columns.  The payment upper bound comes
     from the merchant join, so never-offboarded merchants match nothing.
 
-    Written as the inner range join (AQE can split a hot merchant's payments;
-    ``salt_buckets`` salts it) plus the left rows that matched nothing, found
-    with an anti join against the distinct matched keys - never an outer
-    join whose skewed payment side could not be split.  Same rows as the
-    literal left joins (tested against them and the oracle).
+    The matching pairs are the salted inner range join, written once to the
+    shared folder; the cases that matched nothing are the rest, found with an
+    anti join against the keys in those files.  So payments are read and
+    dealt out once, and no outer join holds a hot merchant's payments
+    together.  Same rows as the literal left joins (tested against them and
+    the oracle).
     """
     m = merchants.select("profile_id", "date_offboarded")
     left = first_cases.join(m, "profile_id", "left")
@@ -82,11 +84,12 @@ def post_case_payments(first_cases: DataFrame, merchants: DataFrame, payments: D
     p = _payments(payments, params)
     lj, pj, extra = _salted(left, p, params)
     pay_cols = ["card_attempt_id", "attempted_gbp_amount_gross", "fraud_flag", "chargeback_amount_gbp"]
-    matched = lj.join(pj, _range_cond(lj, pj, extra), "inner").select(*[lj[c] for c in keys], *pay_cols)
-    hit = matched.select(*keys).distinct()
+    matched = store_once(lj.join(pj, _range_cond(lj, pj, extra), "inner").select(*[lj[c] for c in keys], *pay_cols),
+                         "matched-payments")
+    hit = matched.select(*[F.col(c).alias(f"_hit_{c}") for c in keys]).distinct()
     null_safe = None
     for c in keys:
-        eq = left[c].eqNullSafe(hit[c])
+        eq = left[c].eqNullSafe(hit[f"_hit_{c}"])
         null_safe = eq if null_safe is None else null_safe & eq
     unmatched = left.join(hit, null_safe, "left_anti").select(
         *keys, *[F.lit(None).cast(p.schema[c].dataType).alias(c) for c in pay_cols])
@@ -111,39 +114,27 @@ def post_case_payments_literal(first_cases: DataFrame, merchants: DataFrame, pay
     )
 
 
-def matched_payments(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
-                     params: LossParams) -> DataFrame:
-    """Only the (first case, payment) pairs that match: an inner range join.
+def loss_per_profile(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
+                     params: LossParams, keys: Sequence[str]) -> DataFrame:
+    """Per (keys, profile): the payments after the first case, counted and summed.
 
-    Inner, not outer, so AQE may split a hot profile on either side; with
-    ``salt_buckets > 1`` each profile's payments are also spread over that
-    many join keys and the (small) case side is replicated to match.  When
+    One left range join.  Each merchant's payments are spread over
+    ``salt_buckets`` join keys and the (small) case side is copied to each, so
+    a hot merchant is split although the join is an outer one; the copies of a
+    case that match nothing carry NULL payments and add nothing.  When
     payments are stored with a ``_salt`` column (``sources.layout``), that
-    stored salt is used, so a table bucketed by (profile_id, _salt) is joined
-    without being shuffled.
+    salt is used, so a table bucketed by (profile_id, _salt) is joined
+    without being shuffled; ``salt_buckets`` must then be the layout's.
+    Grouping is null-safe: a NULL key is a group.
     """
-    windows = first_cases.join(
-        merchants.filter(F.col("date_offboarded").isNotNull()).select("profile_id", "date_offboarded"),
-        "profile_id")
-    windows, p, extra = _salted(windows, _payments(payments, params), params)
-    j = windows.join(p, _range_cond(windows, p, extra), "inner")
-    return j.select(*[windows[c] for c in first_cases.columns], "card_attempt_id",
-                    "attempted_gbp_amount_gross", "fraud_flag", "chargeback_amount_gbp")
-
-
-def rule_loss_exact(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
-                    params: LossParams, by: Sequence[str] = ()) -> DataFrame:
-    """Per rule group: the ten LOSS columns, money as exact decimals.
-
-    Two-level aggregation instead of several COUNT(DISTINCT): payments are
-    first summed per (rule, profile) - which reuses the join's profile
-    partitioning - then per rule, where every map task sends at most one row
-    per rule.  Merchant counts come straight from the deduplicated cases.
-    """
-    keys = [*by, "rule_group"]
+    m = merchants.select("profile_id", "date_offboarded")
+    left, p, extra = _salted(first_cases.join(m, "profile_id", "left"), _payments(payments, params), params)
+    j = left.join(p, _range_cond(left, p, extra), "left").select(
+        *[left[c] for c in first_cases.columns], "card_attempt_id", "attempted_gbp_amount_gross", "fraud_flag",
+        "chargeback_amount_gbp")
     fraud = F.coalesce(F.col("fraud_flag"), F.lit(False))
     amt, cb = F.col("attempted_gbp_amount_gross"), F.col("chargeback_amount_gbp")
-    per_profile = matched_payments(first_cases, merchants, payments, params).groupBy(*keys, "profile_id").agg(
+    return j.groupBy(*keys, "profile_id").agg(
         F.count("card_attempt_id").alias("total_payments"),
         F.count_if(fraud).alias("nof_payments"),
         F.sum(F.when(fraud, amt).otherwise(_zero())).alias("nof_amount_gbp"),
@@ -151,16 +142,19 @@ def rule_loss_exact(first_cases: DataFrame, merchants: DataFrame, payments: Data
         F.sum(F.coalesce(cb, _zero())).alias("chargeback_amount_gbp"),
         F.max(problematic_payment(F.col("fraud_flag"), cb).cast("int")).alias("_problematic"),
     )
-    per_rule = per_profile.groupBy(*keys).agg(
+
+
+def loss_per_rule(per_profile: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The ten LOSS columns per ``keys`` from one row per (keys, profile), money as exact decimals."""
+    j = per_profile.groupBy(*keys).agg(
+        F.count("profile_id").alias("unique_merchants"),
         F.sum("total_payments").alias("total_payments"),
         F.sum("nof_payments").alias("nof_payments"),
         F.sum("nof_amount_gbp").alias("nof_amount_gbp"),
         F.sum("chargeback_payments").alias("chargeback_payments"),
         F.sum("chargeback_amount_gbp").alias("chargeback_amount_gbp"),
-        F.sum("_problematic").alias("problematic_merchants"),
+        F.sum(F.when(F.col("profile_id").isNotNull(), F.col("_problematic"))).alias("problematic_merchants"),
     )
-    merchants_per_rule = first_cases.groupBy(*keys).agg(F.count("profile_id").alias("unique_merchants"))
-    j = merchants_per_rule.join(per_rule, keys, "left")
     z = F.lit(0).cast("long")
     nof = F.coalesce(F.col("nof_amount_gbp"), _zero())
     cbs = F.coalesce(F.col("chargeback_amount_gbp"), _zero())
@@ -181,6 +175,18 @@ def rule_loss_exact(first_cases: DataFrame, merchants: DataFrame, payments: Data
     )
 
 
+def rule_loss_exact(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
+                    params: LossParams, by: Sequence[str] = ()) -> DataFrame:
+    """Per rule group: the ten LOSS columns, money as exact decimals.
+
+    Two-level aggregation instead of several COUNT(DISTINCT): payments are
+    first summed per (rule, profile), then per rule, where every map task
+    sends at most one row per rule.  Cases and payments are scanned once.
+    """
+    keys = [*by, "rule_group"]
+    return loss_per_rule(loss_per_profile(first_cases, merchants, payments, params, keys), keys)
+
+
 MONEY_COLS = ("nof_amount_gbp", "chargeback_amount_gbp", "total_fraud_gbp")
 
 

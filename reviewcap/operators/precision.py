@@ -80,9 +80,8 @@ def spine_per_merchant(requests: DataFrame, payments: DataFrame, merchants: Data
     )
 
 
-def _case_flags(cases: DataFrame, params: PrecisionParams, catalog: RuleCatalog,
-                by: Sequence[str]) -> DataFrame:
-    """Cases pre-aggregated to one row per (profile, rule group) with three flags.
+def case_flags(cases: DataFrame, params: PrecisionParams, by: Sequence[str] = ()) -> DataFrame:
+    """Classified cases (``rule_group``) pre-aggregated to one row per (profile, rule group) with three flags.
 
     flag_assigned: a flag-type case assigned in the window; flag_closed: the
     same and closed; flag_created: a flag-type case created in the window.
@@ -98,26 +97,24 @@ def _case_flags(cases: DataFrame, params: PrecisionParams, catalog: RuleCatalog,
     def any_(c):
         return F.max(F.coalesce(c, F.lit(False)).cast("int"))
 
-    return (cases.select(*by, "profile_id",
-                         classify_exact(F.col("rule_triggered"), catalog).alias("rule_group"),
+    return (cases.select(*by, "profile_id", "rule_group",
                          assigned.alias("a"), closed.alias("c"), created.alias("d"))
             .groupBy(*by, "profile_id", "rule_group")
             .agg(any_(F.col("a")).alias("flag_assigned"), any_(F.col("c")).alias("flag_closed"),
                  any_(F.col("d")).alias("flag_created")))
 
 
-def _precision_from(merchant_rows: DataFrame, cases: DataFrame, params: PrecisionParams,
-                    catalog: RuleCatalog, by: Sequence[str]) -> DataFrame:
-    flags = _case_flags(cases, params, catalog, by)
+def _precision_from(merchant_rows: DataFrame, flags: DataFrame, catalog: RuleCatalog,
+                    by: Sequence[str] = (), hidden_reason: str = "hidden_account") -> DataFrame:
+    """D6 from merchants and the flags of their cases, sorted by rule; no cap on its rows."""
     m = merchant_rows.select(
         "profile_id",
         (F.col("date_offboarded").isNotNull()
-         & not_equal_keep_null(F.col("offboarding_reason"), params.hidden_reason)).alias("m_offboarded"),
+         & not_equal_keep_null(F.col("offboarding_reason"), hidden_reason)).alias("m_offboarded"),
         F.col("deactivation_reason").isNotNull().alias("m_deactivated"))
-    j = m.join(flags, "profile_id", "left")
-    if by:
-        # Merchants with no case carry no planning key; they cannot be placed in a unit.
-        j = j.filter(F.col(by[0]).isNotNull())
+    # A merchant with no case carries no planning key and cannot be placed in a
+    # unit; a case whose key is NULL is in the unit NULL.
+    j = m.join(flags, "profile_id", "inner" if by else "left")
     rule = F.coalesce(F.col("rule_group"), F.lit(catalog.precision_else))
     one = F.lit(1)
     per_profile = j.groupBy(*by, rule.alias("rule_group"), "profile_id").agg(
@@ -137,22 +134,26 @@ def _precision_from(merchant_rows: DataFrame, cases: DataFrame, params: Precisio
         F.col("deactivated").cast("long").alias("profiles_flagged_by_rule_and_deactivated_by_fraud"),
         pct_half_up(F.col("offboarded"), F.col("flagged")).alias("precision_l3m"),
     )
-    out = out.orderBy(*by, "rule_group")
-    return out.limit(params.row_cap) if params.row_cap and not by else out
+    return out.orderBy(*by, "rule_group")
+
+
+def precision_report(precision: DataFrame, row_cap: int | None = None) -> DataFrame:
+    """O2: the stand-alone report, sorted by rule, with a cap on its rows where one is asked for."""
+    out = precision.orderBy("rule_group")
+    return out.limit(row_cap) if row_cap else out
 
 
 def rule_precision(requests: DataFrame, payments: DataFrame, merchants: DataFrame,
                    dd_case: DataFrame, case_state_change: DataFrame, params: PrecisionParams,
                    catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
-    """D6 over the source's join graph: the request/payment/merchant spine, then cases.
+    """D6 with the arguments of the source's join graph (requests, payments, merchants, cases).
 
-    The spine only repeats merchant rows and every output is a distinct
-    count, so the spine is reduced to its merchant rows (``spine_per_merchant``)
-    before cases are attached: no payments x cases pairs are ever formed.
+    The request/payment spine only repeats merchant rows and every output is
+    a distinct count, so neither table is read: this is
+    ``rule_precision_pruned``.  ``request_payment_merchant_spine`` and
+    ``spine_per_merchant`` are the joins themselves.
     """
-    merchant_rows = spine_per_merchant(requests, payments, merchants, params).select(*MERCHANT_COLS)
-    cases = payfac_dd_cases(dd_case, case_state_change, params)
-    return _precision_from(merchant_rows, cases, params, catalog, ())
+    return rule_precision_pruned(merchants, dd_case, case_state_change, params, catalog)
 
 
 def rule_precision_pruned(merchants: DataFrame, dd_case: DataFrame, case_state_change: DataFrame,
@@ -166,4 +167,5 @@ def rule_precision_pruned(merchants: DataFrame, dd_case: DataFrame, case_state_c
     """
     merchant_rows = merchants.filter(merchant_filter(params))
     cases = payfac_dd_cases(dd_case, case_state_change, params, carry=[c for c in by if c in dd_case.columns])
-    return _precision_from(merchant_rows, cases, params, catalog, by)
+    cases = cases.withColumn("rule_group", classify_exact(F.col("rule_triggered"), catalog))
+    return _precision_from(merchant_rows, case_flags(cases, params, by), catalog, by, params.hidden_reason)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewcap.functions import round2_half_even
-from reviewcap.params import PlanParams
+from reviewcap.params import LossParams, PlanParams
 
 UNIT = "_unit"
 
@@ -89,26 +89,25 @@ def rounded_rule_loss(loss: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                        .alias("_avg_loss"))
 
 
-def attach_loss(rule_inputs: DataFrame, loss: DataFrame, params: PlanParams,
+def attach_loss(rule_inputs: DataFrame, loss: DataFrame, loss_params: LossParams,
                 keys: Sequence[str] = ()) -> DataFrame:
-    """Per rule, the average loss per problematic merchant (0.0 when absent) and /6.
+    """Per rule, the average loss per problematic merchant (0.0 when absent), also per month.
 
-    ``keys`` are planning-unit columns present on both sides when LOSS was
-    computed per unit (``rule_loss(..., by=keys)``).  Without keys the loss
-    table has one row per catalog rule group - its size is bounded by the
-    catalog, not by the data - and it is broadcast; with keys it grows with
-    the units and is left to the planner (AQE measures it).
+    The months are those of the window LOSS was computed with.  ``keys`` are
+    planning-unit columns present on both sides when LOSS was computed per
+    unit (``rule_loss(..., by=keys)``); a NULL key is a unit like others.  The
+    join is left to the planner, which measures both sides (AQE).
     """
-    lk = rounded_rule_loss(loss, keys).withColumnRenamed("rule_group", "_rule_group")
+    lk = rounded_rule_loss(loss, keys).withColumnsRenamed(
+        {"rule_group": "_rule_group", **{k: f"_key_{k}" for k in keys}})
     cond = rule_inputs["rule_name"] == lk["_rule_group"]
     for k in keys:
-        cond = cond & (rule_inputs[k] == lk[k])
-    right = lk if keys else F.broadcast(lk)
-    j = rule_inputs.join(right, cond, "left").drop("_rule_group", *[lk[k] for k in keys])
+        cond = cond & rule_inputs[k].eqNullSafe(lk[f"_key_{k}"])
+    j = rule_inputs.join(lk, cond, "left").drop("_rule_group", *[f"_key_{k}" for k in keys])
     avg = F.coalesce(F.col("_avg_loss"), F.lit(0.0))
     return j.withColumns({
         "avg_fraud_volume_per_problematic_merchant": avg,
-        "monthly_avg_fraud_volume_per_problematic_merchant": avg / F.lit(float(params.loss_months)),
+        "monthly_avg_fraud_volume_per_problematic_merchant": avg / F.lit(float(loss_params.window_months)),
     }).drop("_avg_loss")
 
 
@@ -164,11 +163,11 @@ def priority_scores(with_loss: DataFrame, params: PlanParams, precision_col: str
     return drop_unit(out) if not units else out
 
 
-def prioritisation_report(scored: DataFrame, precision_col: str | None = None,
+def prioritisation_report(scored: DataFrame, params: PlanParams, precision_col: str | None = None,
                           units: Sequence[str] = ()) -> DataFrame:
-    """Rules by descending priority (ties by name) with the inputs behind the score."""
-    precision_col = precision_col or "rule_precision_l3m"
+    """Rules by descending priority (no score last, ties by name) with the inputs behind the score."""
+    precision_col = precision_col or params.precision_col
     return scored.select(*units, "rule_name", "monthly_avg_fraud_volume_per_problematic_merchant",
                          "avg_cases_per_month", "avg_handling_time_minutes", precision_col,
                          "current_review_type", "priority_score").orderBy(
-        *units, F.desc("priority_score"), "rule_name")
+        *units, F.desc_nulls_last("priority_score"), "rule_name")

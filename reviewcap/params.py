@@ -37,9 +37,9 @@ class LossParams:
     case_type: str = ACQUIRING
     closed_state: str = "CLOSED"
     success_flag: str = "success"
-    # >1 spreads each profile's payments over this many join keys (explicit
-    # salting for hot merchants); 1 leaves skew to AQE's skew-join split.
-    salt_buckets: int = 1
+    # Each profile's payments are spread over this many join keys, and the
+    # (small) case side is copied to each; 1 turns salting off.
+    salt_buckets: int = 8
 
     def with_(self, **kw) -> "LossParams":
         return replace(self, **kw)
@@ -53,11 +53,10 @@ class PrecisionParams:
     flag_case_type: str = ACQUIRING
     closed_state: str = "CLOSED"
     hidden_reason: str = "hidden_account"
-    # Profiles excluded from the precision spine and the two
-    # accepted onboarding statuses (compared case-insensitively).
-    excluded_profiles: tuple[str, ...] = ("64074335", "50973537", "48384863", "12905779")
+    # Profiles left out of the precision spine (none by default; test accounts, say).
+    excluded_profiles: tuple[str, ...] = ()
+    # The two accepted onboarding statuses (compared case-insensitively).
     statuses: tuple[str, ...] = ("OFFBOARDED", "ONBOARDED")
-    row_cap: int = 500
 
     def with_(self, **kw) -> "PrecisionParams":
         return replace(self, **kw)
@@ -68,7 +67,7 @@ class PlanParams:
     # Fixed values of the planning sheet: weekly budget, locked rules, score
     # weights (loss, precision, volume), light-review minutes, monthly
     # overhead hours, weekly fixed NOF/chargeback hours, months and weeks per
-    # year, and the months the loss window covers (divisor for monthly loss).
+    # year.  The months a loss covers are those of its LossParams.
     budget_weekly_hours: float = 75.0
     locks: tuple[tuple[str, str], ...] = (("LTVHigherThresholdBreached", "Deep"),)
     weights: tuple[float, float, float] = (0.5, 0.3, 0.2)
@@ -77,10 +76,14 @@ class PlanParams:
     weekly_fixed_hours: float = 20.0
     months_per_year: int = 12
     weeks_per_year: int = 52
-    loss_months: int = 6
     precision_col: str = "rule_precision_l3m"
-    # Rules per planning unit are folded in one row; the catalog bounds them.
-    max_rules_per_unit: int = 1000
+
+    def __post_init__(self) -> None:
+        unknown = [t for _, t in self.locks if t not in REVIEW_TYPES]
+        if unknown:
+            raise ValueError(f"unknown review type in locks: {unknown[0]!r}")
+        if len({r for r, _ in self.locks}) < len(self.locks):
+            raise ValueError("a rule is locked more than once")
 
     def with_(self, **kw) -> "PlanParams":
         return replace(self, **kw)

@@ -1,12 +1,15 @@
-"""Registered queries: each takes (spark, sf_dir) and returns a lazy DataFrame.
+"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
 Every query reads the fixture views over the driver tables (or results Spark
-derives from them), so its work grows with the scale factor.  Keys match
+derives from them), so its work grows with the scale factor.  Three store a
+result when they are built, as several branches of their plan read it
+(``post_case_payments``, ``derived_*``, ``review_assignment_from_table``).  Keys match
 ``oracle_sql()``; every computed column is aliased identically on both sides.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,11 @@ from reviewcap.operators import precision as P
 from reviewcap.operators import assignment as A
 from reviewcap.operators import scoring as S
 from reviewcap.params import DEFAULT_PLAN, FIXTURE_LOSS, FIXTURE_PRECISION
-from reviewcap.sources import fixture_customers, fixture_tables, published_rule_inputs, unit_portfolios
+from reviewcap.session import ensure_checkpoint_dir
+from reviewcap.sources import (fixture_customers, fixture_tables, load_rule_inputs, published_rule_inputs,
+                               unit_portfolios)
+
+PUBLISHED_ROW_CAP = 500  # the stand-alone precision report shows this many rules at most
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,8 +101,8 @@ def request_payment_merchant_spine(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_precision(spark: SparkSession, sf: str) -> DataFrame:
     t = fixture_tables(spark, sf)
-    return P.rule_precision(t.requests, t.payments, t.merchants, t.dd_case, t.case_state_change,
-                            FIXTURE_PRECISION)
+    return P.precision_report(P.rule_precision(t.requests, t.payments, t.merchants, t.dd_case, t.case_state_change,
+                                               FIXTURE_PRECISION), PUBLISHED_ROW_CAP)
 
 
 def rule_precision_pruned(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,6 +110,18 @@ def rule_precision_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return P.rule_precision_pruned(t.merchants, t.dd_case, t.case_state_change, FIXTURE_PRECISION)
 
 
+def rule_precision_by_team(spark: SparkSession, sf: str) -> DataFrame:
+    """PRECISION per team; cases without a team are the team NULL."""
+    t = fixture_tables(spark, sf)
+    return P.rule_precision_pruned(t.merchants, t.dd_case, t.case_state_change, FIXTURE_PRECISION, by=("team",))
+
+
+def rule_loss_by_team(spark: SparkSession, sf: str) -> DataFrame:
+    """LOSS per team; cases without a team are the team NULL."""
+    t = fixture_tables(spark, sf)
+    return L.rule_loss(t.dd_case, t.merchants, t.payments, FIXTURE_LOSS, by=("team",))
+
+
 # --- PLAN: one planning unit per customer (FIXTURES.md "Many units") --------
 UNITS = ("unit",)
 
@@ -112,7 +131,7 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored_units(spark: SparkSession, sf: str, precision_col: str) -> DataFrame:
-    with_loss = S.attach_loss(_units(spark, sf), rule_loss(spark, sf), DEFAULT_PLAN)
+    with_loss = S.attach_loss(_units(spark, sf), rule_loss(spark, sf), FIXTURE_LOSS)
     return S.priority_scores(with_loss, DEFAULT_PLAN, precision_col, UNITS)
 
 
@@ -121,7 +140,7 @@ def current_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attach_loss(spark: SparkSession, sf: str) -> DataFrame:
-    out = S.attach_loss(_units(spark, sf), rule_loss(spark, sf), DEFAULT_PLAN)
+    out = S.attach_loss(_units(spark, sf), rule_loss(spark, sf), FIXTURE_LOSS)
     return out.select("unit", "rule_name", "avg_fraud_volume_per_problematic_merchant",
                       "monthly_avg_fraud_volume_per_problematic_merchant")
 
@@ -133,9 +152,37 @@ def _priority(precision_col: str) -> Query:
     return run
 
 
+def _prioritisation(precision_col: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return S.prioritisation_report(_scored_units(spark, sf, precision_col), DEFAULT_PLAN, precision_col, UNITS)
+    return run
+
+
+def review_assignment_null_precision(spark: SparkSession, sf: str) -> DataFrame:
+    """Plans in which a fifth of the rules have no precision, hence no score: they are visited last."""
+    inputs = _units(spark, sf).withColumn("rule_precision_l3m", F.when(
+        (F.col("unit") + F.col("pos")) % 5 != 0, F.col("rule_precision_l3m")))
+    with_loss = S.attach_loss(inputs, rule_loss(spark, sf), FIXTURE_LOSS)
+    scored = S.priority_scores(with_loss, DEFAULT_PLAN, "rule_precision_l3m", UNITS)
+    plan = A.review_assignment(scored, DEFAULT_PLAN, UNITS)
+    return portable(plan.select("unit", "rule_name", "priority_score", "proposed_review_type"), text=("priority_score",))
+
+
+def review_assignment_from_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Plans per unit from a stored parameter table, read and validated."""
+    table = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviewcap-stored/parameters-{uuid.uuid4().hex}"
+    _units(spark, sf).write.parquet(table)
+    inputs = load_rule_inputs(spark, table, UNITS)
+    with_loss = S.attach_loss(inputs, rule_loss(spark, sf), FIXTURE_LOSS)
+    plan = A.review_assignment(S.priority_scores(with_loss, DEFAULT_PLAN, units=UNITS), DEFAULT_PLAN, UNITS)
+    return plan.select(
+        "unit", "rule_name", "current_review_type", "priority_score", "proposed_review_type",
+        "avg_cases_per_month", "avg_handling_time_minutes", "proposed_time_minutes", "proposed_time_hours")
+
+
 def review_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """The source's single-team plan: published inputs, loss measured on the tables."""
-    with_loss = S.attach_loss(published_rule_inputs(spark), rule_loss(spark, sf), DEFAULT_PLAN)
+    with_loss = S.attach_loss(published_rule_inputs(spark), rule_loss(spark, sf), FIXTURE_LOSS)
     scored = S.priority_scores(with_loss, DEFAULT_PLAN)
     return A.proposed_state_report(A.review_assignment(scored, DEFAULT_PLAN))
 
@@ -167,7 +214,7 @@ def derived_rule_inputs(spark: SparkSession, sf: str) -> DataFrame:
 def derived_review_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """End to end with no typed-in numbers except current review types (default Standard)."""
     inputs = D.with_current_types(derived_rule_inputs(spark, sf), published_rule_inputs(spark))
-    with_loss = S.attach_loss(inputs, rule_loss(spark, sf), DEFAULT_PLAN)
+    with_loss = S.attach_loss(inputs, rule_loss(spark, sf), FIXTURE_LOSS)
     scored = S.priority_scores(with_loss, DEFAULT_PLAN)
     return A.proposed_state_report(A.review_assignment(scored, DEFAULT_PLAN))
 
@@ -197,12 +244,18 @@ QUERIES: dict[str, Query] = {
     "request_payment_merchant_spine": request_payment_merchant_spine,
     "rule_precision": rule_precision,
     "rule_precision_pruned": rule_precision_pruned,
+    "rule_precision_by_team": rule_precision_by_team,
+    "rule_loss_by_team": rule_loss_by_team,
     "current_state": current_state,
     "attach_loss": attach_loss,
     "priority_case": _priority("per_case_precision"),
     "priority_l3m": _priority("rule_precision_l3m"),
     "review_assignment": review_assignment,
     "review_assignment_by_unit": review_assignment_by_unit,
+    "prioritisation_report_case": _prioritisation("per_case_precision"),
+    "prioritisation_report_l3m": _prioritisation("rule_precision_l3m"),
+    "review_assignment_null_precision": review_assignment_null_precision,
+    "review_assignment_from_table": review_assignment_from_table,
     "capacity_comparison": capacity_comparison,
     "derived_rule_inputs": derived_rule_inputs,
     "derived_review_assignment": derived_review_assignment,
@@ -226,12 +279,18 @@ def oracle_queries() -> dict[str, str]:
         "request_payment_merchant_spine": O.spine_sql(),
         "rule_precision": O.rule_precision_sql(),
         "rule_precision_pruned": O.rule_precision_sql(),
+        "rule_precision_by_team": O.rule_precision_by_team_sql(),
+        "rule_loss_by_team": O.rule_loss_by_team_sql(),
         "current_state": O.current_state_sql(),
         "attach_loss": O.attach_loss_sql(),
         "priority_case": O.priority_sql("per_case_precision"),
         "priority_l3m": O.priority_sql("rule_precision_l3m"),
         "review_assignment": O.review_assignment_sql(),
         "review_assignment_by_unit": O.review_assignment_by_unit_sql(),
+        "prioritisation_report_case": O.prioritisation_report_sql("per_case_precision"),
+        "prioritisation_report_l3m": O.prioritisation_report_sql("rule_precision_l3m"),
+        "review_assignment_null_precision": O.review_assignment_null_precision_sql(),
+        "review_assignment_from_table": O.review_assignment_by_unit_sql(),
         "capacity_comparison": O.capacity_comparison_sql(),
         "derived_rule_inputs": O.derived_rule_inputs_sql(),
         "derived_review_assignment": O.derived_review_assignment_sql(),

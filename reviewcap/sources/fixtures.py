@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewcap.session import ensure_checkpoint_dir
+from reviewcap.catalog import RULES
 from reviewcap.sources.tables import ReviewTables
 
 MONEY = "decimal(18,2)"
@@ -25,24 +26,7 @@ MONEY = "decimal(18,2)"
 # case (18), text before the name (19), text after a pattern without a
 # trailing wildcard (20) and unknown text (21).
 FIXTURE_METADATA = (
-    "Rule fired - o_PaymentForRequestRecentlyPublished_REVIEW_MERCHANT",
-    "Rule fired - o_PaymentForRequestRecentlyPublished_DECLINE_and_PAUSE_MERCHANT",
-    "Rule fired - o_UniqueCardsRefusedLast24HoursThresholdBreached_PauseMerchant",
-    "Rule fired - o_UniqueCardsRefusedLast24HoursThresholdBreached_Reusable_PauseMerchant",
-    "Rule fired - o_UniqueCardsRefusedLast24HoursThresholdBreached_Wisetag_PauseMerchant",
-    "Rule fired - o_emailAgeScoreAboveThreshold_ReviewMerchant",
-    "Rule fired - o_HighRiskIssuerRefusalReason_ReviewMerchant",
-    "Rule fired - o_PAYFAC_POST_AUTH_PAYFAC_SUB_MERCHANTAbuserFlag_AlertSlack",
-    "Rule fired - o_AverageDailyPayFacTransactionExceedsAverageDailyTransfer_PauseMerchant",
-    "Rule fired - o_AttemptedAmountExceedsTransferAmount_PauseMerchant",
-    "Rule fired - o_Bin6AttemptedVolumeSpike_ReviewMerchant",
-    "Rule fired - o_ProtonmailEmailDomain_PauseMerchant",
-    "Rule fired - o_IssuerAndMerchantConcentration_ReviewMerchant",
-    "Rule fired - o_IssuerIcardADPattern_DeclineAndOffboard",
-    "Rule fired - o_LTVHigherThresholdBreached_PauseMerchant",
-    "Rule fired - o_LTVLowerThresholdBreached_ReviewMerchant",
-    "Rule fired - o_PayerDisputeThreshold_ReviewMerchant",
-    "Rule fired - o_WithdrawalRule_PauseMerchant",
+    *(text for rule in RULES for text in rule.exact_strings),
     "RULE FIRED - O_Bin6AttemptedVolumeSpike_ReviewMerchant",
     "note: Rule fired - o_WithdrawalRule_PauseMerchant",
     "Rule fired - o_WithdrawalRule_PauseMerchant (dup)",
@@ -78,6 +62,10 @@ def fixture_dd_case(lineitem: DataFrame) -> DataFrame:
          .otherwise("ACQUIRING_MERCHANT_REVIEW").alias("case_type"),
         F.when((F.col("_ls") == "F") | (F.col("_q") < 20), "CLOSED").otherwise("OPEN").alias("state"),
         meta.alias("metadata"),
+        F.when(case_id % 3 == 0, "PROFILE").otherwise("MERCHANT").alias("reference_type"),
+        (F.col("_ship") + _minutes_seconds(case_id % 777)).alias("last_updated"),
+        F.when(case_id % 13 != 0, F.concat(F.lit("creator_"), (case_id % 5).cast("string"))).alias("creator"),
+        F.when(F.col("_pk") % 5 != 0, F.concat(F.lit("team_"), (F.col("_pk") % 4).cast("string"))).alias("team"),
     )
 
 
@@ -153,7 +141,7 @@ def fixture_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Bump when a fixture definition changes, so stored copies are rebuilt.
-FIXTURE_VERSION = "1"
+FIXTURE_VERSION = "2"
 _SOURCES = ("lineitem", "orders", "customer")
 _TABLES = ("dd_case", "case_state_change", "merchants", "payments", "requests")
 # Sort keys of the stored copies: time-ordered files give parquet row groups
@@ -217,15 +205,15 @@ def fixture_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -
         return views
     try:
         ckpt = ensure_checkpoint_dir(spark)
-        root = f"{ckpt.rstrip('/')}/reviewcap-fixtures/{_source_key(spark, sf_dir)}"
-        dd_case = _store(spark, views.dd_case, root, "dd_case")
-        return ReviewTables(
-            dd_case=dd_case,
-            case_state_change=_store(spark, fixture_case_state_change(dd_case), root, "case_state_change"),
-            merchants=_store(spark, views.merchants, root, "merchants"),
-            payments=_store(spark, views.payments, root, "payments"),
-            requests=_store(spark, views.requests, root, "requests"),
-        )
-    except Exception as exc:  # no usable shared folder: same results from the lazy views
-        warnings.warn(f"fixture tables not stored ({type(exc).__name__}: {exc}); using lazy views")
+    except ValueError as exc:  # no shared folder: same results from the lazy views
+        warnings.warn(f"fixture tables not stored ({exc}); using lazy views")
         return views
+    root = f"{ckpt.rstrip('/')}/reviewcap-fixtures/{_source_key(spark, sf_dir)}"
+    dd_case = _store(spark, views.dd_case, root, "dd_case")
+    return ReviewTables(
+        dd_case=dd_case,
+        case_state_change=_store(spark, fixture_case_state_change(dd_case), root, "case_state_change"),
+        merchants=_store(spark, views.merchants, root, "merchants"),
+        payments=_store(spark, views.payments, root, "payments"),
+        requests=_store(spark, views.requests, root, "requests"),
+    )

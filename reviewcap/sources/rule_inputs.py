@@ -7,11 +7,14 @@ planned in one job.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewcap.sources.schemas import RULE_INPUTS
+from reviewcap.params import REVIEW_TYPES
+from reviewcap.sources.schemas import RULE_INPUTS, conform
 
 # ---------------------------------------------------------------------------
 # The published planning inputs, in their original order —
@@ -63,6 +66,38 @@ def published_top5_loss(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PUBLISHED_TOP5_LOSS), LOSS_SCHEMA)
 
 
+def validated_rule_inputs(df: DataFrame, units: Sequence[str] = ()) -> DataFrame:
+    """A user-kept parameter table, checked as it is read.
+
+    Fails (when a row is read) on a review type that is not Light, Standard or
+    Deep, on a missing rule name, cases or minutes, and on a rule that occurs
+    twice in a unit.  A missing precision is allowed: such a rule has no score.
+    """
+    df = conform(df, "rule_inputs")
+
+    def fail(text: str, value: F.Column) -> F.Column:
+        return F.raise_error(F.concat(F.lit(text), F.coalesce(value.cast("string"), F.lit("NULL"))))
+
+    name, kind = F.col("rule_name"), F.col("current_review_type")
+    checked = df.withColumn("current_review_type", F.when(kind.isin(*REVIEW_TYPES), kind).otherwise(
+        fail("unknown review type: ", kind).cast("string")))
+    for c in ("rule_name", "avg_cases_per_month", "avg_handling_time_minutes"):
+        checked = checked.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(
+            fail(f"no {c} for rule ", name).cast(df.schema[c].dataType)))
+    keys = [*units, "rule_name"]
+    others = [c for c in checked.columns if c not in keys]
+    # One row a rule and unit: a group of one row gives it back, a larger one fails.
+    one = checked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*others)).alias("_row"))
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(
+        fail("more than one row for rule ", name).cast(one.schema["_row"].dataType))
+    return one.select(*keys, row.alias("_row")).select(*keys, "_row.*").select(*checked.columns)
+
+
+def load_rule_inputs(spark: SparkSession, path: str, units: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
+    """The parameter table (rule inputs, and unit columns if any) stored at ``path``, validated."""
+    return validated_rule_inputs(spark.read.format(fmt).load(path), units)
+
+
 def _input_structs() -> F.Column:
     return F.array(*[
         F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("rule_name"),

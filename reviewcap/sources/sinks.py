@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from reviewcap.session import ensure_checkpoint_dir
+
+
+def store_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the folder that the cluster shares, and read back.
+
+    For a result that several branches of a plan read: it is computed once,
+    and later stages do not depend on the executors that computed it.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/reviewcap-stored/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                  partition_by: Sequence[str] = ()) -> None:
@@ -18,4 +32,4 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
 
 def preview(df: DataFrame, n: int = 20) -> str:
     """A bounded text preview (the console table of the source); only ``n`` rows reach the driver."""
-    return df._jdf.showString(n, 0, False)
+    return df.limit(n).toPandas().to_string(index=False)

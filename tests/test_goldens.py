@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from reviewcap.operators import assignment as A
 from reviewcap.operators import scoring as S
-from reviewcap.params import DEFAULT_PLAN
+from reviewcap.params import DEFAULT_PLAN, LossParams
 from reviewcap.sources import published_rule_inputs, published_top5_loss
 from conftest import SF01
 
@@ -67,7 +67,7 @@ def test_turnaround_row_count_sf001(spark):
 
 def _plan(spark, loss, precision_col, budget=75.0):
     p = DEFAULT_PLAN.with_(budget_weekly_hours=budget)
-    sc = S.priority_scores(S.attach_loss(published_rule_inputs(spark), loss, p), p, precision_col)
+    sc = S.priority_scores(S.attach_loss(published_rule_inputs(spark), loss, LossParams()), p, precision_col)
     asg = A.review_assignment(sc, p)
     return asg, A.assignment_summary(asg, p).collect()[0]
 
@@ -159,7 +159,7 @@ def test_unfiltered_spine_counts_sf001(spark):
 def test_capacity_comparison_single_team(spark):
     p = DEFAULT_PLAN
     ri = published_rule_inputs(spark)
-    asg = A.review_assignment(S.priority_scores(S.attach_loss(ri, published_top5_loss(spark), p), p), p)
+    asg = A.review_assignment(S.priority_scores(S.attach_loss(ri, published_top5_loss(spark), LossParams()), p), p)
     df = A.capacity_comparison(asg, p)
     r = df.collect()[0]
     assert round(r.current_weekly_hours_with_overhead, 4) == 110.0423

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from helpers import ACQ, AS_OF, BIN6, PF, WITHDRAWAL, cases, events, merchants, payments, rule_inputs, ts
@@ -203,7 +205,7 @@ def _plan_rows(spark, rows, budget, locks=()):
     ri = rule_inputs(spark, [(n, 50.0, 50.0, c, a, t) for n, c, a, t in rows])
     params = DEFAULT_PLAN.with_(budget_weekly_hours=budget, locks=tuple(locks))
     zero = spark.createDataFrame([], "rule_group string, avg_fraud_per_problematic_merchant double")
-    sc = S.priority_scores(S.attach_loss(ri, zero, params), params)
+    sc = S.priority_scores(S.attach_loss(ri, zero, LossParams()), params)
     asg = A.review_assignment(sc, params)
     return {r.rule_name: r for r in asg.collect()}, A.assignment_summary(asg, params).collect()[0]
 
@@ -236,7 +238,7 @@ def test_h22_h23_h24_loss_lookup(spark):
                                  "rule_group string, avg_fraud_per_problematic_merchant double")
     got = {r.rule_name: (r.avg_fraud_volume_per_problematic_merchant,
                          r.monthly_avg_fraud_volume_per_problematic_merchant)
-           for r in S.attach_loss(ri, loss, DEFAULT_PLAN).collect()}
+           for r in S.attach_loss(ri, loss, LossParams()).collect()}
     assert got == {"Known": (100.0, 100.0 / 6), "Missing": (0.0, 0.0)}
     assert [r.rule_group for r in S.unplanned_loss_rules(ri, loss).collect()] == ["AbuserFlag"]
 
@@ -248,7 +250,7 @@ def test_attach_loss_per_unit(spark):
     loss = spark.createDataFrame([("t1", "A", 60.0), ("t2", "A", 120.0)],
                                  "team string, rule_group string, avg_fraud_per_problematic_merchant double")
     got = {r.team: r.monthly_avg_fraud_volume_per_problematic_merchant
-           for r in S.attach_loss(ri, loss, DEFAULT_PLAN, keys=("team",)).collect()}
+           for r in S.attach_loss(ri, loss, LossParams(), keys=("team",)).collect()}
     assert got == {"t1": 10.0, "t2": 20.0}
 
 
@@ -298,3 +300,122 @@ def test_precision_by_team_equals_per_team_runs(spark):
         rows = P.rule_precision_pruned(m, c.filter(F.col("team") == team).drop("team"), e, params).collect()
         single.update(nonzero(rows, lambda r, t=team: (t, r.rule_group)))
     assert by_team == single and by_team
+
+
+# --- Missing scores, NULL keys, many rules, validation ------------------------
+def test_rule_without_score_is_visited_last(spark):
+    from reviewcap.params import PlanParams
+    ri = rule_inputs(spark, [("R1", None, 0.0, 10, 45, "Standard"), ("R2", 97.0, 0.0, 10, 45, "Standard")])
+    params = PlanParams(budget_weekly_hours=28.5, locks=())
+    loss = spark.createDataFrame([], "rule_group string, avg_fraud_per_problematic_merchant double")
+    plan = A.review_assignment(S.priority_scores(S.attach_loss(ri, loss, LossParams()), params), params)
+    got = {r.rule_name: r.proposed_review_type for r in plan.collect()}
+    # Both at Light need 5 h of work; the budget has room for one Standard rule: the one with a score.
+    assert got == {"R1": "Light", "R2": "Standard"}
+
+
+def test_loss_by_null_team_keeps_its_money(spark):
+    c = cases(spark, [(1, "a", ts(2000, 3, 1), ACQ, "CLOSED", WITHDRAWAL)]).withColumn("team", F.lit(None).cast("string"))
+    m = merchants(spark, [("a", dt.date(2000, 6, 1), "FRAUD", None, "OFFBOARDED")])
+    p = payments(spark, [(1, "a", ts(2000, 4, 1), 10, True, None, "success")])
+    r = L.rule_loss(c, m, p, LossParams(as_of=AS_OF), by=("team",)).collect()
+    assert [(x.team, x.unique_merchants, x.total_payments, x.nof_amount_gbp) for x in r] == [(None, 1, 1, 10.0)]
+    ri = rule_inputs(spark, [("WithdrawalRule", 1.0, 1.0, 1, 1, "Light")]).withColumn("team", F.lit(None).cast("string"))
+    loss = L.rule_loss(c, m, p, LossParams(as_of=AS_OF), by=("team",))
+    name = loss.first().rule_group
+    got = S.attach_loss(ri.withColumn("rule_name", F.lit(name)), loss, LossParams(window_months=12), keys=("team",)).first()
+    assert got.avg_fraud_volume_per_problematic_merchant == 10.0
+    assert got.monthly_avg_fraud_volume_per_problematic_merchant == 10.0 / 12
+
+
+def test_precision_by_null_team_is_a_team(spark):
+    params = PrecisionParams(as_of=AS_OF)
+    c = cases(spark, [(1, "a", ts(2000, 5, 1), ACQ, "CLOSED", BIN6), (2, "b", ts(2000, 5, 1), ACQ, "CLOSED", BIN6)])
+    c = c.withColumn("team", F.when(F.col("id") == 1, "t"))
+    e = events(spark, [(i, "ASSIGN", ts(2000, 5, 2), "x") for i in (1, 2)])
+    m = merchants(spark, [(x, dt.date(2000, 6, 1), "FRAUD", None, "OFFBOARDED") for x in ("a", "b", "no case")])
+    got = P.rule_precision_pruned(m, c, e, params, by=("team",)).collect()
+    assert sorted((str(r.team), r.profiles_flagged_by_risk_rules, r.precision_l3m) for r in got) == [
+        ("None", 1, 100.0), ("t", 1, 100.0)]
+
+
+def test_derived_precision_of_600_rules(spark):
+    from reviewcap.catalog import Rule, RuleCatalog
+    from reviewcap.operators.derive import derived_rule_inputs
+    n = 600
+    catalog = RuleCatalog(tuple(Rule(f"L{i:04}", f"%rule-{i:04}-%", (f"rule-{i:04}-x",), f"P{i:04}") for i in range(n)))
+    c = cases(spark, [(i, f"m{i}", ts(2000, 5, 1), ACQ, "CLOSED", f"rule-{i:04}-x") for i in range(n)])
+    e = events(spark, [(i, k, ts(2000, 5, 2), "x") for i in range(n) for k in ("ASSIGN", "CLOSE")])
+    m = merchants(spark, [(f"m{i}", dt.date(2000, 6, 1) if i % 2 else None, "FRAUD", None, "OFFBOARDED") for i in range(n)])
+    got = {r.rule_name: r.rule_precision_l3m for r in derived_rule_inputs(
+        spark, c, e, m, LossParams(as_of=AS_OF), PrecisionParams(as_of=AS_OF), catalog).collect()}
+    assert all(got[f"L{i:04}"] == (100.0 if i % 2 else 0.0) for i in range(n))
+
+
+def test_unknown_review_types_fail(spark):
+    from reviewcap.params import PlanParams
+    from reviewcap.sources import validated_rule_inputs
+    with pytest.raises(ValueError):
+        PlanParams(locks=(("R", "Deeep"),))
+    bad = rule_inputs(spark, [("R", 1.0, 1.0, 1, 1, "standard")])
+    with pytest.raises(Exception, match="unknown review type"):
+        validated_rule_inputs(bad).collect()
+    params = PlanParams(locks=())
+    loss = spark.createDataFrame([], "rule_group string, avg_fraud_per_problematic_merchant double")
+    with pytest.raises(Exception, match="unknown review type"):
+        A.review_assignment(S.priority_scores(S.attach_loss(bad, loss, LossParams()), params), params).collect()
+    twice = rule_inputs(spark, [("R", 1.0, 1.0, 1, 1, "Light")] * 2)
+    with pytest.raises(Exception, match="more than one row"):
+        validated_rule_inputs(twice).collect()
+    missing = rule_inputs(spark, [("R", 1.0, 1.0, None, 1, "Light")])
+    with pytest.raises(Exception, match="no avg_cases_per_month"):
+        validated_rule_inputs(missing).collect()
+    fine = rule_inputs(spark, [("R", None, 1.0, 1, 1, "Light"), ("Q", 1.0, 1.0, 1, 1, "Deep")])
+    assert validated_rule_inputs(fine).count() == 2
+
+
+def test_catalog_round_trip(spark):
+    from reviewcap.catalog import DEFAULT_CATALOG, catalog_frame, catalog_from_frame
+    frame = catalog_frame(spark)
+    assert catalog_from_frame(frame) == DEFAULT_CATALOG
+    with pytest.raises(ValueError):
+        catalog_from_frame(frame.filter("like_pattern IS NOT NULL"))
+
+
+def test_as_of_none_is_today(spark):
+    today = spark.sql("SELECT current_date() AS d").first().d
+    day = dt.datetime.combine(today, dt.time()) - dt.timedelta(days=20)
+    c = cases(spark, [(1, "a", day, ACQ, "CLOSED", WITHDRAWAL), (2, "b", day - dt.timedelta(days=400), ACQ, "CLOSED", WITHDRAWAL)])
+    m = merchants(spark, [("a", today, "FRAUD", None, "OFFBOARDED")])
+    p = payments(spark, [(1, "a", day + dt.timedelta(days=1), 10, True, None, "success")])
+    open_, dated = (L.rule_loss(c, m, p, LossParams(as_of=x)).collect() for x in (None, today))
+    assert open_ == dated and open_[0].unique_merchants == 1 and open_[0].total_payments == 1
+
+
+def test_loss_trend_pairs_do_not_grow_with_dates(spark):
+    from reviewcap.operators.derive import rule_loss_trend
+    c = cases(spark, [(i, f"m{i}", ts(2000, 6, 15), ACQ, "CLOSED", WITHDRAWAL) for i in range(20)])
+    m = merchants(spark, [(f"m{i}", dt.date(2000, 12, 1), "FRAUD", None, "OFFBOARDED") for i in range(20)])
+    p = payments(spark, [(i * 10 + j, f"m{i}", ts(2000, 7, 1 + j), 1, True, None, "success") for i in range(20) for j in range(10)])
+
+    def pairs(dates):
+        df = rule_loss_trend(c, m, p, dates, LossParams(as_of=AS_OF, salt_buckets=1))
+        assert df.count() == len(dates)
+        plan = df._jdf.queryExecution().executedPlan()
+        df.collect()
+        out = []
+
+        def walk(node):
+            if node.nodeName() == "AdaptiveSparkPlan":
+                return walk(node.executedPlan())
+            if node.nodeName().endswith("QueryStage"):
+                return walk(node.plan())
+            if "Join" in node.nodeName() and "attempt_time" in node.toString().split("\n")[0]:
+                out.append(node.metrics().apply("numOutputRows").value())
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(df._jdf.queryExecution().executedPlan())
+        return max(out)
+
+    assert pairs([dt.date(2000, 7, 1)]) == pairs([dt.date(2000, k, 1) for k in (7, 8, 9, 10)]) == 200

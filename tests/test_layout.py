@@ -61,14 +61,26 @@ def test_fixture_tables_fall_back_to_views(spark, monkeypatch):
     import reviewcap.sources.fixtures as fx
 
     def boom(*a, **k):
-        raise PermissionError("no shared folder")
+        raise ValueError("no shared folder")
 
-    monkeypatch.setattr(fx, "_source_key", boom)
+    monkeypatch.setattr(fx, "ensure_checkpoint_dir", boom)
     t = fx.fixture_tables(spark, SF001)
     base = fx.fixture_views(spark, SF001)
     assert t.dd_case.count() == base.dd_case.count() == 4599
 
 
+def test_other_failures_of_storing_are_not_hidden(spark, monkeypatch):
+    import pytest
+    import reviewcap.sources.fixtures as fx
+
+    def boom(*a, **k):
+        raise PermissionError("disk")
+
+    monkeypatch.setattr(fx, "_source_key", boom)
+    with pytest.raises(PermissionError):
+        fx.fixture_tables(spark, SF001)
+
+
 def test_write_result_and_cluster_conf(spark, tmp_path):
     from reviewcap.session import cluster_conf
     from reviewcap.sources.sinks import preview, write_result
@@ -101,6 +113,6 @@ def test_readme_usage_from_paths(spark, tmp_path):
     by_rule = loss.rule_loss(t.dd_case, t.merchants, t.payments, LossParams(as_of=as_of))
     prec = precision.rule_precision_pruned(t.merchants, t.dd_case, t.case_state_change, PrecisionParams(as_of=as_of))
     pp = PlanParams(budget_weekly_hours=75)
-    scored = scoring.priority_scores(scoring.attach_loss(published_rule_inputs(spark), by_rule, pp), pp)
+    scored = scoring.priority_scores(scoring.attach_loss(published_rule_inputs(spark), by_rule, LossParams()), pp)
     plan = assignment.review_assignment(scored, pp)
     assert (by_rule.count(), prec.count(), plan.count()) == (18, 18, 17)

@@ -3,14 +3,16 @@
 import pytest
 
 import __spark_entry__ as E
-from reviewcap.plans.compare import compare
+from compare import compare
 from conftest import SF001
+from reviewcap.plans.registry import QUERIES, oracle_queries
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 def test_keys_match():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(oracle_queries())
+    assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewcap.operators import assignment as A
 from reviewcap.operators import scoring as S
-from reviewcap.params import DEFAULT_PLAN, REVIEW_TYPES
+from reviewcap.params import DEFAULT_PLAN, REVIEW_TYPES, LossParams
 
 LEVEL = {t: i for i, t in enumerate(REVIEW_TYPES)}
 
@@ -81,7 +81,7 @@ def test_many_units_fixture_counts(spark):
     from conftest import SF01
     from reviewcap.sources import fixture_customers, published_rule_inputs, published_top5_loss, unit_portfolios
     p = DEFAULT_PLAN
-    scores = S.priority_scores(S.attach_loss(published_rule_inputs(spark), published_top5_loss(spark), p), p)
+    scores = S.priority_scores(S.attach_loss(published_rule_inputs(spark), published_top5_loss(spark), LossParams()), p)
     units = unit_portfolios(fixture_customers(spark, SF01)).join(
         F.broadcast(scores.select("rule_name", "priority_score")), "rule_name")
     asg = A.review_assignment(units, p, ("unit",))
