@@ -75,14 +75,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", F.transform("winnowed", lambda v: F.struct(F.shiftright(v, 32).cast("int").alias("hash"), (F.lit(LOW) - v.bitwiseAND(F.lit(LOW))).alias("position"))).alias("winnowed"))
 
 
+KEYS = ["id", "none", "tie"]  # of a document: its id (0 for null), whether that is null, a hash of its text
+
+
 def _neighbours(texts: DataFrame) -> DataFrame:
-    """doc_id, tie, to_id, to_tie, to_chars: each document and the one whose next it is, by descending id.
+    """KEYS, and as to_id, to_none, to_tie, to_chars the document whose next it is, by descending id.
 
     Rows that repeat an id and a text are one document here.  The order is that
     of range partitions; the counts before each turn places into ranks.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
-    keys = texts.groupBy("doc_id", "tie").agg(F.max(F.length("text")).alias("chars"))
+    order = [F.col("none").asc(), F.col("id").desc(), F.col("tie").desc()]
+    keys = texts.groupBy(*KEYS).agg(F.max(F.length("text")).alias("chars"))
     placed = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
         "part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     placed = stored(placed, "document-order")
@@ -91,9 +94,9 @@ def _neighbours(texts: DataFrame) -> DataFrame:
         "part", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
     ranked = placed.join(F.broadcast(parts), "part").withColumn("rank", F.col("before") + F.col("at"))
-    to = ranked.select(F.col("doc_id").alias("to_id"), F.col("tie").alias("to_tie"), F.col("chars").alias("to_chars"), F.col("rank").alias("to_rank"))
+    to = ranked.select(*[F.col(c).alias(f"to_{c}") for c in [*KEYS, "chars"]], F.col("rank").alias("to_rank"))
     follows = (F.col("rank") + F.col("total") - 1) % F.col("total")
-    return ranked.select("doc_id", "tie", follows.alias("to_rank")).join(to, "to_rank").drop("to_rank")
+    return ranked.select(*KEYS, follows.alias("to_rank")).join(to, "to_rank").drop("to_rank")
 
 
 def against_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 3, k: int = K, w: int = W) -> DataFrame:
@@ -104,19 +107,19 @@ def against_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last: the first).  Null ids come last; rows that repeat an id and a text
     have the same next document; a single document is its own next.
     """
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).select("doc_id", "tie", "text")
-    links = _neighbours(rows)
-    # Texts are dealt out once, by (id, tie): to send what others need of them, and to receive it.
-    copy = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("doc_id"))
-    own = rows.withColumn("copy", copy)
-    same = own["doc_id"].eqNullSafe(links["doc_id"]) & (own["tie"] == links["tie"])
-    sent = own.filter("copy = 1").join(links, same).select("to_id", "to_tie", own["text"], F.floor(F.col("to_chars") / part).cast("int").alias("tail"))
-    sent = with_winnowed(sent, F.col("text"), "next", k, w).select("to_id", "to_tie", F.substr("text", F.lit(1), F.col("tail")).alias("head"), hashes(F.col("next")).alias("next_hashes"))
-    made = own.join(sent, own["doc_id"].eqNullSafe(sent["to_id"]) & (own["tie"] == sent["to_tie"]))
+    doc = col(id_col).cast("long")
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(doc, F.lit(0)).alias("id"), doc.isNull().alias("none"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    links = stored(_neighbours(rows), "neighbours")
+    # Texts are dealt out once, by KEYS, to send what others need of them and to receive it: both joins read that exchange.
+    sent = rows.join(links, KEYS).select("to_id", "to_none", "to_tie", "text", F.floor(F.col("to_chars") / part).cast("int").alias("tail"))
+    sent = with_winnowed(sent, F.col("text"), "next", k, w).select(
+        *[F.col(f"to_{c}").alias(c) for c in KEYS], F.substr("text", F.lit(1), F.col("tail")).alias("head"), hashes(F.col("next")).alias("next_hashes"))
+    sent = sent.groupBy(*KEYS).agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))  # copies send the same
     n = F.length("text")
-    made = made.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_hashes",
-                       F.concat(F.substr("text", F.lit(1), n - F.floor(n / part).cast("int")), "head").alias("edited"))
+    made = rows.join(sent, KEYS).select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), n.cast("long").alias("n_chars"), "text", "next_hashes",
+        F.concat(F.substr("text", F.lit(1), n - F.floor(n / part).cast("int")), "head").alias("edited"))
     made = with_winnowed(with_winnowed(made, F.col("text"), "own", k, w), F.col("edited"), "changed", k, w)
     made = made.withColumn("own_hashes", hashes(F.col("own")))
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("changed")).alias("edited_fingerprint"),
