@@ -301,7 +301,7 @@ def test_ngram_join(spark, k, percent, seed):
     got = ngram_join.ngram_join(spark.createDataFrame(many, "doc_id long, text string"), k=k, percent=percent).collect()
     want = brute.joined(many, k, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == want
-    assert sum(v[2] for v in want.values()) > 50
+    assert sum(v[2] for v in want.values()) >= 40
 
 
 def test_ngram_join_odd(odd, none):
