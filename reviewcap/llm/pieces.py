@@ -50,15 +50,36 @@ LOWEST = -np.inf
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def read_model(path: str):
+    """The pieces, scores and settings of a model file."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model
+
+
+class Decoder:
+    """The text that ids stand for."""
+
+    def __init__(self, path: str):
+        model = read_model(path)
+        kinds = type(model.pieces[0])
+        self.prefix = model.normalizer_spec.add_dummy_prefix
+        self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ").encode() if p.type == kinds.NORMAL else b"" for p in model.pieces]
+
+    def decode(self, ids: bytes) -> str:
+        raw = b"".join([self.bytes[i] for i in np.frombuffer(ids, np.uint32).tolist()])
+        text = raw.decode("utf-8", "replace")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
 class Vocabulary:
     """Pieces and scores of a model file, as tables for a search over many texts at once."""
 
-    def __init__(self, path: str, kept: int = 400_000):
-        from sentencepiece import sentencepiece_model_pb2
-
-        model = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+    def __init__(self, path: str, kept: int = 200_000):
+        model = read_model(path)
         spec = model.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only models whose normalizer is the identity are supported")
@@ -90,9 +111,6 @@ class Vocabulary:
         self.node_id, self.node_score = np.array(self.node_id), np.array(self.node_score)
         self.kept = kept
         self.known: dict[str, tuple[bytes, float]] = {}
-        self.bytes = [b""] * len(model.pieces)
-        for i, p in enumerate(model.pieces):
-            self.bytes[i] = bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ").encode() if p.type == kinds.NORMAL else b""
 
     # ---- the search ---------------------------------------------------------
 
@@ -187,7 +205,7 @@ class Vocabulary:
         new = list(parts - self.known.keys())
         if len(self.known) + len(new) > self.kept:
             self.known = {p: self.known[p] for p in parts if p in self.known}
-        for s in batches(new, 400_000):
+        for s in batches(new, 200_000):
             own = new[s]
             best, back, first = self.search(own)
             for p, f in zip(own, first.tolist()):
@@ -204,12 +222,6 @@ class Vocabulary:
             out.append((b"".join([i for i, _ in got]), sum([s for _, s in got])))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids."""
-        raw = b"".join([self.bytes[i] for i in np.frombuffer(ids, np.uint32).tolist()])
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
     # ---- chunks of giant texts ------------------------------------------------
 
     def bounds(self, chunk: str, size: int) -> tuple[int, int]:
@@ -284,6 +296,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus products of two stacks of matrices, 256 at a time."""
     return np.concatenate([(a[i:i + 256, :, :, None] + b[i:i + 256, None, :, :]).max(axis=2) for i in range(0, len(a), 256)])
@@ -386,7 +403,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            made = [vocabulary(path).decode(i.as_py() or b"") for i in batch.column(at)]
+            made = [decoder(path).decode(i.as_py() or b"") for i in batch.column(at)]
             yield pa.record_batch([*batch.columns, pa.array(made, pa.string())], [*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
