@@ -32,6 +32,7 @@ _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but for the apostrophe, which can be
 _PLAIN = re.compile(rf"[{_LETTERS}{_MARKS}](?:[{_LETTERS}{_MARKS}]|\n(?=[{_LETTERS}{_MARKS}]))*")
 _RUNS = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|\n")
 
+SHORT = 8  # characters of a part or pre-token that is kept longest
 ID_BYTES = 4  # ids are kept as little-endian unsigned 32-bit integers
 
 
@@ -54,10 +55,26 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(face[b] for b in chr(c).encode()) for c in range(192, 256)}
 
 
+class _Kept(dict):
+    """What was found for a key, up to a number of keys; beyond it the short ones stay, which come most often."""
+
+    def __init__(self, find, most: int):
+        self.find, self.most = find, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            short = {k: v for k, v in self.items() if len(k) <= SHORT}
+            self.clear()
+            if len(short) < self.most * 3 // 4:
+                self.update(short)
+        found = self[key] = self.find(key)
+        return found
+
+
 class Encoder:
     """Whole texts to ids; ``kept`` bounds the dictionaries of parts and pre-tokens."""
 
-    def __init__(self, path: str, kept: int = 250_000):
+    def __init__(self, path: str, kept: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -65,48 +82,32 @@ class Encoder:
         self.model = self.library.model
         self.lower = self.library.normalizer is not None
         self.before = "" if self.lower else "Ġ"
-        self.kept = kept
-        self.parts: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
         self.letters = _byte_letters()
-
-    def _token(self, pre_token: str) -> bytes:
-        ids = self.tokens.get(pre_token)
-        if ids is None and pre_token == "\n":
-            ids = self.tokens[pre_token] = b"" if self.lower else self._whole(["\n"])[0]
-        elif ids is None:
-            if len(self.tokens) >= self.kept:
-                self.tokens.clear()
-            shown = pre_token if pre_token.isascii() else pre_token.translate(self.letters)
-            ids = self.tokens[pre_token] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
+        self.tokens = _Kept(self._token, kept)
+        self.parts = _Kept(self._part, kept)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        rest = []
-        for word in words:
-            if _PLAIN.fullmatch(word) is None:
-                rest.append(word)
-                continue
-            runs = _RUNS.findall(word.lower() if self.lower else word)
-            runs[0] = self.before + runs[0]
-            self.parts[word] = b"".join([self._token(r) for r in runs])
-        for i in range(0, len(rest), 10_000):
-            some = rest[i:i + 10_000]
-            self.parts.update(zip(some, self._whole([" " + w for w in some])))
+    def _token(self, pre_token: str) -> bytes:
+        """The ids of a run of letters or marks, or of a line end."""
+        if pre_token == "\n":
+            return b"" if self.lower else self._whole(["\n"])[0]
+        shown = pre_token if pre_token.isascii() else pre_token.translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a part that follows a space."""
+        if _PLAIN.fullmatch(part) is None:
+            return self._whole([" " + part])[0]
+        runs = _RUNS.findall(part.lower() if self.lower else part)
+        runs[0] = self.before + runs[0]
+        get = self.tokens.__getitem__
+        return get(runs[0]) if len(runs) == 1 else b"".join([get(r) for r in runs])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         cut = [_CUT.split(t) if _SPACE_AFTER_SPACE.search(t) else t.split(" ") for t in texts]
-        words: set[str] = set()
-        for parts in cut:
-            words.update(parts[1:])
-        new = words - self.parts.keys()
-        if len(self.parts) + len(new) > self.kept:
-            self.parts = {w: self.parts[w] for w in words - new}
-        self._learn(list(new))
         get = self.parts.__getitem__
         return [first + b"".join(map(get, parts[1:])) for first, parts in zip(self._whole([p[0] for p in cut]), cut)]
 

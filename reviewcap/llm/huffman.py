@@ -185,16 +185,23 @@ def write_token_files(ids: DataFrame) -> DataFrame:
     lengths = code_lengths(counts)
     codes = canonical(lengths)
 
+    # Ranges of the ids come from the ids alone, so that nothing is encoded twice to find them.
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = [i / parts for i in range(1, parts)]
+    cuts = ids.agg(F.percentile_approx("doc_id", steps, max(10_000, 10 * parts)).alias("cuts")).first()["cuts"] if steps else None
+    borders = np.unique(np.array(cuts or [], np.int64))
+
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n, payload, blocks = [], [], []
+            to = np.searchsorted(borders, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
             for b in batch.column(1):
                 own = np.frombuffer(b.as_buffer(), np.uint32)
                 stream, offsets = encode_ids(own, codes, lengths)
                 n.append(len(own))
                 payload.append(stream)
                 blocks.append(offsets.tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(payload, pa.binary()), pa.array(blocks, pa.binary())], ["doc_id", "n", "payload", "blocks"])
+            yield pa.record_batch([pa.array(to), batch.column(0), pa.array(n, pa.int64()), pa.array(payload, pa.binary()), pa.array(blocks, pa.binary())], ["to", "doc_id", "n", "payload", "blocks"])
 
     def image(ids_: list, n: list, payload: list, blocks: list) -> bytes:
         sizes = np.array([len(p) for p in payload], np.uint64)
@@ -225,8 +232,8 @@ def write_token_files(ids: DataFrame) -> DataFrame:
         if rows[0]:
             yield close()
 
-    coded = ids.select("doc_id", "ids").mapInArrow(encode, "doc_id long, n long, payload binary, blocks binary")
-    ordered = coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "payload")
+    coded = ids.select("doc_id", "ids").mapInArrow(encode, "to int, doc_id long, n long, payload binary, blocks binary")
+    ordered = coded.repartitionById(parts, F.col("to")).drop("to").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "payload")
     return stored(ordered.mapInArrow(assemble, "part int, segment int, n_docs long, n_tokens long, image binary"), "token-files", "uncompressed")
 
 
