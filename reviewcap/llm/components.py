@@ -10,9 +10,9 @@ from .common import stored
 
 def _lowest(edges: DataFrame) -> DataFrame:
     """u, v of ``edges`` with the smallest neighbour of u (or u) as ``low``."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("w"), F.least("u", "low").alias("low"), F.xxhash64("u").alias("digest"))
-    # The digest makes Spark deal out both sides anew, so that it can split the rows of a node with many edges.
-    return edges.withColumn("digest", F.xxhash64("u")).join(low, (F.col("u") == F.col("w")) & (edges["u"].isNotNull()) & (F.xxhash64(F.col("u")) == low["digest"])).select("u", "v", "low")
+    # Joining on the digest too deals out both sides anew, so that Spark can split the rows of a node with many edges.
+    low = edges.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"), F.xxhash64("u").alias("digest"))
+    return edges.withColumn("digest", F.xxhash64("u")).join(low, ["digest", "u"]).select("u", "v", "low")
 
 
 def components(links: DataFrame) -> DataFrame:

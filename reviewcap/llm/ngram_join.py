@@ -10,15 +10,17 @@ prefix, and with it what is read, grows.  A pair is asked for the smaller l of
 the two, counted within the prefixes that belong to it, and only pairs with
 that many are verified on the whole sets.
 
-Documents with the same set are one class, which is joined once; a task sends
-each class's prefix once, however many copies it holds.  The whole sets are
-sent only for classes that are in a candidate pair.
+Documents with the same set are one class, named by its smallest id, for
+which one document speaks.  Only links between components that are not known
+to be one are looked for, so a group of near copies is not paired out.  The
+whole sets are sent only for classes that are in a candidate pair.
 
 Defined results: a document without words (or with null text) has no shingle
 and links with nothing; one with fewer words than a shingle has one, the
 whole sequence; a null id is not linked and has no component; rows that
 repeat an id and a text are copies of each other; an empty table gives no
-row; other columns are ignored.
+row; an id should name one text (of several, one counts); other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from .components import components
 
 BUCKETS = 1 << 18  # of the shingle counts
 MARKS = 1 << 22  # of the bitmap of classes that are in a candidate pair
+ORDERS = 8  # smallest hashes kept of a set
 MOST_SHARED = 8  # the largest l that is tried
 VERIFY = 32.0  # cost of a verification, in shingles read
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -105,64 +108,38 @@ def prefix_of(own: np.ndarray, counts: np.ndarray, noise: float, percent: int) -
     return own[order[:base + best]], best
 
 
-def near_pairs(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, k1, k2: size and key of the set) and links (a1, a2, b1, b2) between keys."""
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """Rows of two kinds: doc_id, n, k1, k2 (size and key of the set), m0 to m7 (its smallest
+    hashes under eight orders); and bucket, count (of shingles, a task's share)."""
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    mins = [f"m{j}" for j in range(ORDERS)]
+    names = ["doc_id", "n", "k1", "k2", *mins, "bucket", "count"]
 
-    def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "n", "k1", "k2", "bucket", "count"]
         for batch in it:
             rows = []
             for doc, own in _sets(batch, k):
-                rows.append((doc, len(own), *set_key(own)))
+                low = [int(_mix(own + np.uint64(j)).min().astype(np.int64)) for j in range(ORDERS)] if len(own) else [None] * ORDERS
+                rows.append((doc, len(own), *set_key(own), *low))
                 np.add.at(counts, (own >> shift).astype(np.int64), 1)
-            columns = list(zip(*rows)) or [[]] * 4
+            columns = list(zip(*rows)) or [()] * (4 + ORDERS)
             none = pa.nulls(len(rows), pa.int64())
             yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), none, none], names)
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64())
-        yield pa.record_batch([none, none, none, none, pa.array(seen), pa.array(counts[seen])], names)
+        yield pa.record_batch([*[none] * (4 + ORDERS), pa.array(seen), pa.array(counts[seen])], names)
 
-    made = stored(docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, bucket long, count long"), "sets")
-    described = made.filter("bucket IS NULL").select("doc_id", "n", "k1", "k2")
-    counts = np.zeros(BUCKETS)
-    for r in made.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).collect():  # BUCKETS rows at most
-        counts[r["bucket"]] = r["n"]
-    noise = float(np.median(counts))
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
-        for batch in it:
-            held: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for doc, own in _sets(batch, k):
-                key = set_key(own)
-                if doc is None or not len(own) or key in done:
-                    continue
-                done.add(key)
-                prefix, shared = prefix_of(own, counts, noise, percent)
-                m = len(prefix)
-                for h, v in zip(held, (prefix.astype(np.int64), np.arange(m, dtype=np.int32), np.full(m, key[0]), np.full(m, key[1]), np.full(m, len(own), np.int32), np.full(m, shared, np.int32))):
-                    h.append(v)
-            yield pa.record_batch([pa.array(np.concatenate(h)) if h else pa.array([], t) for h, t in zip(held, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                                  ["shingle", "pos", "k1", "k2", "n", "l"])
-
-    sent = docs.mapInArrow(send, "shingle long, pos int, k1 long, k2 long, n int, l int")
-    once = sent.repartition("shingle").dropDuplicates(["shingle", "k1", "k2"])
-    x, y = once.alias("x"), once.alias("y")
-    overlap = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
-    least = F.least("x.l", "y.l")
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.k1 < y.k1 OR (x.k1 = y.k1 AND x.k2 < y.k2)")
-                  & F.expr(f"100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n")
-                  & (F.col("x.pos") < F.col("x.n") - overlap + least) & (F.col("y.pos") < F.col("y.n") - overlap + least))
-    pairs = both.groupBy(*[F.col(f"{s}.{c}").alias(f"{t}{i}") for s, t in (("x", "a"), ("y", "b")) for i, c in ((1, "k1"), (2, "k2"))]).agg(
-        F.count(F.lit(1)).alias("found"), F.first(least).alias("asked")).filter("found >= asked").select("a1", "a2", "b1", "b2")
-    pairs = stored(pairs, "candidate-pairs")
 
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs a, b (smallest ids of classes) whose whole sets reach the threshold."""
+    ends = pairs.select(F.col("a").alias("least")).unionByName(pairs.select(F.col("b").alias("least"))).distinct()
+    wanted = stored(ends.join(classes.select("least", "k1", "k2"), "least"), "wanted-sets")
     # Only sets that may be in a pair are sent: a bitmap of their keys, of MARKS bits at any size, says which.
-    ends = pairs.select(F.col("a1").alias("k1")).unionByName(pairs.select(F.col("b1").alias("k1")))
     marks = np.zeros(MARKS, bool)
-    marks[[r["m"] for r in ends.select(F.col("k1").bitwiseAND(F.lit(MARKS - 1)).alias("m")).distinct().collect()]] = True  # MARKS rows at most
+    marks[[r["m"] for r in wanted.select(F.col("k1").bitwiseAND(F.lit(MARKS - 1)).alias("m")).distinct().collect()]] = True  # MARKS rows at most
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
@@ -174,51 +151,97 @@ def near_pairs(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
                     done.add(key)
                     keys.append(key)
                     sets.append(own.tobytes())
-            yield pa.record_batch([pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(sets, pa.binary())], ["k1", "k2", "own"])
+            yield pa.record_batch([pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()), pa.array(sets, pa.binary())], ["k1", "k2", "own"])
 
-    packed = np.packbits(marks)
-
-    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             keep = []
-            for a, b in zip(batch.column(4), batch.column(5)):
-                u, v = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = ends.distinct()
-    sets = docs.mapInArrow(whole, "k1 long, k2 long, own binary").join(wanted, "k1", "left_semi").dropDuplicates(["k1", "k2"])
+    sets = docs.mapInArrow(whole, "k1 long, k2 long, own binary").join(wanted, ["k1", "k2"]).select("least", "own").dropDuplicates(["least"])
     sets = stored(sets, "candidate-sets")
-    left = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("own").alias("a"))
-    right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("own").alias("b"))
-    joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "a", "b")
-    links = joined.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
-    return described, stored(links, "links")
+    left = sets.select(F.col("least").alias("a"), F.col("own").alias("x"))
+    right = sets.select(F.col("least").alias("b"), F.col("own").alias("y"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return stored(joined.mapInArrow(check, "a long, b long"), "links")
+
+
+def star_pairs(classes: DataFrame) -> DataFrame:
+    """a, b: each class with the smallest id that has the same smallest hash under one of the orders.
+
+    A few pairs a class, however large its group of near copies is.
+    """
+    each = classes.select("least", F.posexplode(F.array(*[f"m{j}" for j in range(ORDERS)])).alias("j", "m"))
+    first = each.groupBy("j", "m").agg(F.min("least").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # Joining on the digest too deals out both sides anew, so that Spark can split a large group's rows.
+    first = first.select("j", "m", "a", F.xxhash64("j", "m").alias("digest"))
+    return each.withColumn("digest", F.xxhash64("j", "m")).join(first, ["digest", "j", "m"]).filter("least <> a").select("a", F.col("least").alias("b")).distinct()
+
+
+def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
+    """a, b: pairs of classes of different components that share enough of their prefixes."""
+    noise = float(np.median(counts))
+
+    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids, sizes, chosen, prefixes = [], [], [], []
+            for doc, own in _sets(batch, k):
+                if doc is not None and len(own):
+                    prefix, shared = prefix_of(own, counts, noise, percent)
+                    ids.append(doc)
+                    sizes.append(len(own))
+                    chosen.append(shared)
+                    prefixes.append(prefix.astype(np.int64))
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(chosen, pa.int32()), values], ["doc_id", "n", "l", "prefix"])
+
+    sent = docs.mapInArrow(send, "doc_id long, n int, l int, prefix array<long>")
+    # One document a class speaks for it: the one with its smallest id.
+    own = sent.join(labelled, sent["doc_id"] == labelled["least"]).select("least", "component", "n", "l", F.posexplode("prefix").alias("pos", "shingle"))
+    once = own.repartition("shingle").dropDuplicates(["shingle", "least"])
+    x, y = once.alias("x"), once.alias("y")
+    overlap = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    asked = F.least("x.l", "y.l")
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.least < y.least AND x.component <> y.component")
+                  & F.expr(f"100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n")
+                  & (F.col("x.pos") < F.col("x.n") - overlap + asked) & (F.col("y.pos") < F.col("y.n") - overlap + asked))
+    return both.groupBy(F.col("x.least").alias("a"), F.col("y.least").alias("b")).agg(
+        F.count(F.lit(1)).alias("found"), F.min(asked).alias("asked")).filter("found >= asked").select("a", "b")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row.
+    """doc_id, n_shingles, component_id of every row.
 
     Two documents link when 100 * |shared| >= percent * |all|; ``component_id``
     is the smallest id that a document reaches by links (its own at least).
+    Pairs within a component that is already known are not formed: first each
+    class is held against one class of those with the same smallest hash, which
+    brings groups of near copies together; the prefix join then looks for all
+    links between different components.
     """
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    described, links = near_pairs(rows, k, percent)
-    classes = stored(described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")), "classes")
-    a = classes.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("least").alias("a"), F.col("members").alias("a_members"))
-    b = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("least").alias("b"), F.col("members").alias("b_members"))
-    named = stored(links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b", "a_members", "b_members"), "named-links")
-    reached = components(named.select("a", "b")).select(F.col("v").alias("least"), "component")
-    others = named.select(F.col("a").alias("least"), F.col("b_members").alias("others")).unionByName(named.select(F.col("b").alias("least"), F.col("a_members").alias("others")))
-    others = others.groupBy("least").agg(F.sum("others").alias("others"))
-    known = classes.join(reached, "least", "left").join(others, "least", "left").select(
-        "k1", "k2", F.coalesce("component", "least").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    made = stored(describe(rows, k), "sets")
+    described = made.filter("bucket IS NULL")
+    counts = np.zeros(BUCKETS)
+    for r in made.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).collect():  # BUCKETS rows at most
+        counts[r["bucket"]] = r["n"]
+    mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(ORDERS)]
+    classes = stored(described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *mins), "classes")
+    near = verified(rows, classes, stored(star_pairs(classes), "star-pairs"), k, percent)
+    reached = components(near).select(F.col("v").alias("least"), "component")
+    labelled = stored(classes.select("least").join(reached, "least", "left").select("least", F.coalesce("component", "least").alias("component")), "labels")
+    rest = verified(rows, classes, stored(prefix_pairs(rows, labelled, counts, k, percent), "candidate-pairs"), k, percent)
+    reached = components(near.unionByName(rest)).select(F.col("v").alias("least"), "component")
+    known = classes.join(reached, "least", "left").select("k1", "k2", F.coalesce("component", "least").alias("component"))
     # Spark can split a large class's rows, as both sides are dealt out for this join.
-    joined = described.join(known, ["k1", "k2"], "left")
+    joined = described.select("doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
     single = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-                         F.when(single, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +263,6 @@ WITH RECURSIVE w AS (
 ), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
 )
-SELECT s.doc_id, len(s.shingles) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = s.doc_id) AS component_id,
-  (SELECT count(*) FROM links WHERE links.a = s.doc_id) AS n_links
+SELECT s.doc_id, len(s.shingles) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = s.doc_id) AS component_id
 FROM s
 """
