@@ -10,17 +10,19 @@ prefix, and with it what is read, grows.  A pair is asked for the smaller l of
 the two, counted within the prefixes that belong to it, and only pairs with
 that many are verified on the whole sets.
 
-Documents with the same set are one class, named by its smallest id, for
-which one document speaks.  Only links between components that are not known
-to be one are looked for, so a group of near copies is not paired out.  The
-whole sets are sent only for classes that are in a candidate pair.
+Documents with the same set are one class, which is joined once; a task sends
+each class's prefix once, however many copies it holds.  The whole sets are
+sent only for classes that are in a candidate pair.  ``ngram_join`` finds every
+link; its work grows with the links, so with the square of a group of near
+copies.  ``without_near_duplicates`` needs components only and does not look
+for links within a component that it knows already.
 
 Defined results: a document without words (or with null text) has no shingle
 and links with nothing; one with fewer words than a shingle has one, the
 whole sequence; a null id is not linked and has no component; rows that
 repeat an id and a text are copies of each other; an empty table gives no
-row; an id should name one text (of several, one counts); other columns are
-ignored.
+row; of an id with several texts each row has its own text's result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,10 +135,23 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def classified(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Documents (doc_id, n, k1, k2), classes (k1, k2, node, least, members, m0 to m7; without null ids) and bucket counts."""
+    made = stored(describe(docs, k), "sets")
+    described = made.filter("bucket IS NULL")
+    counts = np.zeros(BUCKETS)
+    for r in made.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).collect():  # BUCKETS rows at most
+        counts[r["bucket"]] = r["n"]
+    mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(ORDERS)]
+    classes = described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"), *mins)
+    # The number of a class is drawn when it is stored; later stages read it.
+    return described.select("doc_id", "n", "k1", "k2"), stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes"), counts
+
+
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs a, b (smallest ids of classes) whose whole sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("least")).unionByName(pairs.select(F.col("b").alias("least"))).distinct()
-    wanted = stored(ends.join(classes.select("least", "k1", "k2"), "least"), "wanted-sets")
+    """The pairs a, b (numbers of classes) whose whole sets reach the threshold."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(ends.join(classes.select("node", "k1", "k2"), "node"), "wanted-sets")
     # Only sets that may be in a pair are sent: a bitmap of their keys, of MARKS bits at any size, says which.
     marks = np.zeros(MARKS, bool)
     marks[[r["m"] for r in wanted.select(F.col("k1").bitwiseAND(F.lit(MARKS - 1)).alias("m")).distinct().collect()]] = True  # MARKS rows at most
@@ -162,91 +177,126 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
                 keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    sets = docs.mapInArrow(whole, "k1 long, k2 long, own binary").join(wanted, ["k1", "k2"]).select("least", "own").dropDuplicates(["least"])
+    sets = docs.mapInArrow(whole, "k1 long, k2 long, own binary").join(wanted, ["k1", "k2"]).select("node", "own").dropDuplicates(["node"])
     sets = stored(sets, "candidate-sets")
-    left = sets.select(F.col("least").alias("a"), F.col("own").alias("x"))
-    right = sets.select(F.col("least").alias("b"), F.col("own").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("own").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return stored(joined.mapInArrow(check, "a long, b long"), "links")
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """a, b: each class with the smallest id that has the same smallest hash under one of the orders.
+    """a, b: each class with the lowest class that has the same smallest hash under one of the orders.
 
     A few pairs a class, however large its group of near copies is.
     """
-    each = classes.select("least", F.posexplode(F.array(*[f"m{j}" for j in range(ORDERS)])).alias("j", "m"))
-    first = each.groupBy("j", "m").agg(F.min("least").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    each = classes.select("node", F.posexplode(F.array(*[f"m{j}" for j in range(ORDERS)])).alias("j", "m"))
+    first = each.groupBy("j", "m").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     # Joining on the digest too deals out both sides anew, so that Spark can split a large group's rows.
     first = first.select("j", "m", "a", F.xxhash64("j", "m").alias("digest"))
-    return each.withColumn("digest", F.xxhash64("j", "m")).join(first, ["digest", "j", "m"]).filter("least <> a").select("a", F.col("least").alias("b")).distinct()
+    return each.withColumn("digest", F.xxhash64("j", "m")).join(first, ["digest", "j", "m"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """a, b: pairs of classes of different components that share enough of their prefixes."""
+    """a, b: pairs of classes of different components (``labelled``: k1, k2, node, component) that share enough of their prefixes."""
     noise = float(np.median(counts))
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
         for batch in it:
-            ids, sizes, chosen, prefixes = [], [], [], []
+            keys, sizes, chosen, prefixes = [], [], [], []
             for doc, own in _sets(batch, k):
-                if doc is not None and len(own):
+                key = set_key(own)
+                if doc is not None and len(own) and key not in done:
+                    done.add(key)
                     prefix, shared = prefix_of(own, counts, noise, percent)
-                    ids.append(doc)
+                    keys.append(key)
                     sizes.append(len(own))
                     chosen.append(shared)
                     prefixes.append(prefix.astype(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(chosen, pa.int32()), values], ["doc_id", "n", "l", "prefix"])
+            yield pa.record_batch([pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()), pa.array(sizes, pa.int32()), pa.array(chosen, pa.int32()), values],
+                                  ["k1", "k2", "n", "l", "prefix"])
 
-    sent = docs.mapInArrow(send, "doc_id long, n int, l int, prefix array<long>")
-    # One document a class speaks for it: the one with its smallest id.
-    own = sent.join(labelled, sent["doc_id"] == labelled["least"]).select("least", "component", "n", "l", F.posexplode("prefix").alias("pos", "shingle"))
-    once = own.repartition("shingle").dropDuplicates(["shingle", "least"])
+    sent = docs.mapInArrow(send, "k1 long, k2 long, n int, l int, prefix array<long>")
+    own = sent.join(labelled, ["k1", "k2"]).select("node", "component", "n", "l", F.posexplode("prefix").alias("pos", "shingle"))
+    once = own.repartition("shingle").dropDuplicates(["shingle", "node"])
     x, y = once.alias("x"), once.alias("y")
     overlap = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     asked = F.least("x.l", "y.l")
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.least < y.least AND x.component <> y.component")
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.node < y.node AND x.component <> y.component")
                   & F.expr(f"100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n")
                   & (F.col("x.pos") < F.col("x.n") - overlap + asked) & (F.col("y.pos") < F.col("y.n") - overlap + asked))
-    return both.groupBy(F.col("x.least").alias("a"), F.col("y.least").alias("b")).agg(
+    return both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
         F.count(F.lit(1)).alias("found"), F.min(asked).alias("asked")).filter("found >= asked").select("a", "b")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+
+
+def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` with the smallest id of the component that the links a, b make, as ``component``."""
+    reached = components(links).withColumnRenamed("v", "node").withColumnRenamed("component", "root")
+    rooted = stored(classes.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    # Joining on the digest too deals out both sides anew, so that Spark can split a large component's rows.
+    return rooted.withColumn("digest", F.xxhash64("root")).join(lowest.withColumn("digest", F.xxhash64("root")), ["digest", "root"]).drop("digest", "root")
+
+
+def _labels(described: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n, component (its own id without a class), k1, k2 and the columns ``more`` of ``known`` for every row."""
+    # Spark can split a large class's rows, as both sides are dealt out for this join.
+    joined = described.join(known.select("k1", "k2", "component", *more), ["k1", "k2"], "left")
+    single = (F.col("n") == 0) | F.col("doc_id").isNull()
+    return joined.select("doc_id", "n", F.when(single, F.col("doc_id")).otherwise(F.col("component")).alias("component"), "k1", "k2", *[F.when(~single, F.col(c)).alias(c) for c in more])
+
+
+def class_links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
+    """a, b: every pair of classes whose sets reach the threshold, once."""
+    each = classes.select("k1", "k2", "node", F.col("node").alias("component"))
+    return verified(rows, classes, stored(prefix_pairs(rows, each, counts, k, percent), "candidate-pairs"), k, percent)
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, n_shingles, component_id, n_links of every row.
 
     Two documents link when 100 * |shared| >= percent * |all|; ``component_id``
-    is the smallest id that a document reaches by links (its own at least).
+    is the smallest id that a document reaches by links (its own at least), and
+    ``n_links`` counts the other rows that it links with.
+    """
+    rows = _rows(docs, id_col, text_col)
+    described, classes, counts = classified(rows, k)
+    links = class_links(rows, classes, counts, k, percent)
+    known = _named(classes, links)
+    size = classes.select("node", "members")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(size, both["b"] == size["node"]).groupBy("a").agg(F.sum("members").alias("others"))
+    known = known.join(others.withColumnRenamed("a", "node"), "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("members") - 1)
+    return _labels(described, known, "n_links").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, component_id of every row, as ``ngram_join`` has them, without the links.
+
     Pairs within a component that is already known are not formed: first each
     class is held against one class of those with the same smallest hash, which
     brings groups of near copies together; the prefix join then looks for all
     links between different components.
     """
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    made = stored(describe(rows, k), "sets")
-    described = made.filter("bucket IS NULL")
-    counts = np.zeros(BUCKETS)
-    for r in made.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).collect():  # BUCKETS rows at most
-        counts[r["bucket"]] = r["n"]
-    mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(ORDERS)]
-    classes = stored(described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *mins), "classes")
+    rows = _rows(docs, id_col, text_col)
+    described, classes, counts = classified(rows, k)
     near = verified(rows, classes, stored(star_pairs(classes), "star-pairs"), k, percent)
-    reached = components(near).select(F.col("v").alias("least"), "component")
-    labelled = stored(classes.select("least").join(reached, "least", "left").select("least", F.coalesce("component", "least").alias("component")), "labels")
+    reached = components(near).select(F.col("v").alias("node"), "component")
+    labelled = stored(classes.select("k1", "k2", "node").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")), "labels")
     rest = verified(rows, classes, stored(prefix_pairs(rows, labelled, counts, k, percent), "candidate-pairs"), k, percent)
-    reached = components(near.unionByName(rest)).select(F.col("v").alias("least"), "component")
-    known = classes.join(reached, "least", "left").select("k1", "k2", F.coalesce("component", "least").alias("component"))
-    # Spark can split a large class's rows, as both sides are dealt out for this join.
-    joined = described.select("doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
-    single = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return _labels(described, _named(classes, near.unionByName(rest))).select("doc_id", F.col("component").alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    lost = ngram_join(docs, id_col, text_col, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost_id")).distinct()
+    lost = near_components(docs, id_col, text_col, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost_id")).distinct()
     return docs.join(lost, col(id_col).cast("long") == F.col("_lost_id"), "left_anti")
 
 
@@ -266,3 +316,6 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, len(s.shingles) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = s.doc_id) AS component_id
 FROM s
 """
+
+# ORACLE with the number of links of each document.
+LINKS_ORACLE = ORACLE.replace("AS component_id\n", "AS component_id,\n  (SELECT count(*) FROM links WHERE links.a = s.doc_id) AS n_links\n")

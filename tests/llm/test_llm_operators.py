@@ -313,6 +313,34 @@ def test_ngram_join_odd(odd, none):
     assert sorted(str(r.doc_id) for r in ngram_join.without_near_duplicates(odd).collect()) == sorted(str(i) for i, _ in ODD if i not in (4, 8))
 
 
+def test_ngram_join_counts_every_link(spark):
+    """Near copies that share their smallest hashes, and copies of each: all links count, also within a known component."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join(base[:j] + [f"new{j}"] + base[j + 1:]) for j in r.sample(range(200), 14)]
+    many = list(enumerate(near + near[:4] + texts_of(40, 3)))
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    want = brute.joined(many, 4, 85)
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_join.ngram_join(df, k=4, percent=85).collect()} == want
+    assert min(want[i][2] for i in range(14)) > 10
+    classes, counts = ngram_join.classified(df, 4)[1:]
+    links = ngram_join.class_links(df, classes, counts, 4, 85)
+    named = classes.select("node", "least")
+    got = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.least("x", "y"), F.greatest("x", "y"))
+    sets = {}
+    for i, t in many:
+        sets.setdefault(frozenset(brute.shingles(t, 4)), i)
+    sets = {i: x for x, i in sets.items()}
+    assert sorted(rows(got)) == sorted((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+
+
+def test_ngram_join_links_match_sql(spark):
+    from compare import compare
+    from conftest import SF001
+    r = compare(ngram_join.ngram_join(spark.read.parquet(f"{SF001}/documents.parquet"), k=4, percent=85), ngram_join.LINKS_ORACLE, SF001)
+    assert r["cols_match"] and r["hash_match"] and "n_links" in r["oracle"] and r["oracle"]["n_links"].sum() > 0
+
+
 # --- 9: fingerprints -------------------------------------------------------------------
 def test_winnowing(odd):
     got = {(r.doc_id, len(r.winnowed)): [(w.hash, w.position) for w in r.winnowed] for r in fingerprints.fingerprints(odd).collect()}
