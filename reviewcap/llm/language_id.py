@@ -1,8 +1,11 @@
 """Language identification by fusing the evidence on a document.
 
 * Text: byte 4-grams of the letters, a naive Bayes model for each language.
-  It is fitted on a bounded sample of labelled rows (``SAMPLE`` documents,
-  whole texts, chosen by a hash of their id).  A text's mean evidence counts
+  Labels are counted over all rows: one with ``LEAST_ROWS`` rows is a language
+  at any size.  The model is fitted on a sample of labelled rows (whole texts,
+  chosen by a hash of id and text): ``SAMPLE`` over all labels, and as many
+  again dealt out evenly to the languages, so each is fitted however rare it
+  is.  A text's mean evidence counts
   as that of ``EFFECTIVE`` independent grams at most, as neighbouring grams
   are not independent.  The class ``und`` (no known language) has every gram
   equally likely.
@@ -38,8 +41,8 @@ from .bpe import batches
 from .common import col, stored
 
 GRAM_BITS = 16  # hashed 4-grams: 2**16 of them
-SAMPLE = 4000  # labelled documents that the model is fitted on, at most
-LEAST_ROWS = 5  # sampled documents that make a label a language
+SAMPLE = 4000  # labelled documents that the model is fitted on, over all labels and again evenly by language
+LEAST_ROWS = 5  # labelled documents that make a label a language
 EFFECTIVE = 200.0
 PRIOR_ROWS = 20.0  # documents that the level above counts as
 UND, UND_PRIOR = "und", 1e-3
@@ -62,9 +65,16 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and the log-likelihood of each gram (a row a gram, ``und`` last) from rows (key, text, label)."""
-    rows = labelled.filter("label IS NOT NULL").withColumn("order", F.xxhash64("key"))
+    rows = labelled.filter("label IS NOT NULL").withColumn("order", F.xxhash64("key", "text"))
     last = rows.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]  # the sample-th smallest hash
-    rows = rows.filter(F.col("order") <= F.lit(last)).select("label", "text")
+    known = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS)
+    languages = sorted(r["label"] for r in known.collect())
+    # The row with the smallest hash of each of so many parts of a language: a grouped minimum, however many rows it has.
+    share = max(LEAST_ROWS, sample // max(len(languages), 1))
+    own = rows.filter(F.col("label").isin(languages)).groupBy("label", F.pmod("order", F.lit(share)).alias("part")).agg(F.min("order").alias("order"))
+    own = own.select(F.col("label").alias("own_label"), F.col("order").alias("own_order"))
+    rows = rows.join(F.broadcast(own), (F.col("label") == F.col("own_label")) & (F.col("order") == F.col("own_order")), "left")
+    rows = rows.filter((F.col("order") <= F.lit(last)) | F.col("own_order").isNotNull()).select("label", "text")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -80,7 +90,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     # At most 2**GRAM_BITS rows for each label of the sample.
     got = rows.mapInArrow(count, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")).collect()
-    languages = sorted(r["label"] for r in got if r["gram"] == -1 and r["n"] >= LEAST_ROWS)
     counts = np.full((1 << GRAM_BITS, len(languages) + 1), 0.5)
     place = {c: i for i, c in enumerate(languages)}
     for r in got:

@@ -169,6 +169,20 @@ def test_language_id(spark):
     assert not any(r.kept for r in unlabelled.collect())
 
 
+def test_rare_language_is_known_at_any_size(spark):
+    """40 of 8040 labelled documents make a language, though few are among the 400 smallest hashes; 4 do not."""
+    r = random.Random(2)
+    words = {"en": ["the", "of", "and", "thing", "shall"], "fr": ["les", "eau", "aux", "ment", "qui"], "is": ["það", "og", "þegar", "veður", "maður"], "xx": ["zzqq", "qqzz"]}
+    labels = ["en"] * 4000 + ["fr"] * 4000 + ["is"] * 40 + ["xx"] * 4
+    docs = [(i, " ".join(r.choice(words[c]) for _ in range(30)), c, "src") for i, c in enumerate(labels)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    assert language_id.fit(df.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label")), 400)[0] == ["en", "fr", "is"]
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    got = {x.doc_id: x for x in language_id.identify(df, language_id.page_evidence(pages), sample=400).collect()}
+    assert all(got[i].lang == c and got[i].kept for i, _, c, _ in docs if c == "is")
+    assert sum(got[i].lang == c for i, _, c, _ in docs) >= 0.99 * len(docs)
+
+
 # --- 5: shards --------------------------------------------------------------------
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 1)])
 def test_hilbert_curve_visits_neighbours(spark, dims, bits):
