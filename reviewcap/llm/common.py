@@ -50,3 +50,13 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     """A given table."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def one_of_repeated(docs: DataFrame, key: Column, tie: Column, again: DataFrame) -> DataFrame:
+    """``docs`` with one row of each (key, tie) that ``again`` (columns key, tie) lists, and all other rows."""
+    again = stored(again.toDF("_again_key", "_again_tie"), "repeated-rows")
+    if again.isEmpty():
+        return docs
+    same = key.eqNullSafe(F.col("_again_key")) & (tie == F.col("_again_tie"))
+    one = docs.join(again, same, "left_semi").withColumns({"_again_key": key, "_again_tie": tie}).dropDuplicates(["_again_key", "_again_tie"])
+    return docs.join(again, same, "left_anti").union(one.drop("_again_key", "_again_tie"))

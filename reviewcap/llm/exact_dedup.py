@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, stored
+from .common import col, one_of_repeated, stored
 
 
 def chunks(text: Column, least: int, most: int) -> Column:
@@ -81,6 +81,14 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.join(lost, col(id_col).cast("long").eqNullSafe(F.col("_lost_id")) & (sha == F.col("_lost_sha")), "left_anti")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of each text, with all its columns: one with the largest id (null only where all ids are)."""
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept AND group_size > 1")
+    again = kept.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_sha256")
+    sha = F.sha2(F.coalesce(col(text_col).cast("string"), F.lit("")), 256)
+    return one_of_repeated(without_duplicates(docs, id_col, text_col), col(id_col).cast("long"), sha, again)
+
+
 ORACLE = """
 WITH t AS (SELECT doc_id, coalesce("text", '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches
-from .common import col, stored
+from .common import col, one_of_repeated, stored
 from .components import components
 
 BUCKETS = 1 << 18  # of the shingle counts
@@ -111,11 +111,11 @@ def prefix_of(own: np.ndarray, counts: np.ndarray, noise: float, percent: int) -
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: doc_id, n, k1, k2 (size and key of the set), m0 to m7 (its smallest
-    hashes under eight orders); and bucket, count (of shingles, a task's share)."""
+    """Rows of two kinds, from (doc_id, text, tie): doc_id, n, k1, k2 (size and key of the set), m0 to m7
+    (its smallest hashes under eight orders), tie; and bucket, count (of shingles, a task's share)."""
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     mins = [f"m{j}" for j in range(ORDERS)]
-    names = ["doc_id", "n", "k1", "k2", *mins, "bucket", "count"]
+    names = ["doc_id", "n", "k1", "k2", *mins, "tie", "bucket", "count"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -127,25 +127,28 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 np.add.at(counts, (own >> shift).astype(np.int64), 1)
             columns = list(zip(*rows)) or [()] * (4 + ORDERS)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), none, none], names)
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), batch.column(2), none, none], names)
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64())
-        yield pa.record_batch([*[none] * (4 + ORDERS), pa.array(seen), pa.array(counts[seen])], names)
+        yield pa.record_batch([*[none] * (5 + ORDERS), pa.array(seen), pa.array(counts[seen])], names)
 
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def classified(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Documents (doc_id, n, k1, k2), classes (k1, k2, node, least, members, m0 to m7; without null ids) and bucket counts."""
-    made = stored(describe(docs, k), "sets")
+def classified(docs: DataFrame, k: int, unnamed: bool = False) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Documents (doc_id, n, k1, k2, tie: hash of the text), classes (k1, k2, node, least, members, m0 to m7) and bucket counts.
+
+    Rows with a null id are in no class, unless ``unnamed``.
+    """
+    made = stored(describe(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")), k), "sets")
     described = made.filter("bucket IS NULL")
     counts = np.zeros(BUCKETS)
     for r in made.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).collect():  # BUCKETS rows at most
         counts[r["bucket"]] = r["n"]
     mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(ORDERS)]
-    classes = described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"), *mins)
+    classes = described.filter("n > 0" if unnamed else "n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"), *mins)
     # The number of a class is drawn when it is stored; later stages read it.
-    return described.select("doc_id", "n", "k1", "k2"), stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes"), counts
+    return described.select("doc_id", "n", "k1", "k2", "tie"), stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes"), counts
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -160,9 +163,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
         done: set[tuple[int, int]] = set()
         for batch in it:
             keys, sets = [], []
-            for doc, own in _sets(batch, k):
+            for _, own in _sets(batch, k):
                 key = set_key(own)
-                if doc is not None and marks[key[0] & (MARKS - 1)] and key not in done:
+                if marks[key[0] & (MARKS - 1)] and key not in done:
                     done.add(key)
                     keys.append(key)
                     sets.append(own.tobytes())
@@ -205,9 +208,9 @@ def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, k: in
         done: set[tuple[int, int]] = set()
         for batch in it:
             keys, sizes, chosen, prefixes = [], [], [], []
-            for doc, own in _sets(batch, k):
+            for _, own in _sets(batch, k):
                 key = set_key(own)
-                if doc is not None and len(own) and key not in done:
+                if len(own) and key not in done:
                     done.add(key)
                     prefix, shared = prefix_of(own, counts, noise, percent)
                     keys.append(key)
@@ -242,7 +245,7 @@ def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
     rooted = stored(classes.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     # Joining on the digest too deals out both sides anew, so that Spark can split a large component's rows.
-    return rooted.withColumn("digest", F.xxhash64("root")).join(lowest.withColumn("digest", F.xxhash64("root")), ["digest", "root"]).drop("digest", "root")
+    return rooted.withColumn("digest", F.xxhash64("root")).join(lowest.withColumn("digest", F.xxhash64("root")), ["digest", "root"]).drop("digest")
 
 
 def _labels(described: DataFrame, known: DataFrame, *more: str) -> DataFrame:
@@ -277,27 +280,40 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _labels(described, known, "n_links").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, component_id of every row, as ``ngram_join`` has them, without the links.
+def near_components(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, tie, component (smallest id, null where all are), root (its number) of every row (doc_id, text) with a word.
 
+    Components are those of ``ngram_join``, in which rows with a null id take part too.
     Pairs within a component that is already known are not formed: first each
     class is held against one class of those with the same smallest hash, which
     brings groups of near copies together; the prefix join then looks for all
     links between different components.
     """
-    rows = _rows(docs, id_col, text_col)
-    described, classes, counts = classified(rows, k)
+    described, classes, counts = classified(rows, k, unnamed=True)
     near = verified(rows, classes, stored(star_pairs(classes), "star-pairs"), k, percent)
     reached = components(near).select(F.col("v").alias("node"), "component")
     labelled = stored(classes.select("k1", "k2", "node").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")), "labels")
     rest = verified(rows, classes, stored(prefix_pairs(rows, labelled, counts, k, percent), "candidate-pairs"), k, percent)
-    return _labels(described, _named(classes, near.unionByName(rest))).select("doc_id", F.col("component").alias("component_id"))
+    # Spark can split a large class's rows, as both sides are dealt out for this join.
+    return described.join(_named(classes, near.unionByName(rest)).select("k1", "k2", "component", "root"), ["k1", "k2"]).select("doc_id", "tie", "component", "root")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    lost = near_components(docs, id_col, text_col, k, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost_id")).distinct()
-    return docs.join(lost, col(id_col).cast("long") == F.col("_lost_id"), "left_anti")
+    """Exactly one row of each component, with all its columns, and every row without words.
+
+    It is one with the smallest id (null only where all ids are); of several texts of that id, the one with the smallest hash.
+    """
+    found = stored(near_components(_rows(docs, id_col, text_col), k, percent), "near-components")
+    first = F.col("doc_id").eqNullSafe(F.col("component"))
+    several = found.filter(first).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("tie").alias("best"), F.max("tie").alias("worst")).filter("n > 1")
+    several = stored(several, "repeated-ids")
+    lost = found.filter(~first).select("doc_id", "tie")
+    other = found.filter(first).join(several.filter("best <> worst"), "root").filter("tie <> best").select("doc_id", "tie")
+    lost = lost.unionByName(other).distinct().toDF("_lost_id", "_lost_tie")
+    key, tie = col(id_col).cast("long"), F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")))
+    kept = docs.join(lost, key.eqNullSafe(F.col("_lost_id")) & (tie == F.col("_lost_tie")), "left_anti")
+    again = found.filter(first).join(several, "root").filter("tie = best").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return one_of_repeated(kept, key, tie, again.select("doc_id", "tie"))
 
 
 ORACLE = r"""

@@ -355,6 +355,25 @@ def test_ngram_join_links_match_sql(spark):
     assert r["cols_match"] and r["hash_match"] and "n_links" in r["oracle"] and r["oracle"]["n_links"].sum() > 0
 
 
+REPEATED = [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (None, "no id at all in this text"), (None, "no id at all in this text"),
+            (2, "another text with its own words"), (2, "a second text of the same id here"), (2, "A second text of the  same id here"), (3, "another text with its own words"), (5, "")]
+
+
+def test_one_row_of_each(spark):
+    """A batch loaded twice and rows without ids: one row of each text and of each component stays."""
+    df = spark.createDataFrame(REPEATED, "doc_id long, text string").withColumn("extra", F.lit(1))
+    exact = exact_dedup.one_of_each(df)
+    assert exact.columns == df.columns
+    keep = {}
+    for i, t in REPEATED:
+        keep[t] = max([x for x in (i, keep.get(t)) if x is not None], default=None)
+    assert sorted((r.text, str(r.doc_id)) for r in exact.collect()) == sorted((t, str(i)) for t, i in keep.items())
+    near = ngram_join.without_near_duplicates(df)
+    assert near.columns == df.columns
+    got = sorted((str(r.doc_id), r.text.lower().replace("  ", " ")) for r in near.collect())
+    assert got == sorted([("1", REPEATED[0][1]), ("None", REPEATED[3][1]), ("2", REPEATED[5][1]), ("2", REPEATED[6][1]), ("5", "")])
+
+
 # --- 9: fingerprints -------------------------------------------------------------------
 def test_winnowing(odd):
     got = {(r.doc_id, len(r.winnowed)): [(w.hash, w.position) for w in r.winnowed] for r in fingerprints.fingerprints(odd).collect()}
