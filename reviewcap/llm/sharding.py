@@ -82,12 +82,27 @@ def curve_index(levels: list[Column], bits: int) -> Column:
 
 
 def ordinal(value: Column, kind: T.DataType) -> Column:
-    """A number that orders like the value: itself, or the first six bytes of its text."""
+    """What orders like the value: a number, or its whole text."""
     if isinstance(kind, T.NumericType):
         return value.cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType)):
         return value.cast("timestamp").cast("double")
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(value.cast("string"), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    return value.cast("string")
+
+
+def text_borders(values: DataFrame, bits: int) -> list[str]:
+    """The values of the only column (strings) at which the share of the rows up to them passes a multiple of 1 / 2**bits."""
+    size = 1 << bits
+    each = values.toDF("v").filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    each = stored(each.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "text-values")
+    whole = Window.orderBy("part")  # one row for each partition
+    parts = each.groupBy("part").agg(F.sum("n").alias("own")).select(
+        "part", F.coalesce(F.sum("own").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("own").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = each.join(F.broadcast(parts), "part").withColumn("end", F.col("before") + upto)
+    passed = ranked.filter(F.expr(f"(end * {size}) div total > ((end - n) * {size}) div total AND end < total"))
+    return sorted((r["v"] for r in passed.select("v").collect()), key=lambda v: v.encode())  # 2**bits rows at most
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], shards: int, id_col: str = "doc_id", text_col: str = "text", bits: int = 6) -> DataFrame:
@@ -97,11 +112,14 @@ def hilbert_shards(docs: DataFrame, dims: list[str], shards: int, id_col: str =
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
                        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("tie"), *values)
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = docs.select(*values).agg(*[F.percentile_approx(f"d{i}", steps, 1000).alias(f"d{i}") for i in range(len(dims))]).first()
+    plain = docs.select(*values)
+    texts = {f.name: text_borders(plain.select(f.name), bits) for f in plain.schema if isinstance(f.dataType, T.StringType)}
+    cuts = plain.agg(F.lit(0).alias("none"), *[F.percentile_approx(c, steps, 1000).alias(c) for c in plain.columns if c not in texts]).first()
 
     def level(i: int) -> Column:
-        borders = F.array(*[F.lit(float(c)) for c in cuts[i] or [0.0]])
-        return F.size(F.filter(borders, lambda c: c < F.col(f"d{i}")))
+        name = f"d{i}"
+        borders = F.array(*[F.lit(c) for c in texts[name]]).cast("array<string>") if name in texts else F.array(*[F.lit(float(c)) for c in cuts[name] or [0.0]])
+        return F.size(F.filter(borders, lambda c: c < F.col(name)))
 
     levels = [level(i) for i in range(len(dims))]
     order = ["curve", "tie", "doc_id"]

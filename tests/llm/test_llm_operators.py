@@ -209,6 +209,15 @@ def test_shards(spark, odd, none, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == odd.filter("doc_id > 4").count()
 
 
+def test_shards_order_by_the_whole_text(spark):
+    """Values that share a long beginning still get levels of their own."""
+    docs = [(i, f"text {i}", f"https://www.example.org/{'abcd'[i % 4]}") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r.shard for r in sharding.hilbert_shards(df, ["source"], 4).collect()}
+    assert all(len({got[i] for i, _, v in docs if v == source}) == 1 for source in {v for _, _, v in docs})
+    assert len(set(got.values())) == 4
+
+
 # --- 6: URLs ----------------------------------------------------------------------
 def test_url_rules_and_reputation(spark):
     urls = [
