@@ -9,8 +9,9 @@ import __spark_entry__ as E
 import brute
 import corpus_pipeline
 from compare import compare
-from conftest import SF001
-from reviewcap.llm import queries
+from conftest import SF001, SF01
+from reviewcap.llm import language_id, queries
+from reviewcap.llm.common import documents
 
 NATIVE = ("op1_exact_dedup", "op3_chat_format", "op5_sharding", "op9_fingerprints")
 
@@ -40,6 +41,15 @@ def test_language_held_out(spark):
     assert right.a > 0.95 and right.k > 0.95
 
 
+def test_language_unseen_documents(spark):
+    """The model is fitted on one half of the labelled documents and judged on the other."""
+    docs = documents(spark, SF01).withColumn("unseen", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
+    shown = docs.withColumn("lang", F.when(~F.col("unseen"), F.col("lang")))
+    got = language_id.identify(shown, language_id.page_evidence(documents(spark, SF01, "pages"))).select("doc_id", F.col("lang").alias("found"))
+    judged = docs.filter("unseen").join(got, "doc_id").agg(F.avg((F.col("found") == F.col("lang")).cast("int")).alias("a"), F.count("lang").alias("n")).first()
+    assert judged.n > 200 and judged.a > 0.95, judged
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
