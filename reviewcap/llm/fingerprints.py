@@ -6,7 +6,8 @@ the hash of every k-gram.  Of each window of ``w`` successive k-grams the
 smallest hash is chosen, the rightmost of equal ones, and kept with its
 position (the word at which the k-gram begins).  So any run of w + k - 1 words
 that two documents share gives at least one hash that both have, at a place
-in that run.
+in that run.  A text of fewer than w + k words has a single hash, so its
+likeness is all or nothing.
 
 The windows' minima, too, are found by doubling: the minimum of 2 s k-grams
 is the smaller of two minima of s.  All steps take time in proportion to the
