@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, huffman, language_id, ngram_join, packing, pieces, sharding, url_filter
+from . import (bpe, chat, conversation_repair, exact_dedup, filter_audit, fingerprints, huffman, language_id, ngram_join, packing, pieces, secret_scan, sharding,
+               url_filter)
 from .common import documents, stored
 
 
@@ -64,5 +65,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_language_id, op5_sharding, op6_url_filter, op7_token_files, op8_ngram_join, op9_fingerprints, op10_packing)}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_ngram_join": ngram_join.ORACLE}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = documents(spark, sf_dir, "conversations")
+    found, edits = conversation_repair.repair(conversation_repair.damaged(turns))
+    own = found.join(conversation_repair.digests(edits).withColumnRenamed("conv_id", "edited_id"), F.col("conv_id").eqNullSafe(F.col("edited_id"))).drop("edited_id")
+    every = turns.select(F.col("conv_id").alias("every_id")).distinct()
+    joined = every.join(own, F.col("every_id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(F.col("every_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_language_id, op5_sharding, op6_url_filter, op7_token_files, op8_ngram_join, op9_fingerprints, op10_packing,
+                                   op11_conversation_repair, op12_secret_scan, op13_filter_audit)}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat.ORACLE, "op6_url_filter": url_filter.ORACLE, "op8_ngram_join": ngram_join.ORACLE,
+           "op11_conversation_repair": conversation_repair.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
