@@ -19,7 +19,7 @@ asked about all 120 orders follows from these counts.  The cut texts come from
 a bounded sample, which decides how even the ranges are and nothing else.
 
 Defined results: a null text counts as empty; a null id is no smaller id and
-fails no E; rows that repeat an id and a text do not fail E by each other; a
+fails no E and has no labels; rows that repeat an id and a text do not fail E by each other; a
 null part is the empty one; a document is good (toxic) when any label row of
 its id says so; an empty table gives no row; other columns are ignored.
 """
@@ -126,7 +126,7 @@ def prefix_cuts(texts: DataFrame, sample_texts: int = SAMPLE_TEXTS, range_bytes:
     return sorted(r["cut"] for r in found.collect())  # sample_texts / 8 rows at most
 
 
-def windows(docs: DataFrame, cuts: list[bytes]) -> DataFrame:
+def windows(docs: DataFrame, cuts: list[bytes], most_bytes: int = WINDOW_BYTES, most_rows: int = WINDOW_ROWS) -> DataFrame:
     """From (doc_id, part, text): a row (doc_id, part, mask, terminal) of each document, and a row
     (terminal, range, text, least, n) of each distinct text of a window."""
     names = ["doc_id", "part", "mask", "terminal", "range", "text", "least", "n"]
@@ -136,7 +136,7 @@ def windows(docs: DataFrame, cuts: list[bytes]) -> DataFrame:
             lo = size = 0
             for hi, text in enumerate(texts, 1):
                 size += len(text)
-                if hi == len(texts) or size > WINDOW_BYTES // 4:
+                if hi == len(texts) or size > most_bytes // 4:
                     own, m = texts[lo:hi], hi - lo
                     yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.array(range(base + lo, base + hi), pa.int64()),
                                            pa.array([bisect_right(cuts, t) for t in own], pa.int32()), pa.array(own, pa.binary()), pa.array(trie.least[lo:hi], pa.int64()),
@@ -149,7 +149,7 @@ def windows(docs: DataFrame, cuts: list[bytes]) -> DataFrame:
                 base = batch.column(3)[0].as_py()  # a task's terminals are no more than its rows, and take their numbers
             own, terminals, m = [], [], batch.num_rows
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(2)):
-                if size > WINDOW_BYTES or seen >= WINDOW_ROWS:
+                if size > most_bytes or seen >= most_rows:
                     yield from found()
                     base += len(texts)
                     trie, texts, masks, size, seen = TextTrie(), [], [], 0, 0
@@ -202,14 +202,15 @@ def smallest_ids(texts: DataFrame, ranges: int, most_bytes: int = WINDOW_BYTES)
     return dealt.sortWithinPartitions("text", F.col("least").asc_nulls_last()).drop("range").mapInArrow(run, "terminal long, first_id long")
 
 
-def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
-    """doc_id, part, mask (bit i: fails filter i of FILTERS) of every row."""
+def failure_masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang", window_bytes: int = WINDOW_BYTES,
+                  window_rows: int = WINDOW_ROWS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, part, mask (bit i: fails filter i of FILTERS) of every row; the limits change no result."""
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(part_col).cast("string"), F.lit("")).alias("part"),
                        F.encode(F.coalesce(col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
-    cuts = prefix_cuts(rows.select("text"))
-    made = stored(windows(rows, cuts), "windows")
-    firsts = smallest_ids(made.filter("text IS NOT NULL"), len(cuts) + 1)
-    # A terminal stands for WINDOW_ROWS rows at most, so no key of this join is hot.
+    cuts = prefix_cuts(rows.select("text"), range_bytes=range_bytes)
+    made = stored(windows(rows, cuts, window_bytes, window_rows), "windows")
+    firsts = smallest_ids(made.filter("text IS NOT NULL"), len(cuts) + 1, window_bytes)
+    # A terminal stands for the rows of a window at most, so no key of this join is hot.
     named = made.filter("mask IS NOT NULL").select("doc_id", "part", "mask", "terminal").join(firsts, "terminal", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     return named.select("doc_id", "part", (F.col("mask") + F.when(copy, F.lit(1 << FILTERS.index("E"))).otherwise(0)).alias("mask"))
