@@ -16,6 +16,7 @@ from reviewcap.sources.sinks import store_once
 
 MONEY = "decimal(18,2)"
 SALT_COL = "_salt"  # stored payment salt, see sources.layout
+DEFAULT_SALT = 8  # join keys a profile's payments are spread over, where pairs are formed
 
 
 def _zero():
@@ -53,10 +54,10 @@ def _range_cond(left: DataFrame, right: DataFrame, extra_keys: Sequence[str] = (
 
 
 def _salted(left: DataFrame, pay: DataFrame, params: LossParams) -> tuple[DataFrame, DataFrame, list[str]]:
-    """With ``salt_buckets`` S > 1: payments keep (or get) a salt in [0, S), the case side is copied S times."""
-    if params.salt_buckets <= 1:
+    """With S > 1 salt buckets: payments keep (or get) a salt in [0, S), the case side is copied S times."""
+    n = DEFAULT_SALT if params.salt_buckets is None else params.salt_buckets
+    if n <= 1:
         return left, pay, []
-    n = params.salt_buckets
     if SALT_COL not in pay.columns:
         pay = pay.withColumn(SALT_COL, F.pmod(F.xxhash64("card_attempt_id"), F.lit(n)))
     left = left.withColumn(SALT_COL, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
@@ -114,9 +115,74 @@ def post_case_payments_literal(first_cases: DataFrame, merchants: DataFrame, pay
     )
 
 
+# What a payment adds to each total, as whole numbers (money in pence).
+MEASURES = {
+    "total_payments": "CAST(card_attempt_id IS NOT NULL AS BIGINT)",
+    "nof_payments": "CAST(coalesce(fraud_flag, false) AS BIGINT)",
+    "nof_amount_gbp": "CASE WHEN fraud_flag THEN CAST(attempted_gbp_amount_gross * 100 AS BIGINT) END",
+    "chargeback_payments": "CAST(chargeback_amount_gbp IS NOT NULL AS BIGINT)",
+    "chargeback_amount_gbp": "CAST(chargeback_amount_gbp * 100 AS BIGINT)",
+    "_problematic": "CAST(chargeback_amount_gbp IS NOT NULL OR coalesce(fraud_flag, false) AS BIGINT)",
+}
+
+
 def loss_per_profile(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
                      params: LossParams, keys: Sequence[str]) -> DataFrame:
-    """Per (keys, profile): the payments after the first case, counted and summed.
+    """Per (keys, profile): the payments after the first case until offboarding, counted and summed.
+
+    By prefix sums; by the range join where ``salt_buckets`` asks for it or
+    payments are stored with a salt, whose buckets the join needs.
+    """
+    by_join = params.salt_buckets is not None or SALT_COL in payments.columns
+    return (loss_per_profile_by_join if by_join else loss_per_profile_by_prefix)(first_cases, merchants, payments, params, keys)
+
+
+def _time_bucket(t: str, per_day: int) -> str:
+    """A whole number that grows with time: the day, or the part of it."""
+    day = f"CAST(unix_date(to_date({t})) AS BIGINT)"
+    return day if per_day <= 1 else f"{day} * {per_day} + hour({t}) * {per_day} DIV 24"
+
+
+def loss_per_profile_by_prefix(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
+                               params: LossParams, keys: Sequence[str]) -> DataFrame:
+    """``loss_per_profile`` without pairs of cases and payments: sums until offboarding less sums until the case.
+
+    All measures are counts or sums, so a case needs two points of its
+    merchant's running sums.  Points and payments are dealt out by (profile,
+    time bucket): running sums within a bucket leave the points and one total
+    a bucket, and running sums over a merchant's bucket totals give the rest.
+    Rows are payments + cases whatever the number of rules, both are
+    scanned once, and a hot merchant is split by its buckets.  A case without
+    an offboarding after it has one point that counts nothing.
+    """
+    pay = _payments(payments, params)
+    time = pay.schema["attempt_time"].dataType.simpleString()
+    own = ["`" + c.replace("`", "``") + "`" for c in dict.fromkeys([*keys, "profile_id"])]
+    types = [f.dataType.simpleString() for c in dict.fromkeys([*keys, "profile_id"]) for f in first_cases.schema.fields if f.name == c]
+    pays = pay.filter("attempt_time IS NOT NULL AND _pay_profile_id IS NOT NULL").selectExpr(
+        "_pay_profile_id AS _pid", "attempt_time AS _t", "0 AS _sign", "false AS _point", f"{_time_bucket('attempt_time', params.buckets_per_day)} AS _bucket",
+        *[f"CAST(NULL AS {k}) AS {c}" for c, k in zip(own, types)], *[f"{e} AS _{m}" for m, e in MEASURES.items()])
+    left = first_cases.join(merchants.select("profile_id", "date_offboarded"), "profile_id", "left")
+    start, end = f"CAST(created_time AS {time})", f"CAST(date_offboarded AS {time})"
+    after, point = f"{end} > {start}", "named_struct('_t', {}, '_sign', {})".format
+    points = left.selectExpr(*own, f"inline(IF({after}, array({point(start, -1)}, {point(end, 1)}), array({point(start, 0)})))")
+    points = points.selectExpr("profile_id AS _pid", "_t", "_sign", "true AS _point", f"{_time_bucket('_t', params.buckets_per_day)} AS _bucket", *own,
+                               *[f"CAST(NULL AS BIGINT) AS _{m}" for m in MEASURES])
+    inner = "PARTITION BY _pid, _bucket ORDER BY _t, _point"  # payments at a point's time come before it
+    upto = f"OVER ({inner} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    rows = pays.unionByName(points).selectExpr("_pid", "_bucket", "_sign", "_point", *own, *[f"sum(_{m}) {upto} AS _{m}" for m in MEASURES],
+                                               f"lead(_point) OVER ({inner}) IS NULL AS _last").filter("_point OR _last")
+    before = "OVER (PARTITION BY _pid ORDER BY _bucket RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    points = rows.selectExpr("_point", *own, *[f"_sign * (coalesce(_{m}, 0) + coalesce(sum(IF(_last, _{m}, 0)) {before}, 0)) AS _{m}" for m in MEASURES]).filter("_point")
+    sums = points.groupBy(*own).agg(*[F.sum(f"_{m}").alias(f"_{m}") for m in MEASURES])
+    made = {m: f"_{m}" for m in MEASURES} | {"_problematic": "CAST(__problematic > 0 AS INT)"}
+    made |= {m: f"CAST(CAST(_{m} AS DECIMAL(26, 0)) * 0.01 AS DECIMAL(28, 2))" for m in ("nof_amount_gbp", "chargeback_amount_gbp")}
+    return sums.selectExpr(*own, *[f"{e} AS {m}" for m, e in made.items()])
+
+
+def loss_per_profile_by_join(first_cases: DataFrame, merchants: DataFrame, payments: DataFrame,
+                             params: LossParams, keys: Sequence[str]) -> DataFrame:
+    """``loss_per_profile`` by pairs of cases and payments.
 
     One left range join.  Each merchant's payments are spread over
     ``salt_buckets`` join keys and the (small) case side is copied to each, so

@@ -37,9 +37,12 @@ class LossParams:
     case_type: str = ACQUIRING
     closed_state: str = "CLOSED"
     success_flag: str = "success"
-    # Each profile's payments are spread over this many join keys, and the
-    # (small) case side is copied to each; 1 turns salting off.
-    salt_buckets: int = 8
+    # None: loss by prefix sums over time buckets, this many of them a day.
+    # A number: by a range join in which each profile's payments are spread
+    # over this many join keys, and the (small) case side is copied to each; 1
+    # turns salting off.
+    salt_buckets: int | None = None
+    buckets_per_day: int = 1
 
     def with_(self, **kw) -> "LossParams":
         return replace(self, **kw)
