@@ -15,6 +15,7 @@ import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewcap.session import ensure_checkpoint_dir
 from reviewcap.catalog import RULES
@@ -180,12 +181,17 @@ def _complete_copy(spark: SparkSession, root: str, name: str) -> str | None:
     return None
 
 
+# Paths and schemas of the copies that an application has stored or found, by folder.
+_STORED: dict[tuple[str, str], dict[str, tuple[str, T.StructType]]] = {}
+
+
 def _store(spark: SparkSession, df: DataFrame, root: str, name: str) -> DataFrame:
     path = _complete_copy(spark, root, name)
     if path is None:
         # A fresh directory per writer: a partial or concurrent write is never read.
         path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
         df.sortWithinPartitions(*_SORT[name]).write.mode("errorifexists").parquet(path)
+    _STORED.setdefault((spark.sparkContext.applicationId, root), {})[name] = (path, df.schema)
     # The schema is known from the view: passing it skips the footer-inference job.
     return spark.read.schema(df.schema).parquet(path)
 
@@ -200,15 +206,18 @@ def fixture_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -
     column pruning and filter pushdown into the files.  ``materialize=False``
     returns the lazy views instead.
     """
-    views = fixture_views(spark, sf_dir)
     if not materialize:
-        return views
+        return fixture_views(spark, sf_dir)
     try:
         ckpt = ensure_checkpoint_dir(spark)
     except ValueError as exc:  # no shared folder: same results from the lazy views
         warnings.warn(f"fixture tables not stored ({exc}); using lazy views")
-        return views
+        return fixture_views(spark, sf_dir)
     root = f"{ckpt.rstrip('/')}/reviewcap-fixtures/{_source_key(spark, sf_dir)}"
+    known = _STORED.get((spark.sparkContext.applicationId, root), {})
+    if len(known) == len(_TABLES):  # no view has to be built to read them again
+        return ReviewTables(**{n: spark.read.schema(schema).parquet(path) for n, (path, schema) in known.items()})
+    views = fixture_views(spark, sf_dir)
     dd_case = _store(spark, views.dd_case, root, "dd_case")
     return ReviewTables(
         dd_case=dd_case,
