@@ -8,6 +8,7 @@ are stated on each function and are flagged as derived.
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 from collections.abc import Sequence
 
@@ -15,13 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewcap.catalog import DEFAULT_CATALOG, RuleCatalog
-from reviewcap.functions import (classify_contains, classify_exact, half_open_window, not_equal_keep_null,
-                                 pct_half_up, upper_eq)
+from reviewcap.functions import half_open_window, not_equal_keep_null, pct_half_up
 from reviewcap.operators.cases import first_case_per_profile_rule
+from reviewcap.operators.facts import review_facts
 from reviewcap.operators.loss import MONEY_COLS, loss_per_profile, loss_per_rule
-from reviewcap.operators.precision import _precision_from, case_flags, merchant_filter, payfac_dd_cases
+from reviewcap.operators.precision import merchant_filter
 from reviewcap.params import LossParams, PrecisionParams, as_of_col
-from reviewcap.sources.sinks import store_once
 
 
 def half_up_ratio(num: Column, den: Column) -> Column:
@@ -34,18 +34,35 @@ def bridge_frame(spark: SparkSession, catalog: RuleCatalog = DEFAULT_CATALOG) ->
     return spark.createDataFrame(catalog.bridge_rows(), "precision_label string, rule_name string")
 
 
-def _merchant_outcomes(merchants: DataFrame, hidden_reason: str) -> DataFrame:
-    """One row per profile: offboarded (non-hidden reason) or deactivated, as any-of flags."""
-    acted = ((F.col("date_offboarded").isNotNull()
-              & not_equal_keep_null(F.col("offboarding_reason"), hidden_reason))
-             | F.col("deactivation_reason").isNotNull())
-    return merchants.groupBy("profile_id").agg(F.max(acted.cast("int")).alias("_acted"))
+def merchant_states(merchants: DataFrame, params: PrecisionParams) -> DataFrame:
+    """One row per profile: acted on at all (offboarded for a reason not hidden, or deactivated), and, of its
+    accepted rows (``merchant_filter``), whether there is one and one offboarded or deactivated."""
+    offboarded = F.col("date_offboarded").isNotNull() & not_equal_keep_null(F.col("offboarding_reason"), params.hidden_reason)
+    deactivated, accepted = F.col("deactivation_reason").isNotNull(), merchant_filter(params)
+    states = {"_acted": offboarded | deactivated, "_accepted": accepted, "_offboarded": accepted & offboarded, "_deactivated": accepted & deactivated}
+    return merchants.filter(F.col("profile_id").isNotNull()).groupBy(F.col("profile_id").alias("_merchant_id")).agg(
+        *[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in states.items()])
 
 
 def derived_rule_inputs(spark: SparkSession, dd_case: DataFrame, case_state_change: DataFrame,
                         merchants: DataFrame, loss_params: LossParams, precision_params: PrecisionParams,
                         catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
-    """X1-X4 per loss label (every catalog rule plus the fallback, zeros when idle).
+    """X1-X4 from the tables: ``rule_inputs_from_facts`` of the days that the two windows span."""
+    start, end = facts_span(loss_params, precision_params)
+    facts = review_facts(dd_case, case_state_change, start, end, loss_params, precision_params, catalog)
+    return rule_inputs_from_facts(spark, facts, merchants, loss_params, precision_params, catalog)
+
+
+def facts_span(loss_params: LossParams, precision_params: PrecisionParams) -> tuple[Column, Column]:
+    """The first day of the earlier window and the day after the later one."""
+    lo, po = as_of_col(loss_params.as_of), as_of_col(precision_params.as_of)
+    return (F.least(F.add_months(lo, -loss_params.window_months), F.add_months(po, -precision_params.window_months)).cast("date"),
+            F.greatest(lo, po).cast("date"))
+
+
+def rule_inputs_from_facts(spark: SparkSession, facts: DataFrame, merchants: DataFrame, loss_params: LossParams,
+                           precision_params: PrecisionParams, catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
+    """X1-X4 per loss label (every catalog rule plus the fallback, zeros when idle), from ``review_facts``.
 
     * X2 ``avg_cases_per_month``: cases of the loss case type created in the
       half-open loss window, per month, rounded half up.
@@ -56,49 +73,51 @@ def derived_rule_inputs(spark: SparkSession, dd_case: DataFrame, case_state_chan
       hidden) or deactivated.
     * X4 ``rule_precision_l3m``: PRECISION (merchant-first form) mapped to the
       loss label through the catalog bridge; 0.0 when nothing was flagged.
+
+    Days are added up per (profile, rule) first, so a hot merchant is a few
+    rows where merchants are joined; both kinds of measures then go through
+    the same two groupings.  Nothing runs when this is called.
     """
-    lo = as_of_col(loss_params.as_of)
-    po = as_of_col(precision_params.as_of)
-    # One pass over the event log feeds both the per-rule metrics and PRECISION: both
-    # labels and the few columns they need are stored once, without the case texts.
-    cases = store_once(payfac_dd_cases(dd_case, case_state_change, precision_params).select(
-        "profile_id", "case_type", "state", "time_created", "case_assigned_time", "case_closed_time",
-        "minutes_assigned_to_reviewed",
-        classify_contains(F.col("rule_triggered"), catalog).alias("rule_name"),
-        classify_exact(F.col("rule_triggered"), catalog).alias("rule_group")), "classified-cases")
-    times = cases.filter(F.col("case_type") == loss_params.case_type)
-    in_loss_window = half_open_window(F.col("time_created"), lo, loss_params.window_months)
-    mins = F.col("minutes_assigned_to_reviewed")
-    reviewed = (F.col("state") == loss_params.closed_state) & half_open_window(
-        F.col("case_closed_time"), po, precision_params.window_months)
-    outcomes = _merchant_outcomes(merchants, precision_params.hidden_reason)
-    per_rule = (times.join(outcomes, "profile_id", "left")
-                .select("rule_name", in_loss_window.alias("_w"), mins.alias("_m"), reviewed.alias("_r"),
-                        F.coalesce(F.col("_acted"), F.lit(0)).alias("_acted"))
-                .groupBy("rule_name").agg(
-                    F.count_if(F.col("_w")).alias("cases_in_window"),
-                    F.sum(F.when(F.col("_w") & F.col("_m").isNotNull(), F.col("_m"))).alias("_min_sum"),
-                    F.count(F.when(F.col("_w"), F.col("_m"))).alias("_min_n"),
-                    F.count_if(F.col("_r")).alias("reviewed_cases"),
-                    F.count_if(F.col("_r") & (F.col("_acted") == 1)).alias("actioned_cases")))
-    prec = (_precision_from(merchants.filter(merchant_filter(precision_params)),
-                            case_flags(cases, precision_params), catalog, (), precision_params.hidden_reason)
-            .select(F.col("rule_group").alias("precision_label"), "precision_l3m"))
+    in_loss = half_open_window(F.col("day"), as_of_col(loss_params.as_of), loss_params.window_months)
+    in_precision = half_open_window(F.col("day"), as_of_col(precision_params.as_of), precision_params.window_months)
+    windows = {"cases": in_loss, "timed_cases": in_loss, "minutes": in_loss, "reviewed": in_precision, "assigned": in_precision,
+               "assigned_closed": in_precision}
+    merged = facts.groupBy("profile_id", "rule_name", "rule_group").agg(
+        *[F.coalesce(F.sum(F.when(w, F.col(f))), F.lit(0)).cast("long").alias(f) for f, w in windows.items()])
+    known = merged.join(merchant_states(merchants, precision_params), F.col("profile_id") == F.col("_merchant_id"), "left")
+    names: dict[str, list[str]] = {}
+    for group, name in catalog.bridge_rows():
+        names.setdefault(group, []).append(name)
+    targets = F.create_map(*[x for g, n in names.items() for x in (F.lit(g), F.array(*map(F.lit, n)))])[F.col("rule_group")]
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    counts = ("cases", "timed_cases", "minutes", "reviewed", "actioned")
+
+    def row(name: Column, profile: Column, values: dict[str, Column], flagged: Column, acted_on: Column) -> Column:
+        return F.struct(name.alias("name"), profile.alias("profile"), *[values.get(c, zero).alias(c) for c in counts],
+                        flagged.alias("flagged"), acted_on.alias("offboarded"))
+
+    own = {c: F.col(c) for c in counts[:-1]} | {"actioned": F.when(F.col("_acted"), F.col("reviewed")).otherwise(zero)}
+    flagged = F.coalesce(F.col("_accepted"), no) & (F.col("assigned") > 0)
+    offboarded = F.coalesce(F.col("_offboarded"), no) & (F.col("assigned_closed") > 0)
+    # A rule's counts need no profile; its flags are counted by profile and go to every loss label of its group.
+    each = known.select(F.inline(F.concat(F.array(row(F.col("rule_name"), F.lit(None).cast("string"), own, no, no)),
+                                          F.transform(targets, lambda n: row(n, F.col("profile_id"), {}, flagged, offboarded)))))
+    per_profile = each.groupBy("name", "profile").agg(*[F.sum(c).alias(c) for c in counts], F.max("flagged").alias("flagged"), F.max("offboarded").alias("offboarded"))
+    per_rule = per_profile.groupBy("name").agg(*[F.sum(c).alias(c) for c in counts], F.count_if("flagged").alias("flagged"),
+                                               F.count_if("offboarded").alias("offboarded"))
     bridge = F.broadcast(bridge_frame(spark, catalog))  # |catalog| + 1 rows
-    z = F.lit(0).cast("long")
-    j = bridge.join(per_rule, "rule_name", "left").join(prec, "precision_label", "left")
+    j = bridge.join(per_rule, F.col("rule_name") == F.col("name"), "left")
     months = F.lit(loss_params.window_months).cast("long")
     return j.select(
         "rule_name",
-        F.coalesce(F.col("precision_l3m"), F.lit(0.0)).alias("rule_precision_l3m"),
-        F.coalesce(pct_half_up(F.col("actioned_cases"), F.col("reviewed_cases")), F.lit(0.0))
-        .alias("per_case_precision"),
-        F.coalesce(half_up_ratio(F.col("cases_in_window"), months), z).cast("int").alias("avg_cases_per_month"),
-        F.coalesce(F.when(F.col("_min_n") > 0, half_up_ratio(F.col("_min_sum"), F.col("_min_n"))), z)
+        F.coalesce(pct_half_up(F.col("offboarded"), F.col("flagged")), F.lit(0.0)).alias("rule_precision_l3m"),
+        F.coalesce(pct_half_up(F.col("actioned"), F.col("reviewed")), F.lit(0.0)).alias("per_case_precision"),
+        F.coalesce(half_up_ratio(F.col("cases"), months), zero).cast("int").alias("avg_cases_per_month"),
+        F.coalesce(F.when(F.col("timed_cases") > 0, half_up_ratio(F.col("minutes"), F.col("timed_cases"))), zero)
         .cast("int").alias("avg_handling_time_minutes"),
-        F.coalesce(F.col("cases_in_window"), z).cast("long").alias("cases_in_window"),
-        F.coalesce(F.col("reviewed_cases"), z).cast("long").alias("reviewed_cases"),
-        F.coalesce(F.col("actioned_cases"), z).cast("long").alias("actioned_cases"),
+        F.coalesce(F.col("cases"), zero).cast("long").alias("cases_in_window"),
+        F.coalesce(F.col("reviewed"), zero).cast("long").alias("reviewed_cases"),
+        F.coalesce(F.col("actioned"), zero).cast("long").alias("actioned_cases"),
     )
 
 
@@ -109,6 +128,12 @@ def with_current_types(derived: DataFrame, current: DataFrame, default: str = "S
             .withColumn("current_review_type", F.coalesce(F.col("_cur"), F.lit(default))).drop("_cur"))
 
 
+def add_months(d: dt.date, months: int) -> dt.date:
+    """The date so many months later, or the last day of that month where it is shorter."""
+    y, m = divmod(d.year * 12 + d.month - 1 + months, 12)
+    return dt.date(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
+
+
 def month_starts(end: dt.date, n: int) -> list[dt.date]:
     """``n`` first-of-month dates ending at ``end``'s month (oldest first)."""
     out, y, m = [], end.year, end.month
@@ -118,41 +143,51 @@ def month_starts(end: dt.date, n: int) -> list[dt.date]:
     return out[::-1]
 
 
+def _spans(as_of_dates: Sequence[dt.date], months: int, open_end: bool = False) -> tuple[list[dt.date], list[list[dt.date]]]:
+    """The days at which some date's window starts (or ends), sorted, and for each span that begins there the dates whose window holds it."""
+    dates = sorted(set(as_of_dates))
+    cuts = sorted({add_months(d, -months) for d in dates} | (set() if open_end else set(dates)))
+    return cuts, [[d for d in dates if add_months(d, -months) <= c and (open_end or c < d)] for c in cuts]
+
+
+def _span_of(day: Column, cuts: Sequence[dt.date]) -> Column:
+    """The number of the span that a day lies in (0: before the first)."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= day))
+
+
+def _dates_of(span: Column, dates: Sequence[Sequence[dt.date]]) -> Column:
+    return F.element_at(F.array(*[F.array(*[F.lit(d) for d in ds]).cast("array<date>") for ds in dates]), span)
+
+
 def rule_precision_trend(merchants: DataFrame, dd_case: DataFrame, case_state_change: DataFrame,
                          as_of_dates: Sequence[dt.date], params: PrecisionParams,
                          catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
-    """PRECISION at each as-of date; rows where the rule flagged someone.
-
-    Only cases assigned or created in some date's window count.  The first
-    assignment comes from the ASSIGN events before the last date, and cases
-    assigned before every window are dropped before the join; cases created in
-    a window are a time-bounded scan.  Each case is then copied to the dates
-    whose window holds it (at most |dates| copies), never to the product of
-    cases and dates.
+    """PRECISION at each as-of date; rows where the rule flagged someone (``precision_trend_from_facts``)."""
+    start = F.lit(_spans(as_of_dates, params.window_months)[0][0])
+    facts = review_facts(dd_case, case_state_change, start, F.lit(max(as_of_dates)), LossParams(), params, catalog)
+    return precision_trend_from_facts(merchants, facts, as_of_dates, params)
+
+
+def precision_trend_from_facts(merchants: DataFrame, facts: DataFrame, as_of_dates: Sequence[dt.date],
+                               params: PrecisionParams) -> DataFrame:
+    """X5 from ``review_facts`` of the days that the dates' windows span.
+
+    The starts and ends of all windows cut time into spans (months, where the
+    dates are first days of months).  Facts are added up per (profile, rule,
+    span) once, and each date merges the spans of its window: what is copied
+    to dates is a sum of a span, not a case.
     """
-    m = params.window_months
-    first, last = F.add_months(F.lit(min(as_of_dates)), -m), F.lit(max(as_of_dates))
-    cases = dd_case.filter(upper_eq(F.col("case_type"), params.flag_case_type) & F.col("case_type").isin(*params.case_types)).select(
-        F.col("id").alias("case_id"), F.col("reference_id").alias("profile_id"), "time_created", "state",
-        F.col("metadata").alias("rule_triggered"))
-    assigned = (case_state_change.filter((F.col("event") == "ASSIGN") & (F.col("time_created") < last))
-                .groupBy("case_id").agg(F.min("time_created").alias("case_assigned_time"))
-                .filter(F.col("case_assigned_time") >= first))
-    none = F.lit(None).cast("timestamp")
-    # A case without any event is not in the review times, so it counts nowhere.
-    created = cases.filter((F.col("time_created") >= first) & (F.col("time_created") < last)).join(
-        case_state_change.select("case_id"), "case_id", "left_semi")
-    both = cases.join(assigned, "case_id").withColumn("time_created", none).unionByName(
-        created.withColumn("case_assigned_time", none))
-    dates = F.array(*[F.lit(d) for d in as_of_dates])
-    relevant = F.filter(dates, lambda d: half_open_window(F.col("case_assigned_time"), d, m)
-                        | half_open_window(F.col("time_created"), d, m))
-    rows = both.select("profile_id", "state", "time_created", "case_assigned_time", F.lit(params.flag_case_type).alias("case_type"),
-                       classify_exact(F.col("rule_triggered"), catalog).alias("rule_group"),
-                       F.explode(relevant).alias("as_of"))
-    flags = case_flags(rows, params.with_(as_of="as_of"), ("as_of",))
-    out = _precision_from(merchants.filter(merchant_filter(params)), flags, catalog, ("as_of",), params.hidden_reason)
-    return out.filter(F.col("profiles_flagged_by_risk_rules") > 0)
+    cuts, dates = _spans(as_of_dates, params.window_months)
+    spans = facts.withColumn("_span", _span_of(F.col("day"), cuts)).filter("_span > 0").groupBy("profile_id", "rule_group", "_span").agg(
+        *[F.max(F.col(f) > 0).alias(f) for f in ("assigned", "assigned_closed", "created")]).filter("assigned OR created")
+    by_date = spans.select("profile_id", "rule_group", "assigned", "assigned_closed", "created", F.explode(_dates_of(F.col("_span"), dates)).alias("as_of"))
+    states = merchant_states(merchants, params).filter("_accepted")
+    per_profile = by_date.join(states, F.col("profile_id") == F.col("_merchant_id")).groupBy("as_of", "rule_group", "profile_id").agg(
+        F.max("assigned").alias("f1"), F.max(F.col("assigned_closed") & F.col("_offboarded")).alias("f2"), F.max(F.col("created") & F.col("_deactivated")).alias("f3"))
+    per_rule = per_profile.groupBy("as_of", "rule_group").agg(*[F.count_if(f).alias(f) for f in ("f1", "f2", "f3")]).filter("f1 > 0")
+    return per_rule.select("as_of", "rule_group", F.col("f1").alias("profiles_flagged_by_risk_rules"), F.col("f2").alias("profiles_flagged_and_offboarded"),
+                           F.col("f3").alias("profiles_flagged_by_rule_and_deactivated_by_fraud"), pct_half_up(F.col("f2"), F.col("f1")).alias("precision_l3m"),
+                           ).orderBy("as_of", "rule_group")
 
 
 def rule_loss_trend(dd_case: DataFrame, merchants: DataFrame, payments: DataFrame,
@@ -160,22 +195,20 @@ def rule_loss_trend(dd_case: DataFrame, merchants: DataFrame, payments: DataFram
                     catalog: RuleCatalog = DEFAULT_CATALOG) -> DataFrame:
     """LOSS at each as-of date (the loss window has no upper bound, as in LOSS).
 
-    Cases are copied to the dates whose window start they are not before, and
-    reduced to the first case of each (date, rule, profile).  The distinct
-    first cases - most dates share theirs - meet payments once, and only the
-    sums per case are expanded to dates.  Cases and payments keep the lower
-    bound of the earliest window.
+    The starts of all windows cut time into spans.  Cases are reduced to the
+    first of each (rule, profile, span); a date's first case is the least of
+    the spans from its start on.  The distinct first cases - most dates share
+    theirs - meet payments once, and only the sums per case are expanded to
+    dates.  Cases and payments keep the lower bound of the earliest window.
     """
-    dates = F.array(*[F.lit(d) for d in as_of_dates])
-    m = params.window_months
-    earliest = F.add_months(F.lit(min(as_of_dates)), -m)
-    cases = dd_case.filter(F.col("time_created") >= earliest).withColumn("as_of", F.explode(F.filter(
-        dates, lambda d: F.col("time_created") >= F.add_months(d, -m))))
-    pays = payments.filter(F.col("attempt_time") > earliest)
-    p = params.with_(as_of="as_of")
-    per_date = first_case_per_profile_rule(cases, p, catalog, ("as_of",))
+    cuts, dates = _spans(as_of_dates, params.window_months, open_end=True)
+    earliest = F.lit(cuts[0])
+    base = params.with_(as_of=F.add_months(earliest, params.window_months))
+    cases = dd_case.filter(F.col("time_created") >= earliest).withColumn("_span", _span_of(F.to_date("time_created"), cuts)).filter("_span > 0")
+    spans = first_case_per_profile_rule(cases, base, catalog, ("_span",))
+    per_date = spans.withColumn("as_of", F.explode(_dates_of(F.col("_span"), dates))).groupBy("as_of", "rule_group", "profile_id").agg(F.min("created_time").alias("created_time"))
     first = per_date.groupBy("rule_group", "profile_id", "created_time").agg(F.collect_list("as_of").alias("dates"))
-    per_case = loss_per_profile(first, merchants, pays, p, ("rule_group", "created_time", "dates"))
-    per_profile = per_case.withColumn("as_of", F.explode("dates"))
-    exact = loss_per_rule(per_profile, ("as_of", "rule_group"))
+    pays = payments.filter(F.col("attempt_time") > earliest)
+    per_case = loss_per_profile(first, merchants, pays, params.with_(as_of="as_of"), ("rule_group", "created_time", "dates"))
+    exact = loss_per_rule(per_case.withColumn("as_of", F.explode("dates")), ("as_of", "rule_group"))
     return exact.withColumns({c: F.col(c).cast("double") for c in MONEY_COLS})

@@ -11,6 +11,7 @@ from reviewcap.catalog import DEFAULT_CATALOG, RuleCatalog
 from reviewcap.functions import classify_exact, half_open_window, not_equal_keep_null, pct_half_up, upper_eq
 from reviewcap.functions.predicates import not_in_keep_null
 from reviewcap.operators.cases import case_review_times, case_turnaround
+from reviewcap.operators.facts import present_rules, window_cases
 from reviewcap.params import PrecisionParams, as_of_col
 
 MERCHANT_COLS = ("profile_id", "date_offboarded", "offboarding_reason", "deactivation_reason",
@@ -163,9 +164,16 @@ def rule_precision_pruned(merchants: DataFrame, dd_case: DataFrame, case_state_c
 
     Valid because the status filter rejects rows without a merchant, and a
     full outer join keeps every merchant row at least once.  ``by`` adds
-    case-side grouping keys (e.g. a per-row as-of date).
+    case-side grouping keys.
+
+    Only cases that were created or assigned in the window can raise a flag;
+    only their events are pivoted.  Rules whose cases are all outside it appear
+    with zeros, from ids and labels alone.
     """
+    as_of = as_of_col(params.as_of)
     merchant_rows = merchants.filter(merchant_filter(params))
-    cases = payfac_dd_cases(dd_case, case_state_change, params, carry=[c for c in by if c in dd_case.columns])
-    cases = cases.withColumn("rule_group", classify_exact(F.col("rule_triggered"), catalog))
-    return _precision_from(merchant_rows, case_flags(cases, params, by), catalog, by, params.hidden_reason)
+    cases = window_cases(dd_case, case_state_change, F.add_months(as_of, -params.window_months), as_of, params.case_types, carry=by)
+    flags = case_flags(cases.withColumn("rule_group", classify_exact(F.col("rule_triggered"), catalog)), params, by)
+    present = present_rules(dd_case, case_state_change, params.case_types, catalog, by)
+    zeros = present.withColumns({c: F.lit(0) for c in ("flag_assigned", "flag_closed", "flag_created")})
+    return _precision_from(merchant_rows, flags.unionByName(zeros), catalog, by, params.hidden_reason)

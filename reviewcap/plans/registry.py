@@ -1,14 +1,17 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
 Every query reads the fixture views over the driver tables (or results Spark
-derives from them), so its work grows with the scale factor.  Three store a
+derives from them), so its work grows with the scale factor.  Some store a
 result when they are built, as several branches of their plan read it
-(``post_case_payments``, ``derived_*``, ``review_assignment_from_table``).  Keys match
+(``post_case_payments``) or as storing is what they show
+(``review_assignment_from_table``, ``derived_rule_inputs_from_months``,
+``rule_loss_published``).  Keys match
 ``oracle_sql()``; every computed column is aliased identically on both sides.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from reviewcap.operators import cases as C
 from reviewcap.operators import derive as D
+from reviewcap.operators import facts as X
 from reviewcap.operators import loss as L
 from reviewcap.operators import precision as P
 from reviewcap.operators import assignment as A
@@ -25,7 +29,9 @@ from reviewcap.params import DEFAULT_PLAN, FIXTURE_LOSS, FIXTURE_PRECISION
 from reviewcap.session import ensure_checkpoint_dir
 from reviewcap.sources import (fixture_customers, fixture_tables, load_rule_inputs, published_rule_inputs,
                                unit_portfolios)
+from reviewcap.sources.sinks import publish_result, read_published
 
+EMPTY_AS_OF = dt.date(2031, 1, 1)  # after every case of the given tables
 PUBLISHED_ROW_CAP = 500  # the stand-alone precision report shows this many rules at most
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,6 +217,46 @@ def derived_rule_inputs(spark: SparkSession, sf: str) -> DataFrame:
                                  FIXTURE_PRECISION)
 
 
+def review_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily facts of both windows, per profile and rule."""
+    t = fixture_tables(spark, sf)
+    start, end = D.facts_span(FIXTURE_LOSS, FIXTURE_PRECISION)
+    return portable(X.review_facts(t.dd_case, t.case_state_change, start, end, FIXTURE_LOSS, FIXTURE_PRECISION), text=("day",))
+
+
+def _fact_months(spark: SparkSession, sf: str) -> str:
+    """A store of months of facts, the last two added to the earlier ones one by one."""
+    t = fixture_tables(spark, sf)
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviewcap-stored/facts-{uuid.uuid4().hex}"
+    cuts = [D.add_months(FIXTURE_LOSS.as_of, -FIXTURE_LOSS.window_months), *TREND_DATES[-2:], FIXTURE_LOSS.as_of]
+    for start, end in zip(cuts, cuts[1:]):
+        if start < end:
+            X.write_months(X.review_facts(t.dd_case, t.case_state_change, F.lit(start), F.lit(end), FIXTURE_LOSS, FIXTURE_PRECISION), store)
+    return store
+
+
+def derived_rule_inputs_from_months(spark: SparkSession, sf: str) -> DataFrame:
+    """X1-X4 from stored months of facts."""
+    start = D.add_months(FIXTURE_LOSS.as_of, -FIXTURE_LOSS.window_months)
+    facts = X.read_months(spark, _fact_months(spark, sf), start, FIXTURE_LOSS.as_of)
+    return D.rule_inputs_from_facts(spark, facts, fixture_tables(spark, sf).merchants, FIXTURE_LOSS, FIXTURE_PRECISION)
+
+
+def rule_loss_summary_empty_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of a loss window that no case lies in: one row of zeros."""
+    t = fixture_tables(spark, sf)
+    return L.rule_loss_summary(t.dd_case, t.merchants, t.payments, FIXTURE_LOSS.with_(as_of=EMPTY_AS_OF))
+
+
+def rule_loss_published(spark: SparkSession, sf: str) -> DataFrame:
+    """LOSS published twice as versions of a result and read back by its pointer: the later version alone."""
+    t = fixture_tables(spark, sf)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviewcap-stored/published-{uuid.uuid4().hex}"
+    for as_of in (TREND_DATES[0], FIXTURE_LOSS.as_of):
+        publish_result(L.rule_loss(t.dd_case, t.merchants, t.payments, FIXTURE_LOSS.with_(as_of=as_of)), folder)
+    return read_published(spark, folder)
+
+
 def derived_review_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """End to end with no typed-in numbers except current review types (default Standard)."""
     inputs = D.with_current_types(derived_rule_inputs(spark, sf), published_rule_inputs(spark))
@@ -257,7 +303,11 @@ QUERIES: dict[str, Query] = {
     "review_assignment_null_precision": review_assignment_null_precision,
     "review_assignment_from_table": review_assignment_from_table,
     "capacity_comparison": capacity_comparison,
+    "review_facts": review_facts,
     "derived_rule_inputs": derived_rule_inputs,
+    "derived_rule_inputs_from_months": derived_rule_inputs_from_months,
+    "rule_loss_summary_empty_window": rule_loss_summary_empty_window,
+    "rule_loss_published": rule_loss_published,
     "derived_review_assignment": derived_review_assignment,
     "rule_precision_trend": rule_precision_trend,
     "rule_loss_trend": rule_loss_trend,
@@ -292,7 +342,11 @@ def oracle_queries() -> dict[str, str]:
         "review_assignment_null_precision": O.review_assignment_null_precision_sql(),
         "review_assignment_from_table": O.review_assignment_by_unit_sql(),
         "capacity_comparison": O.capacity_comparison_sql(),
+        "review_facts": O.review_facts_sql(),
         "derived_rule_inputs": O.derived_rule_inputs_sql(),
+        "derived_rule_inputs_from_months": O.derived_rule_inputs_sql(),
+        "rule_loss_summary_empty_window": O.rule_loss_summary_sql(f"DATE '{EMPTY_AS_OF.isoformat()}'"),
+        "rule_loss_published": O.rule_loss_sql(),
         "derived_review_assignment": O.derived_review_assignment_sql(),
         "rule_precision_trend": O.rule_precision_trend_sql(TREND_DATES),
         "rule_loss_trend": O.rule_loss_trend_sql(TREND_DATES),
