@@ -277,6 +277,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id long, base {spans}, spans {spans}")
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    """The number of spans of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
