@@ -1,21 +1,22 @@
 """Similarity self-join of documents on word shingles, with adaptive multi-match prefixes.
 
 A document's set holds its distinct shingles.  All sets are put in one order,
-rare shingles first (by counts of hash buckets over all documents, ``BUCKETS``
-of them at any size).  Two sets whose similarity reaches the threshold share
+rare shingles first: the frequent ones, by counts of documents from mergeable
+summaries (``FREQUENT`` shingles at any size, used for the order only), come last.  Two sets whose similarity reaches the threshold share
 at least l shingles within their prefixes of length |x| - need + l, for every
 l.  Each document chooses its own l: the estimated number of partners that
 its prefix brings falls as more shared shingles are asked for, while the
 prefix, and with it what is read, grows.  A pair is asked for the smaller l of
 the two, counted within the prefixes that belong to it, and only pairs with
-that many are verified on the whole sets.
+that many are verified on the whole sets.  Shingles that occur in the prefixes of
+one component only cannot bring a pair and are left out before the join.
 
 Documents with the same set are one class, which is joined once; a task sends
 each class's prefix once, however many copies it holds.  The whole sets are
 sent only for classes that are in a candidate pair.  ``ngram_join`` finds every
 link; its work grows with the links, so with the square of a group of near
-copies.  ``without_near_duplicates`` needs components only and does not look
-for links within a component that it knows already.
+copies.  ``ngram_components`` and ``without_near_duplicates`` need components
+only and do not look for links within a component that they know already.
 
 Defined results: a document without words (or with null text) has no shingle
 and links with nothing; one with fewer words than a shingle has one, the
@@ -36,14 +37,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import batches
 from .common import col, one_of_repeated, stored
 from .components import components
 
-BUCKETS = 1 << 18  # of the shingle counts
+FREQUENT = 1 << 20  # shingles that a summary keeps
+UNSEEN = 1.0  # partners that a shingle in no summary is taken to bring
+GATHERED = 1 << 20  # shingles that are counted at once
 MARKS = 1 << 22  # of the bitmap of classes that are in a candidate pair
 ORDERS = 8  # smallest hashes kept of a set
+AGREED = 3  # of these that two sets share before they are compared on the way to known components
 MOST_SHARED = 8  # the largest l that is tried
 VERIFY = 32.0  # cost of a verification, in shingles read
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -97,13 +102,41 @@ def need(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
-def prefix_of(own: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
+class Frequent:
+    """A mergeable summary of how many documents have a shingle: counts of ``most`` shingles, too low by an equal share at most."""
+
+    def __init__(self, most: int = FREQUENT):
+        self.most, self.keys, self.counts = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, own: np.ndarray) -> None:
+        self.waiting.append(own)
+        self.size += len(own)
+        if self.size >= GATHERED:
+            self.merge()
+
+    def merge(self) -> None:
+        new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
+        self.waiting, self.size = [], 0
+        keys, place = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([self.counts, n]), len(keys)).astype(np.int64)
+        if len(keys) > self.most:
+            counts -= np.partition(counts, len(counts) - self.most - 1)[len(counts) - self.most - 1]
+        self.keys, self.counts = keys[counts > 0], counts[counts > 0]
+
+
+def prefix_of(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
     """The shingles of a set's prefix, rare ones first, and the number l it was chosen for."""
-    often = counts[own >> np.uint64(64 - BUCKETS.bit_length() + 1)]
+    keys, counts = frequent
+    often = np.full(len(own), UNSEEN)
+    if len(keys):
+        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        often = np.where(keys[place] == own, counts[place] + UNSEEN, UNSEEN)
     order = np.lexsort((own, often))
     base = len(own) - need(len(own), percent)
     most = min(MOST_SHARED, len(own) - base)
-    partners = np.cumsum(np.maximum(often[order[:base + most]] - noise, 0.0))
+    partners = np.cumsum(often[order[:base + most]])
     shared = np.arange(1, most + 1)
     reads = partners[base:base + most]
     best = int(np.argmin(reads + base + shared + VERIFY * reads / shared)) + 1
@@ -112,39 +145,40 @@ def prefix_of(own: np.ndarray, counts: np.ndarray, noise: float, percent: int) -
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
     """Rows of two kinds, from (doc_id, text, tie): doc_id, n, k1, k2 (size and key of the set), m0 to m7
-    (its smallest hashes under eight orders), tie; and bucket, count (of shingles, a task's share)."""
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    (its smallest hashes under eight orders), tie; and shingle, count (frequent ones of a task)."""
     mins = [f"m{j}" for j in range(ORDERS)]
-    names = ["doc_id", "n", "k1", "k2", *mins, "tie", "bucket", "count"]
+    names = ["doc_id", "n", "k1", "k2", *mins, "tie", "shingle", "count"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        seen = Frequent()
         for batch in it:
             rows = []
             for doc, own in _sets(batch, k):
                 low = [int(_mix(own + np.uint64(j)).min().astype(np.int64)) for j in range(ORDERS)] if len(own) else [None] * ORDERS
                 rows.append((doc, len(own), *set_key(own), *low))
-                np.add.at(counts, (own >> shift).astype(np.int64), 1)
+                seen.add(own)
             columns = list(zip(*rows)) or [()] * (4 + ORDERS)
             none = pa.nulls(len(rows), pa.int64())
             yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), batch.column(2), none, none], names)
-        seen = np.flatnonzero(counts)
-        none = pa.nulls(len(seen), pa.int64())
-        yield pa.record_batch([*[none] * (5 + ORDERS), pa.array(seen), pa.array(counts[seen])], names)
+        seen.merge()
+        often = seen.counts > 1
+        none = pa.nulls(int(often.sum()), pa.int64())
+        yield pa.record_batch([*[none] * (5 + ORDERS), pa.array(seen.keys[often].view(np.int64)), pa.array(seen.counts[often])], names)
 
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def classified(docs: DataFrame, k: int, unnamed: bool = False) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Documents (doc_id, n, k1, k2, tie: hash of the text), classes (k1, k2, node, least, members, m0 to m7) and bucket counts.
+def classified(docs: DataFrame, k: int, unnamed: bool = False) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """Documents (doc_id, n, k1, k2, tie: hash of the text), classes (k1, k2, node, least, members, m0 to m7) and frequent shingles with counts.
 
     Rows with a null id are in no class, unless ``unnamed``.
     """
     made = stored(describe(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")), k), "sets")
-    described = made.filter("bucket IS NULL")
-    counts = np.zeros(BUCKETS)
-    for r in made.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).collect():  # BUCKETS rows at most
-        counts[r["bucket"]] = r["n"]
+    described = made.filter("shingle IS NULL")
+    often = made.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()  # FREQUENT rows at most
+    keys = often["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    counts = (keys[order], often["n"].to_numpy(np.int64)[order])
     mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(ORDERS)]
     classes = described.filter("n > 0" if unnamed else "n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"), *mins)
     # The number of a class is drawn when it is stored; later stages read it.
@@ -180,7 +214,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
                 keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    sets = docs.mapInArrow(whole, "k1 long, k2 long, own binary").join(wanted, ["k1", "k2"]).select("node", "own").dropDuplicates(["node"])
+    # Several tasks may send a set; the join takes over how the rows of one set were brought together.
+    sets = docs.mapInArrow(whole, "k1 long, k2 long, own binary").dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("node", "own")
     sets = stored(sets, "candidate-sets")
     left = sets.select(F.col("node").alias("a"), F.col("own").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
@@ -189,21 +224,22 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """a, b: each class with the lowest class that has the same smallest hash under one of the orders.
+    """a, b: each class with a class that is the lowest of those with its smallest hash, under AGREED of the orders.
 
-    A few pairs a class, however large its group of near copies is.
+    A few pairs a class, however large its group of near copies is.  Two sets
+    of similarity 0.8 agree under fewer in one case of a thousand; what that
+    leaves unlinked here the prefix join finds.
     """
     each = classes.select("node", F.posexplode(F.array(*[f"m{j}" for j in range(ORDERS)])).alias("j", "m"))
     first = each.groupBy("j", "m").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     # Joining on the digest too deals out both sides anew, so that Spark can split a large group's rows.
     first = first.select("j", "m", "a", F.xxhash64("j", "m").alias("digest"))
-    return each.withColumn("digest", F.xxhash64("j", "m")).join(first, ["digest", "j", "m"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return each.withColumn("digest", F.xxhash64("j", "m")).join(first, ["digest", "j", "m"]).filter("node <> a").groupBy(
+        "a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {AGREED}").select("a", "b")
 
 
-def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
+def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
     """a, b: pairs of classes of different components (``labelled``: k1, k2, node, component) that share enough of their prefixes."""
-    noise = float(np.median(counts))
-
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for batch in it:
@@ -212,7 +248,7 @@ def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, k: in
                 key = set_key(own)
                 if len(own) and key not in done:
                     done.add(key)
-                    prefix, shared = prefix_of(own, counts, noise, percent)
+                    prefix, shared = prefix_of(own, counts, percent)
                     keys.append(key)
                     sizes.append(len(own))
                     chosen.append(shared)
@@ -223,9 +259,17 @@ def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: np.ndarray, k: in
                                   ["k1", "k2", "n", "l", "prefix"])
 
     sent = docs.mapInArrow(send, "k1 long, k2 long, n int, l int, prefix array<long>")
-    own = sent.join(labelled, ["k1", "k2"]).select("node", "component", "n", "l", F.posexplode("prefix").alias("pos", "shingle"))
-    once = own.repartition("shingle").dropDuplicates(["shingle", "node"])
-    x, y = once.alias("x"), once.alias("y")
+    # Several tasks may send a class; the join takes over how the rows of one class were brought together.
+    own = sent.dropDuplicates(["k1", "k2"]).join(labelled, ["k1", "k2"])
+    # Narrow rows are dealt out: most shingles lie in one prefix only, and most components are one class (null).
+    packed = F.expr("shiftleft(CAST(pos AS BIGINT), 32) + n * 16L + l").alias("packed")
+    own = own.select("node", "n", "l", F.expr("nullif(component, node)").alias("other"), F.posexplode("prefix").alias("pos", "shingle")).select("node", "other", packed, "shingle")
+    within = Window.partitionBy("shingle")
+    own = own.withColumn("component", F.coalesce("other", "node"))
+    spread = own.select("*", F.min("component").over(within).alias("lowest"), F.max("component").over(within).alias("highest")).filter("lowest <> highest")
+    postings = stored(spread.selectExpr("node", "component", "shingle", "CAST(shiftright(packed, 32) AS INT) AS pos", "CAST((packed & 4294967295) DIV 16 AS INT) AS n", "CAST(packed & 15 AS INT) AS l"), "postings")
+    # Both sides are dealt out for this join, so that Spark can split a frequent shingle's rows.
+    x, y = postings.alias("x"), postings.alias("y")
     overlap = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     asked = F.least("x.l", "y.l")
     both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.node < y.node AND x.component <> y.component")
@@ -280,22 +324,36 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _labels(described, known, "n_links").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def near_components(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, tie, component (smallest id, null where all are), root (its number) of every row (doc_id, text) with a word.
+def known_components(rows: DataFrame, k: int, percent: int, unnamed: bool) -> tuple[DataFrame, DataFrame]:
+    """The described rows (doc_id, text), and the classes with the components of ``ngram_join``.
 
-    Components are those of ``ngram_join``, in which rows with a null id take part too.
     Pairs within a component that is already known are not formed: first each
     class is held against one class of those with the same smallest hash, which
     brings groups of near copies together; the prefix join then looks for all
     links between different components.
     """
-    described, classes, counts = classified(rows, k, unnamed=True)
+    described, classes, counts = classified(rows, k, unnamed)
     near = verified(rows, classes, stored(star_pairs(classes), "star-pairs"), k, percent)
     reached = components(near).select(F.col("v").alias("node"), "component")
     labelled = stored(classes.select("k1", "k2", "node").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")), "labels")
     rest = verified(rows, classes, stored(prefix_pairs(rows, labelled, counts, k, percent), "candidate-pairs"), k, percent)
+    return described, _named(classes, near.unionByName(rest))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, as ``ngram_join`` gives them, without its number of links."""
+    described, known = known_components(_rows(docs, id_col, text_col), k, percent, unnamed=False)
+    return _labels(described, known).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def near_components(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, tie, component (smallest id, null where all are), root (its number) of every row (doc_id, text) with a word.
+
+    Components are those of ``ngram_join``, in which rows with a null id take part too.
+    """
+    described, known = known_components(rows, k, percent, unnamed=True)
     # Spark can split a large class's rows, as both sides are dealt out for this join.
-    return described.join(_named(classes, near.unionByName(rest)).select("k1", "k2", "component", "root"), ["k1", "k2"]).select("doc_id", "tie", "component", "root")
+    return described.join(known.select("k1", "k2", "component", "root"), ["k1", "k2"]).select("doc_id", "tie", "component", "root")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -53,7 +53,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(documents(spark, sf_dir), k=4, percent=85).drop("n_links")  # not in its SQL
+    return ngram_join.ngram_components(documents(spark, sf_dir), k=4, percent=85)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

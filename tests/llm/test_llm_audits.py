@@ -326,3 +326,33 @@ def test_filter_audit_empty(spark):
 def test_matches_oracle(spark, name):
     r = compare(E.queries()[name](spark, SF001), E.oracle_sql()[name], SF001)
     assert r["cols_match"] and r["rows"][0] == r["rows"][1] and r["hash_match"]
+
+
+# --- 8: what the order of shingles rests on ----------------------------------------
+def test_frequent_shingles_are_kept():
+    import numpy as np
+    from reviewcap.llm import ngram_join
+    r = np.random.default_rng(3)
+    seen, true = ngram_join.Frequent(most=50), {}
+    for i in range(400):
+        own = np.unique(np.concatenate([r.integers(0, 10, 5), r.integers(1000, 10**9, 40)]).astype(np.uint64))
+        for x in own.tolist():
+            true[x] = true.get(x, 0) + 1
+        seen.add(own)
+        if i % 10 == 0:
+            seen.merge()
+    seen.merge()
+    kept = dict(zip(seen.keys.tolist(), seen.counts.tolist()))
+    lost = sum(true.values()) / 50
+    assert len(kept) <= 50 and all(0 < n <= true[x] for x, n in kept.items())
+    assert all(x in kept for x, n in true.items() if n > lost)
+
+
+def test_components_of_the_query_equal_the_join(spark):
+    from reviewcap.llm import ngram_join
+    from test_llm_operators import ODD, texts_of
+    many = [(i if i % 9 else None, t) for i, t in enumerate(texts_of(150, seed=4))] + ODD
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    for k, percent in ((4, 85), (2, 50)):
+        got = sorted(map(str, ngram_join.ngram_components(df, k=k, percent=percent).collect()))
+        assert got == sorted(map(str, ngram_join.ngram_join(df, k=k, percent=percent).drop("n_links").collect()))
