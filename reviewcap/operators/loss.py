@@ -159,7 +159,9 @@ def loss_per_profile_by_prefix(first_cases: DataFrame, merchants: DataFrame, pay
     time = pay.schema["attempt_time"].dataType.simpleString()
     own = ["`" + c.replace("`", "``") + "`" for c in dict.fromkeys([*keys, "profile_id"])]
     types = [f.dataType.simpleString() for c in dict.fromkeys([*keys, "profile_id"]) for f in first_cases.schema.fields if f.name == c]
-    pays = pay.filter("attempt_time IS NOT NULL AND _pay_profile_id IS NOT NULL").selectExpr(
+    # The lower bound that a date gives (``_payments``) leaves no null times.
+    timed = "" if params.as_of is None or isinstance(params.as_of, dt.date) else " AND attempt_time IS NOT NULL"
+    pays = pay.filter("_pay_profile_id IS NOT NULL" + timed).selectExpr(
         "_pay_profile_id AS _pid", "attempt_time AS _t", "0 AS _sign", "false AS _point", f"{_time_bucket('attempt_time', params.buckets_per_day)} AS _bucket",
         *[f"CAST(NULL AS {k}) AS {c}" for c, k in zip(own, types)], *[f"{e} AS _{m}" for m, e in MEASURES.items()])
     left = first_cases.join(merchants.select("profile_id", "date_offboarded"), "profile_id", "left")
