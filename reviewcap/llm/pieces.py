@@ -1,21 +1,23 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
 The best segmentation of a text is the one whose pieces have the largest sum
-of scores (the unigram search over the pieces and scores of a model file; of
-equal sums, the longest last piece wins at every place).  Scores are whole
-numbers in double precision, so sums are exact for texts of any length.
+of weights.  A model file of the unigram kind gives each piece its score (of equal
+sums, the longest last piece wins at every place).  In one of the BPE kind a
+way is allowed (weight 0) if each two neighbouring pieces stay as they are
+when encoded alone, which leaves one way, the library's own; see ``merges``.
+Both give the ids of the library; files of other kinds are refused.  The score
+of a text is the sum of its pieces' scores, in double precision.
 
 A text is cut where no piece can lie across (before a run of space marks that
 follows another character, as the vocabulary allows), and the parts, most of
-which come again and again, are searched side by side: one step of the search
-for all parts at once.
+which come again and again, are looked up or searched side by side.
 
 A giant text is split every ``CHUNK`` characters, wherever that falls.  The
-state at a border is how far the piece across it reaches, 0 to L - 1
-characters (L: the longest piece).  A chunk is a matrix of the best scores
+state at a border is what lies across it: how far a piece reaches (unigram), or
+which piece it is (BPE).  A chunk is a matrix of the best weights
 from each state at its start to each state at its end; matrices combine by
 the max-plus product, which is associative, so a scan over a text's matrices
-gives the score of every state at every border.  From these each chunk finds,
+gives the weight of every state at every border.  From these each chunk finds,
 on its own, the state it was entered by for each state it is left by; those
 maps compose to the states that were taken, and each chunk traces back its own
 ids.  The result is the same as that of one search over the whole text.
@@ -43,11 +45,10 @@ from pyspark.sql import functions as F
 
 from .bpe import batches
 from .common import col, stored
+from .merges import PARTS, SPACE, Merges
 
 CHUNK = 8192  # characters of a giant text's chunk
-SPACE = "▁"
 LOWEST = -np.inf
-_PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def read_model(path: str):
@@ -76,19 +77,19 @@ class Decoder:
 
 
 class Vocabulary:
-    """Pieces and scores of a model file, as tables for a search over many texts at once."""
+    """Pieces and scores of a unigram model, as tables for a search over many texts at once."""
 
-    def __init__(self, path: str, kept: int = 200_000):
-        model = read_model(path)
+    before = 0  # characters before a chunk that its search looks at
+    after_text = False
+
+    def __init__(self, model, kept: int = 200_000):
         spec = model.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("only models whose normalizer is the identity are supported")
+        if model.trainer_spec.model_type != model.trainer_spec.UNIGRAM:
+            raise ValueError("the scores of this model file are not those of the unigram kind")
         kinds = type(model.pieces[0])
         self.prefix = spec.add_dummy_prefix
         normal = {p.piece: (i, float(p.score)) for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-        if len(self.byte) != 256:
-            raise ValueError("only models with byte pieces are supported")
         self.id = {p: i for p, (i, _) in normal.items()}
         self.unknown = min(s for _, s in normal.values()) - 10.0
         self.longest = max(map(len, normal))
@@ -198,7 +199,7 @@ class Vocabulary:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
     def split(self, escaped: str) -> list[str]:
-        return _PARTS.findall(escaped) if self.cuts else [escaped]
+        return PARTS.findall(escaped) if self.cuts else [escaped]
 
     def learn(self, parts: set[str]) -> None:
         """Search the parts that are not known, and keep their ids and scores."""
@@ -232,7 +233,7 @@ class Vocabulary:
         found = [p for p in found if p >= self.longest]
         return (found[0], found[-1]) if found else (0, 0)
 
-    def matrix(self, chunk: str, size: int, last: bool) -> np.ndarray:
+    def matrix(self, chunk: str, skip: int, size: int, last: bool) -> np.ndarray:
         """Best scores from each state at the start of a chunk to each at its end.
 
         ``chunk`` holds L - 1 characters more than its ``size``, as far as the text has them.
@@ -267,7 +268,7 @@ class Vocabulary:
             out[j] = ends(best, f, size - j, len(chunk) - j)
         return out
 
-    def choices(self, chunk: str, size: int, last: bool, entry: np.ndarray) -> tuple[bytes, list[tuple[int, bytes]]]:
+    def choices(self, chunk: str, skip: int, size: int, last: bool, entry: np.ndarray) -> tuple[bytes, list[tuple[int, bytes]]]:
         """The ids that all ways through a chunk share, and for each state at its end: the state it was entered by, and the ids after the shared ones."""
         L = self.longest
         a, b = self.bounds(chunk, size)
@@ -289,11 +290,31 @@ class Vocabulary:
             out.append((came, ids))
         return b"", out
 
+    def forward(self, made: list[bytes]) -> tuple[list[bytes], float]:
+        """The scores of the states at the start of each chunk, from the chunks' matrices in order, and the text's score."""
+        L = self.longest
+        reached = np.concatenate([np.full((1, L), LOWEST), scan(np.stack([np.frombuffer(m).reshape(L, L) for m in made]))[:, 0, :]])
+        reached[0, 0] = 0.0  # a text begins in state 0
+        return [r.tobytes() for r in reached[:-1]], float(reached[-1, 0])
+
+    def entries(self, entered: bytes) -> np.ndarray:
+        return np.frombuffer(entered)
+
+
+def of_model(model) -> Vocabulary | Merges:
+    """What encodes with a model, by its kind."""
+    spec, kinds = model.normalizer_spec, type(model.pieces[0])
+    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
+        raise ValueError("only models whose normalizer is the identity are supported")
+    if sum(p.type == kinds.BYTE for p in model.pieces) != 256 or any(p.type == kinds.USER_DEFINED for p in model.pieces):
+        raise ValueError("only models with byte pieces and without pieces of the user's own are supported")
+    return Merges(model) if model.trainer_spec.model_type == model.trainer_spec.BPE else Vocabulary(model)
+
 
 @lru_cache(maxsize=1)
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str) -> Vocabulary | Merges:
     """One vocabulary for each Python worker."""
-    return Vocabulary(path)
+    return of_model(read_model(path))
 
 
 @lru_cache(maxsize=1)
@@ -331,8 +352,10 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         n = 0
         for batch in it:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = vocabulary(path).escaped(text)
-                more = vocabulary(path).longest - 1  # so far a piece may reach over the border
+                v = vocabulary(path)
+                own, more = v.escaped(text), v.longest - 1  # so far a piece may reach over the border
+                if chunk < v.longest:
+                    raise ValueError(f"a chunk must have {v.longest} characters at least")
                 key = TaskContext.get().partitionId() << 33 | n
                 n += 1
                 starts = range(0, len(own), chunk)
@@ -340,35 +363,34 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     some = starts[at:at + 256]
                     k = len(some)
                     yield pa.record_batch([pa.array([key] * k, pa.int64()), pa.array([doc] * k, pa.int64()), pa.array(range(at, at + k), pa.int32()), pa.array([min(chunk, len(own) - s) for s in some], pa.int32()),
-                                           pa.array([s + chunk >= len(own) for s in some], pa.bool_()), pa.array([own[s:s + chunk + more] for s in some], pa.string())],
-                                          ["key", "doc_id", "chunk", "size", "last", "text"])
+                                           pa.array([s + chunk >= len(own) for s in some], pa.bool_()), pa.array([min(s, v.before) for s in some], pa.int32()),
+                                           pa.array([own[max(0, s - v.before):s + chunk + more] for s in some], pa.string())],
+                                          ["key", "doc_id", "chunk", "size", "last", "skip", "text"])
 
-    chunks = stored(rows.filter(giant).mapInArrow(split, "key long, doc_id long, chunk int, size int, last boolean, text string").repartition("key", "chunk"), "chunks")
+    chunks = stored(rows.filter(giant).mapInArrow(split, "key long, doc_id long, chunk int, size int, last boolean, skip int, text string").repartition("key", "chunk"), "chunks")
 
     def transfer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            made = [vocabulary(path).matrix(t.as_py(), n.as_py(), z.as_py()).tobytes() for n, z, t in zip(*(batch.column(i) for i in (2, 3, 4)))]
+            made = [vocabulary(path).matrix(t, k, n, z).tobytes() for n, z, k, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["key", "chunk", "matrix"])
 
     def forward(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for key, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                stack = np.stack([np.frombuffer(i["matrix"]) for i in items])
-                size = round(stack.shape[1] ** 0.5)
-                reached = np.concatenate([np.full((1, size), LOWEST), scan(stack.reshape(-1, size, size))[:, 0, :]])  # a text begins in state 0
-                reached[0, 0] = 0.0
-                yield pa.record_batch([pa.array([key] * len(items), pa.int64()), pa.array([i["chunk"] for i in items], pa.int32()), pa.array([r.tobytes() for r in reached[:-1]], pa.binary()),
-                                       pa.array([float(reached[-1, 0])] * len(items), pa.float64())], ["key", "chunk", "entry", "score"])
+                entered, score = vocabulary(path).forward([i["matrix"] for i in items])
+                yield pa.record_batch([pa.array([key] * len(items), pa.int64()), pa.array([i["chunk"] for i in items], pa.int32()), pa.array(entered, pa.binary()),
+                                       pa.array([score] * len(items), pa.float64())], ["key", "chunk", "entry", "score"])
 
     def ways(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             came, shared, after = [], [], []
-            for n, z, t, e in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
-                common, own = vocabulary(path).choices(t.as_py(), n.as_py(), z.as_py(), np.frombuffer(e.as_py()))
+            for n, z, k, t, e in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6))):
+                v = vocabulary(path)
+                common, own = v.choices(t, k, n, z, v.entries(e))
                 shared.append(common)
                 came.append([c for c, _ in own])
                 after.append([i for _, i in own])
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(6), pa.array(came, pa.list_(pa.int32())), pa.array(shared, pa.binary()), pa.array(after, pa.list_(pa.binary()))],
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(7), pa.array(came, pa.list_(pa.int32())), pa.array(shared, pa.binary()), pa.array(after, pa.list_(pa.binary()))],
                                   ["key", "chunk", "score", "came", "shared", "after"])
 
     def taken(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,20 +402,27 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     state = i["came"][state]
                 yield pa.record_batch([pa.array([key] * len(items), pa.int64()), pa.array([i["chunk"] for i in items], pa.int32()), pa.array(out[::-1], pa.int32())], ["key", "chunk", "state"])
 
+    def joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for doc, score, items in zip(*(batch.column(i) for i in range(3))):
+                ids = b"".join(items.values.field(1).to_pylist())
+                own = vocabulary(path).sum(ids) if vocabulary(path).after_text else score.as_py()
+                yield pa.record_batch([pa.array([doc.as_py()], pa.int64()), pa.array([ids], pa.binary()), pa.array([own], pa.float64())], ["doc_id", "ids", "score"])
+
     def of_text(df: DataFrame, value: str) -> DataFrame:
         """A text's chunks in order: a few numbers for each, far less than the text itself."""
         return df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", value))).alias("items"))
 
-    matrices = chunks.select("key", "chunk", "size", "last", "text").mapInArrow(transfer, "key long, chunk int, matrix binary")
+    matrices = chunks.select("key", "chunk", "size", "last", "skip", "text").mapInArrow(transfer, "key long, chunk int, matrix binary")
     entries = of_text(matrices, "matrix").mapInArrow(forward, "key long, chunk int, entry binary, score double")
-    through = chunks.join(entries, ["key", "chunk"]).select("key", "chunk", "size", "last", "text", "entry", "score")
+    through = chunks.join(entries, ["key", "chunk"]).select("key", "chunk", "size", "last", "skip", "text", "entry", "score")
     found = stored(through.mapInArrow(ways, "key long, chunk int, score double, came array<int>, shared binary, after array<binary>"), "ways")
     states = of_text(found.select("key", "chunk", "came"), "came").mapInArrow(taken, "key long, chunk int, state int")
     ids = found.join(states, ["key", "chunk"]).select("key", "chunk", "score", F.concat("shared", F.get("after", "state")).alias("ids"))
     whole = ids.groupBy("key").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("items"))
     names = chunks.filter("chunk = 0").select("key", "doc_id")
-    joined = whole.join(names, "key").select("doc_id", F.aggregate("items", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"), "score")
-    return rows.filter(~giant).mapInArrow(small, "doc_id long, ids binary, score double").unionByName(joined)
+    long = whole.join(names, "key").select("doc_id", "score", "items").mapInArrow(joined, "doc_id long, ids binary, score double")
+    return rows.filter(~giant).mapInArrow(small, "doc_id long, ids binary, score double").unionByName(long)
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:

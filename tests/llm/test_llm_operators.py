@@ -86,35 +86,78 @@ def test_chunks_are_the_text(odd):
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def piece_expected(text):
-    v = pieces.vocabulary(PIECES)
-    own = {p: float(v.node_score[np.flatnonzero(v.node_id == i)[0]]) for p, i in v.id.items()} if not hasattr(piece_expected, "own") else piece_expected.own
-    piece_expected.own = own
-    found, score = brute.viterbi(v.escaped(text or ""), own, v.unknown)
-    return [i for p in found for i in v.ids_of(p)], score
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """The same pieces and scores, marked as a unigram model."""
+    model = pieces.read_model(PIECES)
+    model.trainer_spec.model_type = model.trainer_spec.UNIGRAM
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def library_ids(path):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path).encode
 
 
-def test_piece_search_is_the_best_segmentation():
+def some_texts():
     r = random.Random(5)
-    v = pieces.Vocabulary(PIECES)
-    some = ["", " ", "a  b", "the attention of the", "日本語☃", "a▁b", "\n\n x", "x" * 300] + ["".join(r.choice("ab  eéth日☃ \n") for _ in range(40)) for _ in range(60)]
+    alphabets = ["ab  eéth日☃ \n", "etaoinsrh", "ab", "e ", "日本語中国a", "0123456789", "<>/=\"' divclass", ".,;:-_=*# ", "etaoin shrdlu ▁\x00"]
+    return ["", " ", "a  b", "the attention of the", "日本語☃", "a▁b", "\n\n x", "x" * 300, " " * 37, "hello world"] + [
+        "".join(r.choice(r.choice(alphabets)) for _ in range(r.randint(1, 60))) for _ in range(60)] + ["".join(r.choice(a) for _ in range(r.randint(1, 80))) for a in alphabets for _ in range(30)]
+
+
+def test_unigram_search_is_the_best_segmentation(unigram):
+    v = pieces.vocabulary(unigram)
+    own = {p: float(v.node_score[np.flatnonzero(v.node_id == i)[0]]) for p, i in v.id.items()}
+    some = some_texts()
     for text, (ids, score) in zip(some, v.encode(some)):
-        assert (np.frombuffer(ids, np.uint32).tolist(), score) == piece_expected(text)
+        found, best = brute.viterbi(v.escaped(text), own, v.unknown)
+        assert (np.frombuffer(ids, np.uint32).tolist(), score) == ([i for p in found for i in v.ids_of(p)], best)
+        assert pieces.decoder(unigram).decode(ids) == text.replace("▁", " ")
+
+
+def test_bpe_pieces_are_those_of_the_library():
+    v, ids_of, some = pieces.vocabulary(PIECES), library_ids(PIECES), some_texts()
+    for text, (ids, score) in zip(some, v.encode(some)):
+        want = ids_of(text)
+        assert np.frombuffer(ids, np.uint32).tolist() == want
+        assert score == sum(v.score[i] for i in want)
         assert pieces.decoder(PIECES).decode(ids) == text.replace("▁", " ")
+        own = v.escaped(text)
+        if own:  # the lattice has one way through the text, and it is the library's
+            reach, came = v.walk(own, len(own), [(0, 0)])
+            assert [v.back(own, came, (len(own), n))[0] for n in reach[len(own)]] == [want]
+
+
+def test_models_of_the_wrong_kind_are_refused():
+    model = pieces.read_model(PIECES)
+    with pytest.raises(ValueError):
+        pieces.Vocabulary(model)
+    model.trainer_spec.model_type = model.trainer_spec.WORD
+    with pytest.raises(ValueError):
+        pieces.of_model(model)
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_piece_chunks_give_the_whole_search(spark, odd, none, unigram, kind):
+    path = PIECES if kind == "bpe" else unigram
+    v = pieces.vocabulary(path)
 
+    def whole(text):
+        return np.array(library_ids(PIECES)(text), np.uint32).tobytes() if kind == "bpe" else v.encode([text])[0][0]
 
-def test_piece_chunks_give_the_whole_search(spark, odd, none):
-    got = {(r.doc_id, r.decoded): r for r in pieces.decode_pieces(pieces.encode_pieces(odd, PIECES, chunk=64), PIECES).collect()}
+    got = {(r.doc_id, r.decoded): r for r in pieces.decode_pieces(pieces.encode_pieces(odd, path, chunk=64), path).collect()}
     assert len(got) == len(set((i, t or "") for i, t in ODD))
-    v = pieces.Vocabulary(PIECES)
     for i, t in ODD:
-        ids, score = v.encode([t or ""])[0]
-        assert (bytes(got[i, t or ""].ids), got[i, t or ""].score) == (ids, score)
-    assert rows(pieces.encode_pieces(none, PIECES)) == []
+        assert (bytes(got[i, t or ""].ids), got[i, t or ""].score) == (whole(t or ""), v.encode([t or ""])[0][1])
+    assert rows(pieces.encode_pieces(none, path)) == []
     r = random.Random(7)
-    hard = [(i, "".join(r.choice("eatinors") for _ in range(n))) for i, n in enumerate((40, 129, 600, 1000))]
-    out = pieces.encode_pieces(spark.createDataFrame(hard, "doc_id long, text string"), PIECES, chunk=20).collect()
-    assert sorted((x.doc_id, bytes(x.ids)) for x in out) == [(i, v.encode([t])[0][0]) for i, t in hard]
+    hard = ["".join(r.choice(a) for _ in range(n)) for a in ("eatinors", "ab", " e", "日本語中国a", "=-", "☃\n\x00x") for n in (40, 41, 129, 600, 1000)] + [" " * 333, "a" * 700]
+    out = pieces.encode_pieces(spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string"), path, chunk=20).collect()
+    assert sorted((x.doc_id, bytes(x.ids)) for x in out) == [(i, whole(t)) for i, t in enumerate(hard)]
 
 
 # --- 3: chat --------------------------------------------------------------------
