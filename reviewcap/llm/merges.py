@@ -32,6 +32,7 @@ SPACE = "▁"
 PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CUT = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 SHORT = 64  # characters of a part that is kept
+COMMON = 8  # characters of a part that is kept longest
 
 State = tuple[int, int]  # characters beyond a border (or the place of the end), length of the piece
 
@@ -71,9 +72,12 @@ class Merges:
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of texts that are given as parts."""
-        new = list(set().union(*texts) - self.known.keys())
-        if len(self.known) + len(new) > self.kept:
-            self.known = {p: self.known[p] for parts in texts for p in parts if p in self.known}
+        known = self.known
+        new = [p for p in set().union(*texts) if p not in known]  # a difference with the keys would visit all of them
+        if len(known) + len(new) > self.kept:  # short parts come most often
+            wanted = set().union(*texts)
+            short = sum(len(p) <= COMMON for p in known) < self.kept * 3 // 4
+            self.known = {p: i for p, i in known.items() if p in wanted or short and len(p) <= COMMON}
         for s in batches(new):
             self.known.update(zip(new[s], [array("I", i).tobytes() for i in self.library.encode(new[s], num_threads=1)]))
         get = self.known.__getitem__

@@ -203,7 +203,7 @@ class Vocabulary:
 
     def learn(self, parts: set[str]) -> None:
         """Search the parts that are not known, and keep their ids and scores."""
-        new = list(parts - self.known.keys())
+        new = [p for p in parts if p not in self.known]  # a difference with the keys would visit all of them
         if len(self.known) + len(new) > self.kept:
             self.known = {p: self.known[p] for p in parts if p in self.known}
         for s in batches(new, 200_000):
