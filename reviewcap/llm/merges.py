@@ -42,7 +42,7 @@ class Merges:
 
     after_text = True  # scores are summed once a text's ids are known
 
-    def __init__(self, model, kept: int = 400_000):
+    def __init__(self, model, kept: int = 150_000):
         import sentencepiece
 
         spec = model.normalizer_spec
@@ -103,7 +103,7 @@ class Merges:
         """Whether two pieces (``left`` may be empty) stay as they are when their text is encoded alone."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= self.kept * 4:
+            if len(self.pairs) >= self.kept:
                 self.pairs.clear()
             want = (self.ids_of(left) if left else []) + self.ids_of(right)
             found = self.pairs[left, right] = self.library.encode(left + right) == want

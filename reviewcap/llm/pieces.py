@@ -336,6 +336,13 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
+def few(it: Iterator[pa.RecordBatch], most: int = 128) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``most`` in a batch: chunks and their ids are large."""
+    for batch in it:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids (binary, little-endian u32), score of every row."""
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -370,7 +377,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     chunks = stored(rows.filter(giant).mapInArrow(split, "key long, doc_id long, chunk int, size int, last boolean, skip int, text string").repartition("key", "chunk"), "chunks")
 
     def transfer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in few(it):
             made = [vocabulary(path).matrix(t, k, n, z).tobytes() for n, z, k, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["key", "chunk", "matrix"])
 
@@ -382,7 +389,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                                        pa.array([score] * len(items), pa.float64())], ["key", "chunk", "entry", "score"])
 
     def ways(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in few(it):
             came, shared, after = [], [], []
             for n, z, k, t, e in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6))):
                 v = vocabulary(path)
