@@ -9,7 +9,8 @@ its prefix brings falls as more shared shingles are asked for, while the
 prefix, and with it what is read, grows.  A pair is asked for the smaller l of
 the two, counted within the prefixes that belong to it, and only pairs with
 that many are verified on the whole sets.  Shingles that occur in the prefixes of
-one component only cannot bring a pair and are left out before the join.
+one component only cannot bring a pair and are left out before the join, and
+shingles that lie in the prefixes of the same classes are joined as one.
 
 Documents with the same set are one class, which is joined once; a task sends
 each class's prefix once, however many copies it holds.  The whole sets are
@@ -266,17 +267,28 @@ def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: tuple[np.ndarray,
     own = own.select("node", "n", "l", F.expr("nullif(component, node)").alias("other"), F.posexplode("prefix").alias("pos", "shingle")).select("node", "other", packed, "shingle")
     within = Window.partitionBy("shingle")
     own = own.withColumn("component", F.coalesce("other", "node"))
-    spread = own.select("*", F.min("component").over(within).alias("lowest"), F.max("component").over(within).alias("highest")).filter("lowest <> highest")
-    postings = stored(spread.selectExpr("node", "component", "shingle", "CAST(shiftright(packed, 32) AS INT) AS pos", "CAST((packed & 4294967295) DIV 16 AS INT) AS n", "CAST(packed & 15 AS INT) AS l"), "postings")
-    # Both sides are dealt out for this join, so that Spark can split a frequent shingle's rows.
+    # Shingles that lie in the same classes (those of a shared passage) have the same list, named by 128 bits and
+    # their number; a class has one row for each list, so a pair is formed once for it, not once a shingle.
+    name = [F.bit_xor(F.xxhash64(F.lit(i), "node")).over(within).alias(f"list{i}") for i in (1, 2)]
+    spread = own.select("*", F.min("component").over(within).alias("lowest"), F.max("component").over(within).alias("highest"),
+                        *name, F.count(F.lit(1)).over(within).alias("length")).filter("lowest <> highest")
+    lists = spread.groupBy("list1", "list2", "length", "node").agg(
+        F.first("component").alias("component"), F.first(F.expr("packed & 4294967295")).alias("sizes"),
+        F.array_sort(F.collect_list(F.struct("shingle", F.expr("CAST(shiftright(packed, 32) AS INT)").alias("pos")))).alias("places"))
+    postings = stored(lists.selectExpr("list1", "list2", "length", "node", "component", "places.pos AS places", "array_min(places.pos) AS pos",
+                                       "CAST(sizes DIV 16 AS INT) AS n", "CAST(sizes & 15 AS INT) AS l"), "postings")
+    # Both sides are dealt out for this join, so that Spark can split a long list's rows.
     x, y = postings.alias("x"), postings.alias("y")
     overlap = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     asked = F.least("x.l", "y.l")
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.node < y.node AND x.component <> y.component")
+    own_end, other_end = F.col("x.n") - overlap + asked, F.col("y.n") - overlap + asked
+    same = (F.col("x.list1") == F.col("y.list1")) & (F.col("x.list2") == F.col("y.list2")) & (F.col("x.length") == F.col("y.length"))
+    both = x.join(y, same & F.expr("x.node < y.node AND x.component <> y.component")
                   & F.expr(f"100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n")
-                  & (F.col("x.pos") < F.col("x.n") - overlap + asked) & (F.col("y.pos") < F.col("y.n") - overlap + asked))
-    return both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count(F.lit(1)).alias("found"), F.min(asked).alias("asked")).filter("found >= asked").select("a", "b")
+                  & (F.col("x.pos") < own_end) & (F.col("y.pos") < other_end))
+    both = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), asked.alias("asked"), own_end.alias("p"), other_end.alias("q"), F.arrays_zip(F.col("x.places").alias("x"), F.col("y.places").alias("y")).alias("places"))
+    found = F.size(F.filter("places", lambda s: (s["x"] < F.col("p")) & (s["y"] < F.col("q"))))
+    return both.groupBy("a", "b").agg(F.sum(found).alias("found"), F.min("asked").alias("asked")).filter("found >= asked").select("a", "b")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

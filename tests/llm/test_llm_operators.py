@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from reviewcap.llm import bpe, chat, exact_dedup, fingerprints, huffman, language_id, ngram_join, packing, pieces, sharding, url_filter
+from reviewcap.llm import bpe, chat, components, exact_dedup, fingerprints, huffman, language_id, ngram_join, packing, pieces, sharding, url_filter
 
 LONG = " ".join(f"word{i % 997}" for i in range(30_000))
 ODD = [
@@ -426,6 +427,27 @@ def test_one_row_of_each(spark):
     assert got == sorted([("1", REPEATED[0][1]), ("None", REPEATED[3][1]), ("2", REPEATED[5][1]), ("2", REPEATED[6][1]), ("5", "")])
 
 
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(1000, 1600)] + [(5000, i) for i in range(5001, 5400)] + [(r.randrange(300), r.randrange(300)) for _ in range(160)]
+    links += [(9_000_000_000 + i, 7) for i in range(50)]
+    links = [e for e in links if e[0] != e[1]]
+    r.shuffle(links)
+    low = {v: v for e in links for v in e}
+    while True:
+        before = dict(low)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    for parts in (1, 40):  # one task that makes all stars, and tasks that hold a few links each
+        got = components.components(spark.createDataFrame(links, "a long, b long").repartition(parts))
+        assert sorted((x.v, x.component) for x in got.collect()) == sorted(low.items())
+    monkeypatch.setattr(components, "NODES", 3)
+    assert sorted(e for b in components._stars([pa.record_batch([[4, 2, 9], [2, 1, 8]], ["a", "b"])]) for e in zip(*b.to_pydict().values())) == [(2, 1), (4, 1), (9, 8)]
+    assert rows(components.components(spark.createDataFrame([], "a long, b long"))) == []
+
+
 # --- 9: fingerprints -------------------------------------------------------------------
 def test_winnowing(odd):
     got = {(r.doc_id, len(r.winnowed)): [(w.hash, w.position) for w in r.winnowed] for r in fingerprints.fingerprints(odd).collect()}
