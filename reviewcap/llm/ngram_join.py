@@ -9,7 +9,10 @@ its prefix brings falls as more shared shingles are asked for, while the
 prefix, and with it what is read, grows.  A pair is asked for the smaller l of
 the two, counted within the prefixes that belong to it, and only pairs with
 that many are verified on the whole sets.  Shingles that occur in the prefixes of
-one component only cannot bring a pair and are left out before the join.
+one component only cannot bring a pair and are left out before the join.  Each
+class carries a parity sketch: every bit that differs between two sketches stands
+for a shingle that only one of the sets has, so pairs whose sketches differ in
+more bits than the threshold allows are not formed.
 
 Documents with the same set are one class, which is joined once; a task sends
 each class's prefix once, however many copies it holds.  The whole sets are
@@ -35,7 +38,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,8 +52,14 @@ GATHERED = 1 << 20  # shingles that are counted at once
 MARKS = 1 << 22  # of the bitmap of classes that are in a candidate pair
 ORDERS = 8  # smallest hashes kept of a set
 AGREED = 3  # of these that two sets share before they are compared on the way to known components
+NEXT = 3  # classes that each is compared with under each order, of those with the same smallest hash
+BLOCK = 1 << 10  # classes with the same smallest hash that are dealt together
+SKETCH = 8  # words of 64 bits in a set's parity sketch
+GROUPED = 1 << 20  # shingles of whole sets that a task sends at once
 MOST_SHARED = 8  # the largest l that is tried
 VERIFY = 32.0  # cost of a verification, in shingles read
+MINS = [f"m{j}" for j in range(ORDERS)]
+SKETCHES = [f"s{j}" for j in range(SKETCH)]
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -86,6 +95,12 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
+def parity_sketch(own: np.ndarray) -> list[int]:
+    """Bits that say whether an odd number of the set's shingles falls on them, as SKETCH signed words."""
+    odd = np.bincount((_mix(own + np.uint64(ORDERS)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def set_key(own: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     return tuple(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist())
@@ -145,9 +160,8 @@ def prefix_of(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent:
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
     """Rows of two kinds, from (doc_id, text, tie): doc_id, n, k1, k2 (size and key of the set), m0 to m7
-    (its smallest hashes under eight orders), tie; and shingle, count (frequent ones of a task)."""
-    mins = [f"m{j}" for j in range(ORDERS)]
-    names = ["doc_id", "n", "k1", "k2", *mins, "tie", "shingle", "count"]
+    (its smallest hashes under eight orders), s0 to s7 (its sketch), tie; and shingle, count (frequent ones of a task)."""
+    names = ["doc_id", "n", "k1", "k2", *MINS, *SKETCHES, "tie", "shingle", "count"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Frequent()
@@ -155,21 +169,22 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             rows = []
             for doc, own in _sets(batch, k):
                 low = [int(_mix(own + np.uint64(j)).min().astype(np.int64)) for j in range(ORDERS)] if len(own) else [None] * ORDERS
-                rows.append((doc, len(own), *set_key(own), *low))
+                rows.append((doc, len(own), *set_key(own), *low, *parity_sketch(own)))
                 seen.add(own)
-            columns = list(zip(*rows)) or [()] * (4 + ORDERS)
+            columns = list(zip(*rows)) or [()] * (4 + ORDERS + SKETCH)
             none = pa.nulls(len(rows), pa.int64())
             yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), batch.column(2), none, none], names)
         seen.merge()
         often = seen.counts > 1
         none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.record_batch([*[none] * (5 + ORDERS), pa.array(seen.keys[often].view(np.int64)), pa.array(seen.counts[often])], names)
+        yield pa.record_batch([*[none] * (5 + ORDERS + SKETCH), pa.array(seen.keys[often].view(np.int64)), pa.array(seen.counts[often])], names)
 
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def classified(docs: DataFrame, k: int, unnamed: bool = False) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """Documents (doc_id, n, k1, k2, tie: hash of the text), classes (k1, k2, node, least, members, m0 to m7) and frequent shingles with counts.
+    """Documents (doc_id, n, k1, k2, tie: hash of the text), classes (k1, k2, node, least, members, n, m0 to m7, s0 to s7)
+    and frequent shingles with counts.
 
     Rows with a null id are in no class, unless ``unnamed``.
     """
@@ -179,8 +194,8 @@ def classified(docs: DataFrame, k: int, unnamed: bool = False) -> tuple[DataFram
     keys = often["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     counts = (keys[order], often["n"].to_numpy(np.int64)[order])
-    mins = [F.min(f"m{j}").alias(f"m{j}") for j in range(ORDERS)]
-    classes = described.filter("n > 0" if unnamed else "n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"), *mins)
+    same = [F.min(c).alias(c) for c in ("n", *MINS, *SKETCHES)]  # of equal sets
+    classes = described.filter("n > 0" if unnamed else "n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"), *same)
     # The number of a class is drawn when it is stored; later stages read it.
     return described.select("doc_id", "n", "k1", "k2", "tie"), stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes"), counts
 
@@ -195,51 +210,71 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
+
+        def sent(keys: list[tuple[int, int]], sets: list[np.ndarray]) -> pa.RecordBatch:
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+            return pa.record_batch([pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()), pa.ListArray.from_arrays(ends, values)], ["k1", "k2", "own"])
+
         for batch in it:
-            keys, sets = [], []
+            keys, sets, held = [], [], 0
             for _, own in _sets(batch, k):
                 key = set_key(own)
                 if marks[key[0] & (MARKS - 1)] and key not in done:
                     done.add(key)
                     keys.append(key)
-                    sets.append(own.tobytes())
-            yield pa.record_batch([pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()), pa.array(sets, pa.binary())], ["k1", "k2", "own"])
-
-    def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    sets.append(own)
+                    held += len(own)
+                    if held >= GROUPED:
+                        yield sent(keys, sets)
+                        keys, sets, held = [], [], 0
+            yield sent(keys, sets)
 
     # Several tasks may send a set; the join takes over how the rows of one set were brought together.
-    sets = docs.mapInArrow(whole, "k1 long, k2 long, own binary").dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("node", "own")
+    sets = docs.mapInArrow(whole, "k1 long, k2 long, own array<long>").dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("node", "own")
     sets = stored(sets, "candidate-sets")
     left = sets.select(F.col("node").alias("a"), F.col("own").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return stored(joined.mapInArrow(check, "a long, b long"), "links")
+    reached = (100 + percent) * F.size(F.array_intersect("x", "y")).cast("long") >= percent * (F.size("x").cast("long") + F.size("y"))
+    return stored(pairs.join(left, "a").join(right, "b").filter(reached).select("a", "b"), "links")
+
+
+def least_overlap(x: str, y: str, percent: int) -> Column:
+    """The shingles that sets of ``x``.n and ``y``.n shingles share at least when they reach the threshold."""
+    return F.expr(f"({percent}L * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent}")
+
+
+def sketches_allow(x: str, y: str, percent: int) -> Column:
+    """Whether the sketches of ``x`` and ``y`` differ in no more bits than sets that reach the threshold can."""
+    differ = F.expr(" + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SKETCHES))
+    return differ <= F.expr(f"{x}.n + {y}.n") - 2 * least_overlap(x, y, percent)
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
-    """a, b: each class with a class that is the lowest of those with its smallest hash, under AGREED of the orders.
+def near_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: each class with the NEXT ones of a random row of those with its smallest hash, where AGREED hashes and the sketches allow a link.
 
-    A few pairs a class, however large its group of near copies is.  Two sets
-    of similarity 0.8 agree under fewer in one case of a thousand; what that
-    leaves unlinked here the prefix join finds.
+    These are at most ORDERS * NEXT pairs a class, however large its group of
+    near copies is.  Each order deals the group anew, so that links between a
+    few random pairs a class bring nearly all of it together even where only one
+    pair of ten reaches the threshold; what they leave apart the prefix join finds.
     """
-    each = classes.select("node", F.posexplode(F.array(*[f"m{j}" for j in range(ORDERS)])).alias("j", "m"))
-    first = each.groupBy("j", "m").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    # Joining on the digest too deals out both sides anew, so that Spark can split a large group's rows.
-    first = first.select("j", "m", "a", F.xxhash64("j", "m").alias("digest"))
-    return each.withColumn("digest", F.xxhash64("j", "m")).join(first, ["digest", "j", "m"]).filter("node <> a").groupBy(
-        "a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {AGREED}").select("a", "b")
+    each = classes.select("node", F.posexplode(F.array(*MINS)).alias("j", "m")).withColumn("digest", F.xxhash64("j", "m"))
+    members = each.groupBy("digest", "j", "m").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # Both sides are dealt out anew for the join on the hash, so that Spark can split a large group's rows.
+    turned = each.join(members, ["digest", "j", "m"]).withColumn("turn", F.xxhash64("node", "j"))
+    turned = turned.withColumn("block", F.expr(f"pmod(turn, (members + {BLOCK - 1}) div {BLOCK})"))
+    row = Window.partitionBy("digest", "j", "m", "block").orderBy("turn", "node")
+    following = F.array(*[F.lead("node", i).over(row) for i in range(1, NEXT + 1)])
+    pairs = turned.select("node", following.alias("following")).select("node", F.explode("following").alias("other")).filter("other IS NOT NULL")
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    known = classes.select("node", "n", *MINS, *SKETCHES)
+    agreed = F.expr(" + ".join(f"CAST(x.{c} = y.{c} AS INT)" for c in MINS)) >= AGREED
+    both = pairs.join(known.alias("x"), F.col("a") == F.col("x.node")).join(known.alias("y"), F.col("b") == F.col("y.node"))
+    return both.filter(agreed & sketches_allow("x", "y", percent)).select("a", "b")
 
 
 def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """a, b: pairs of classes of different components (``labelled``: k1, k2, node, component) that share enough of their prefixes."""
+    """a, b: pairs of classes of different components (``labelled``: k1, k2, node, s0 to s7, component, size: its classes) that share enough of their prefixes."""
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for batch in it:
@@ -260,22 +295,27 @@ def prefix_pairs(docs: DataFrame, labelled: DataFrame, counts: tuple[np.ndarray,
 
     sent = docs.mapInArrow(send, "k1 long, k2 long, n int, l int, prefix array<long>")
     # Several tasks may send a class; the join takes over how the rows of one class were brought together.
-    own = sent.dropDuplicates(["k1", "k2"]).join(labelled, ["k1", "k2"])
+    own = sent.dropDuplicates(["k1", "k2"]).join(labelled.select("k1", "k2", "node", "component", "size"), ["k1", "k2"])
     # Narrow rows are dealt out: most shingles lie in one prefix only, and most components are one class (null).
     packed = F.expr("shiftleft(CAST(pos AS BIGINT), 32) + n * 16L + l").alias("packed")
-    own = own.select("node", "n", "l", F.expr("nullif(component, node)").alias("other"), F.posexplode("prefix").alias("pos", "shingle")).select("node", "other", packed, "shingle")
+    own = own.select("node", "n", "l", F.expr("nullif(component, node)").alias("other"), F.expr("nullif(size, 1L)").alias("size"), F.posexplode("prefix").alias("pos", "shingle")).select(
+        "node", "other", "size", packed, "shingle")
     within = Window.partitionBy("shingle")
     own = own.withColumn("component", F.coalesce("other", "node"))
-    spread = own.select("*", F.min("component").over(within).alias("lowest"), F.max("component").over(within).alias("highest")).filter("lowest <> highest")
-    postings = stored(spread.selectExpr("node", "component", "shingle", "CAST(shiftright(packed, 32) AS INT) AS pos", "CAST((packed & 4294967295) DIV 16 AS INT) AS n", "CAST(packed & 15 AS INT) AS l"), "postings")
-    # Both sides are dealt out for this join, so that Spark can split a frequent shingle's rows.
-    x, y = postings.alias("x"), postings.alias("y")
-    overlap = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    largest = F.max(F.struct(F.coalesce("size", F.lit(1)), "component")).over(within)["component"]
+    spread = own.select("*", F.min("component").over(within).alias("lowest"), F.max("component").over(within).alias("highest"), largest.alias("largest")).filter("lowest <> highest")
+    spread = spread.selectExpr("node", "component", "component = largest AS main", "shingle", "CAST(shiftright(packed, 32) AS INT) AS pos", "CAST((packed & 4294967295) DIV 16 AS INT) AS n", "CAST(packed & 15 AS INT) AS l")
+    postings = stored(spread.join(labelled.select("node", *SKETCHES), "node"), "postings")
+    # Both sides are dealt out for this join, so that Spark can split a frequent shingle's rows.  Of a
+    # shingle's largest component no two postings meet: one side holds those of the other components only.
+    x, y = postings.filter("NOT main").alias("x"), postings.alias("y")
+    overlap = least_overlap("x", "y", percent)
     asked = F.least("x.l", "y.l")
-    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.node < y.node AND x.component <> y.component")
-                  & F.expr(f"100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n")
-                  & (F.col("x.pos") < F.col("x.n") - overlap + asked) & (F.col("y.pos") < F.col("y.n") - overlap + asked))
-    return both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.component <> y.component AND (y.main OR x.node < y.node)")
+                  & F.expr(f"100L * x.n >= {percent} * y.n AND 100L * y.n >= {percent} * x.n")
+                  & (F.col("x.pos") < F.col("x.n") - overlap + asked) & (F.col("y.pos") < F.col("y.n") - overlap + asked)
+                  & sketches_allow("x", "y", percent))
+    return both.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
         F.count(F.lit(1)).alias("found"), F.min(asked).alias("asked")).filter("found >= asked").select("a", "b")
 
 
@@ -302,7 +342,7 @@ def _labels(described: DataFrame, known: DataFrame, *more: str) -> DataFrame:
 
 def class_links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
     """a, b: every pair of classes whose sets reach the threshold, once."""
-    each = classes.select("k1", "k2", "node", F.col("node").alias("component"))
+    each = classes.select("k1", "k2", "node", *SKETCHES, F.col("node").alias("component"), F.lit(1).cast("long").alias("size"))
     return verified(rows, classes, stored(prefix_pairs(rows, each, counts, k, percent), "candidate-pairs"), k, percent)
 
 
@@ -328,14 +368,18 @@ def known_components(rows: DataFrame, k: int, percent: int, unnamed: bool) -> tu
     """The described rows (doc_id, text), and the classes with the components of ``ngram_join``.
 
     Pairs within a component that is already known are not formed: first each
-    class is held against one class of those with the same smallest hash, which
+    class is held against a few of those with the same smallest hash, which
     brings groups of near copies together; the prefix join then looks for all
     links between different components.
     """
     described, classes, counts = classified(rows, k, unnamed)
-    near = verified(rows, classes, stored(star_pairs(classes), "star-pairs"), k, percent)
+    near = verified(rows, classes, stored(near_pairs(classes, percent), "near-pairs"), k, percent)
     reached = components(near).select(F.col("v").alias("node"), "component")
-    labelled = stored(classes.select("k1", "k2", "node").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")), "labels")
+    # Components of several classes only have a size to look up.
+    sizes = reached.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    reached = reached.withColumn("digest", F.xxhash64("component")).join(sizes.withColumn("digest", F.xxhash64("component")), ["digest", "component"]).drop("digest")
+    labelled = classes.select("k1", "k2", "node", *SKETCHES).join(reached, "node", "left")
+    labelled = stored(labelled.withColumn("component", F.coalesce("component", "node")).withColumn("size", F.coalesce("size", F.lit(1))), "labels")
     rest = verified(rows, classes, stored(prefix_pairs(rows, labelled, counts, k, percent), "candidate-pairs"), k, percent)
     return described, _named(classes, near.unionByName(rest))
 

@@ -356,3 +356,41 @@ def test_components_of_the_query_equal_the_join(spark):
     for k, percent in ((4, 85), (2, 50)):
         got = sorted(map(str, ngram_join.ngram_components(df, k=k, percent=percent).collect()))
         assert got == sorted(map(str, ngram_join.ngram_join(df, k=k, percent=percent).drop("n_links").collect()))
+
+
+def test_sketches_never_differ_in_more_bits_than_the_sets():
+    import numpy as np
+    from reviewcap.llm import ngram_join
+    r = np.random.default_rng(5)
+    words = lambda own: np.array(ngram_join.parity_sketch(own), np.int64).view(np.uint8)
+    for size in (0, 1, 40, 500, 20_000):
+        for changed in (0, 1, 7, size // 10, size):
+            x = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+            y = np.unique(np.concatenate([x[changed:], r.integers(0, 2**63, changed).astype(np.uint64)]))
+            differ = int(np.unpackbits(words(x) ^ words(y)).sum())
+            assert differ <= len(np.setxor1d(x, y)) and (differ > 0 or changed == 0 or size > 40)
+
+
+def test_many_near_copies_are_one_component_as_links_say(spark):
+    """Copies of one text, each with other edits: few pairs reach the threshold, and all links still count."""
+    import random as rnd
+    from reviewcap.llm import ngram_join
+    r = rnd.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(80)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(r.randrange(1, 4)):
+            own[r.randrange(80)] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(zip(*[t.split()[j:] for j in range(4)])) for i, t in rows}
+    reach = {i: i for i in sets}
+    for i, j in itertools.combinations(sets, 2):
+        shared = len(sets[i] & sets[j])
+        if 100 * shared >= 85 * (len(sets[i]) + len(sets[j]) - shared):
+            a, b = sorted((reach[i], reach[j]))
+            reach = {k: a if v == b else v for k, v in reach.items()}
+    got = ngram_join.ngram_components(df, k=4, percent=85)
+    assert sorted((x["doc_id"], x["component_id"]) for x in got.collect()) == sorted(reach.items())
+    assert len(set(reach.values())) < 150
