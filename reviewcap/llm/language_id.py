@@ -110,7 +110,8 @@ def text_evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> D
                 own = texts[s]
                 grams, text = _grams(own)
                 n = np.bincount(text, minlength=len(own))
-                sums = np.stack([np.bincount(text, model[grams, j], minlength=len(own)) for j in range(width)], axis=1)
+                # Without any gram (a batch of empty texts) bincount gives whole numbers.
+                sums = np.stack([np.bincount(text, model[grams, j], minlength=len(own)) for j in range(width)], axis=1).astype(np.float64)
                 sums *= np.where(n > 0, np.minimum(1.0, EFFECTIVE / np.maximum(n, 1)), 0.0)[:, None]
                 k = len(own)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * width), pa.array(sums.ravel()))

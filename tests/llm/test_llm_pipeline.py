@@ -67,6 +67,30 @@ def test_pipeline(spark):
     assert sum(r.length for r in pieces) == sum(len(brute.ids_of("word_bpe_49k.json", texts[i], 2)) for i in near)
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Repeated rows, null ids, null and empty texts, columns with the names of working columns; an empty table."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    more = docs.limit(20).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    blank = docs.limit(2).withColumn("doc_id", F.col("doc_id") + 10**6).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit("")))
+    odd = docs.unionByName(more).unionByName(blank)
+    for name in ("node", "component", "k1", "n", "size", "digest"):
+        odd = odd.withColumn(name, F.lit("x"))
+    spark.read.parquet(f"{SF001}/pages.parquet").write.parquet(f"{tmp_path}/odd/pages.parquet")
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    tokens: dict = {}
+    for r in pieces:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    named = {i: n for i, n in tokens.items() if i in texts}
+    assert len(named) >= 0.8 * len(set(texts.values())) and all(n == len(brute.ids_of("word_bpe_49k.json", texts[i], 2)) for i, n in named.items())
+    assert len({texts[i] for i in named}) == len(named)
+    spark.read.parquet(f"{SF001}/pages.parquet").limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert empty.columns == list(pieces[0].asDict()) and empty.count() == 0
+
+
 def test_rest_of_the_library_does_not_need_this():
     import pathlib
     root = pathlib.Path(E.__file__).parent / "reviewcap"
