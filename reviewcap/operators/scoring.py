@@ -17,6 +17,7 @@ from reviewcap.functions import round2_half_even
 from reviewcap.params import LossParams, PlanParams
 
 UNIT = "_unit"
+DEALT_ROWS = 1 << 16  # rule rows that a partition holds on average when they are dealt out by unit
 
 
 def unit_keys(df: DataFrame, units: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -30,6 +31,19 @@ def drop_unit(df: DataFrame) -> DataFrame:
     return df.drop(UNIT) if UNIT in df.columns else df
 
 
+def dealt_by_unit(rows: DataFrame, units: Sequence[str], rules: int = 1) -> DataFrame:
+    """``rows`` (of so many ``rules`` each) dealt out by unit, about ``DEALT_ROWS`` rules to a partition.
+
+    Scoring and assignment collect each unit's rules: on rows that are dealt
+    out they need no other exchange, nothing is collected before it, and what
+    a task holds does not grow with the table.  The rows are counted first.
+    """
+    if not units:
+        return rows
+    parts = max(1, -(-rows.count() * rules // DEALT_ROWS))
+    return rows.repartition(parts, *[F.col(u) for u in units])
+
+
 def budget_col(df: DataFrame, params: PlanParams) -> Column:
     if "budget_weekly_hours" in df.columns:
         return F.col("budget_weekly_hours").cast("double")
@@ -95,15 +109,17 @@ def attach_loss(rule_inputs: DataFrame, loss: DataFrame, loss_params: LossParams
 
     The months are those of the window LOSS was computed with.  ``keys`` are
     planning-unit columns present on both sides when LOSS was computed per
-    unit (``rule_loss(..., by=keys)``); a NULL key is a unit like others.  The
-    join is left to the planner, which measures both sides (AQE).
+    unit (``rule_loss(..., by=keys)``); a NULL key is a unit like others.  Without
+    ``keys`` LOSS has one row per rule of the catalog and is broadcast, so that
+    the inputs stay where they are (a join by rule name would deal them out by a
+    few names); with ``keys`` the planner, which measures both sides, decides (AQE).
     """
     lk = rounded_rule_loss(loss, keys).withColumnsRenamed(
         {"rule_group": "_rule_group", **{k: f"_key_{k}" for k in keys}})
     cond = rule_inputs["rule_name"] == lk["_rule_group"]
     for k in keys:
         cond = cond & rule_inputs[k].eqNullSafe(lk[f"_key_{k}"])
-    j = rule_inputs.join(lk, cond, "left").drop("_rule_group", *[f"_key_{k}" for k in keys])
+    j = rule_inputs.join(lk if keys else F.broadcast(lk), cond, "left").drop("_rule_group", *[f"_key_{k}" for k in keys])
     avg = F.coalesce(F.col("_avg_loss"), F.lit(0.0))
     return j.withColumns({
         "avg_fraud_volume_per_problematic_merchant": avg,
@@ -129,7 +145,7 @@ def priority_scores(with_loss: DataFrame, params: PlanParams, precision_col: str
     rules (bounded by the catalog) are collected once, ``array_max`` gives the
     maxima and ``transform`` scores every rule, then ``inline`` returns rows.
     One aggregation per unit - the same hash exchange the assignment fold
-    uses - with no window (never a single-partition one) and no subquery
+    uses, or none on rows of ``dealt_by_unit`` - with no window (never a single-partition one) and no subquery
     that would recompute the upstream LOSS.
     """
     precision_col = precision_col or params.precision_col

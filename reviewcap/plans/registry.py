@@ -29,6 +29,7 @@ from reviewcap.params import DEFAULT_PLAN, FIXTURE_LOSS, FIXTURE_PRECISION
 from reviewcap.session import ensure_checkpoint_dir
 from reviewcap.sources import (fixture_customers, fixture_tables, load_rule_inputs, published_rule_inputs,
                                unit_portfolios)
+from reviewcap.sources.rule_inputs import PUBLISHED_RULE_INPUTS
 from reviewcap.sources.sinks import publish_result, read_published
 
 EMPTY_AS_OF = dt.date(2031, 1, 1)  # after every case of the given tables
@@ -136,8 +137,14 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     return unit_portfolios(fixture_customers(spark, sf))
 
 
+def _dealt_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of each unit in one partition: the customers are dealt out, before each becomes many rows."""
+    customers = S.dealt_by_unit(fixture_customers(spark, sf), ("c_custkey",), len(PUBLISHED_RULE_INPUTS))
+    return unit_portfolios(customers)
+
+
 def _scored_units(spark: SparkSession, sf: str, precision_col: str) -> DataFrame:
-    with_loss = S.attach_loss(_units(spark, sf), rule_loss(spark, sf), FIXTURE_LOSS)
+    with_loss = S.attach_loss(_dealt_units(spark, sf), rule_loss(spark, sf), FIXTURE_LOSS)
     return S.priority_scores(with_loss, DEFAULT_PLAN, precision_col, UNITS)
 
 
@@ -166,7 +173,7 @@ def _prioritisation(precision_col: str) -> Query:
 
 def review_assignment_null_precision(spark: SparkSession, sf: str) -> DataFrame:
     """Plans in which a fifth of the rules have no precision, hence no score: they are visited last."""
-    inputs = _units(spark, sf).withColumn("rule_precision_l3m", F.when(
+    inputs = _dealt_units(spark, sf).withColumn("rule_precision_l3m", F.when(
         (F.col("unit") + F.col("pos")) % 5 != 0, F.col("rule_precision_l3m")))
     with_loss = S.attach_loss(inputs, rule_loss(spark, sf), FIXTURE_LOSS)
     scored = S.priority_scores(with_loss, DEFAULT_PLAN, "rule_precision_l3m", UNITS)
@@ -177,7 +184,7 @@ def review_assignment_null_precision(spark: SparkSession, sf: str) -> DataFrame:
 def review_assignment_from_table(spark: SparkSession, sf: str) -> DataFrame:
     """Plans per unit from a stored parameter table, read and validated."""
     table = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reviewcap-stored/parameters-{uuid.uuid4().hex}"
-    _units(spark, sf).write.parquet(table)
+    _dealt_units(spark, sf).write.parquet(table)
     inputs = load_rule_inputs(spark, table, UNITS)
     with_loss = S.attach_loss(inputs, rule_loss(spark, sf), FIXTURE_LOSS)
     plan = A.review_assignment(S.priority_scores(with_loss, DEFAULT_PLAN, units=UNITS), DEFAULT_PLAN, UNITS)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewcap.operators.scoring import dealt_by_unit
 from reviewcap.params import REVIEW_TYPES
 from reviewcap.sources.schemas import RULE_INPUTS, conform
 
@@ -94,8 +95,8 @@ def validated_rule_inputs(df: DataFrame, units: Sequence[str] = ()) -> DataFrame
 
 
 def load_rule_inputs(spark: SparkSession, path: str, units: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
-    """The parameter table (rule inputs, and unit columns if any) stored at ``path``, validated."""
-    return validated_rule_inputs(spark.read.format(fmt).load(path), units)
+    """The parameter table (rule inputs, and unit columns if any) stored at ``path``, dealt out by unit and validated."""
+    return validated_rule_inputs(dealt_by_unit(spark.read.format(fmt).load(path), units), units)
 
 
 def _input_structs() -> F.Column:
