@@ -17,6 +17,7 @@ import os
 import re
 import struct
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,16 +44,15 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
-    """Letters of Latin-1 as the byte-level alphabet writes their two UTF-8 bytes.
+def _byte_faces() -> str:
+    """The 256 bytes as the byte-level alphabet writes them.
 
     That alphabet shows printable bytes as the character of the same number
     and the others, in order, as the characters from 256 on.
     """
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    face = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-    return {c: "".join(face[b] for b in chr(c).encode()) for c in range(192, 256)}
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
 
 
 class _Kept(dict):
@@ -82,28 +82,35 @@ class Encoder:
         self.model = self.library.model
         self.lower = self.library.normalizer is not None
         self.before = "" if self.lower else "Ġ"
-        self.letters = _byte_letters()
+        self.faces = _byte_faces()
         self.tokens = _Kept(self._token, kept)
         self.parts = _Kept(self._part, kept)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run(self, run: str, before: str = "") -> bytes:
+        """The ids of a run of letters or marks, a pre-token."""
+        shown = run if run.isascii() else charmap_decode(run.encode(), "strict", self.faces)[0]
+        return array("I", [t.id for t in self.model.tokenize(before + shown)]).tobytes()
+
     def _token(self, pre_token: str) -> bytes:
-        """The ids of a run of letters or marks, or of a line end."""
+        """The ids of a run within a part, or of a line end."""
         if pre_token == "\n":
             return b"" if self.lower else self._whole(["\n"])[0]
-        shown = pre_token if pre_token.isascii() else pre_token.translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return self._run(pre_token)
 
     def _part(self, part: str) -> bytes:
         """The ids of a part that follows a space."""
+        if part.isalpha() and part.isascii():
+            return self._run(part.lower() if self.lower else part, self.before)
         if _PLAIN.fullmatch(part) is None:
             return self._whole([" " + part])[0]
         runs = _RUNS.findall(part.lower() if self.lower else part)
-        runs[0] = self.before + runs[0]
+        if len(runs) == 1:
+            return self._run(runs[0], self.before)
         get = self.tokens.__getitem__
-        return get(runs[0]) if len(runs) == 1 else b"".join([get(r) for r in runs])
+        return self.parts[runs[0]] + b"".join([get(r) for r in runs[1:]])  # the first run is a part too
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -112,12 +119,18 @@ class Encoder:
         return [first + b"".join(map(get, parts[1:])) for first, parts in zip(self._whole([p[0] for p in cut]), cut)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
+    """One encoder for each Python worker: that of the file used last."""
     return Encoder(path)
 
 
+def release() -> None:
+    """Give back the encoder that an earlier stage left in this Python worker."""
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def batches(texts: list[str], most_chars: int = 1_000_000):
     """Slices of ``texts`` of about ``most_chars`` characters (one text at least)."""
     start = size = 0

@@ -52,29 +52,37 @@ _HEAD = "<4sHHIIQIQ"
 # ---- ids of texts ---------------------------------------------------------
 
 def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary, little-endian u32): the ids of each whole text and the end id."""
+    """Rows of two kinds: doc_id, ids (binary, little-endian u32), the ids of each whole text and the end id;
+    and id, n, how often an id occurs among those of a task (null in the others)."""
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: encoded_batches(it, path, end_id), "doc_id long, ids binary")
+    names = ["doc_id", "ids", "id", "n"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in encoded_batches(it, path, end_id):
+            total = added(total, batch.column(1))
+            yield pa.record_batch([*batch.columns, pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.int64())], names)
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.binary()), pa.array(seen.astype(np.int32)), pa.array(total[seen])], names)
+
+    return rows.mapInArrow(run, "doc_id long, ids binary, id int, n long")
 
 
 # ---- the code -------------------------------------------------------------
 
-def id_counts(ids: DataFrame) -> DataFrame:
-    """id, n over all ids: counted in each task, then summed by id."""
+def added(total: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """``total`` and how often each id occurs in ``ids`` (binary)."""
+    got = np.bincount(np.frombuffer(b"".join(ids.to_pylist()), np.uint32))
+    if len(got) > len(total):
+        got[:len(total)] += total
+        return got
+    total[:len(got)] += got
+    return total
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in it:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32))
-            if len(got) > len(total):
-                got[:len(total)] += total
-                total = got
-            else:
-                total[:len(got)] += got
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def id_counts(ids: DataFrame) -> DataFrame:
+    """id, n over all ids: counted in each task as they were made, then summed by id."""
+    return ids.filter("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -174,7 +182,7 @@ def decode_blocks(stream: bytes, offsets: np.ndarray, tokens: np.ndarray, table:
 # ---- files ----------------------------------------------------------------
 
 def write_token_files(ids: DataFrame) -> DataFrame:
-    """part, segment, n_docs, n_tokens, image: the files of a table ``doc_id, ids``, in order of doc_id.
+    """part, segment, n_docs, n_tokens, image: the files of a table of ``token_ids``, in order of doc_id.
 
     ``ids`` should be a stored table: it is read for the counts and again for the encoding.
     """
@@ -184,6 +192,7 @@ def write_token_files(ids: DataFrame) -> DataFrame:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     codes = canonical(lengths)
+    ids = ids.filter("id IS NULL")
 
     # Ranges of the ids come from the ids alone, so that nothing is encoded twice to find them.
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
