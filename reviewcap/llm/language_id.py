@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import batches
+from .bpe import batches, release
 from .common import col, stored
 
 GRAM_BITS = 16  # hashed 4-grams: 2**16 of them
@@ -77,6 +77,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     rows = rows.filter((F.col("order") <= F.lit(last)) | F.col("own_order").isNotNull()).select("label", "text")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             labels = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -104,6 +105,7 @@ def text_evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> D
     width = len(languages) + 1
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             texts = [t or "" for t in batch.column(3).to_pylist()]
             for s in batches(texts):

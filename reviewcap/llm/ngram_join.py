@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import batches
+from .bpe import batches, release
 from .common import col, one_of_repeated, stored
 from .components import components
 
@@ -107,6 +107,7 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    release()
     ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
     for s in batches(texts):
         yield from zip(ids[s], shingle_sets(texts[s], k))
