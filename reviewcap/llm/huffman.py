@@ -46,6 +46,7 @@ from .common import col, stored
 MAX_BITS = 18
 BLOCK = 512
 IMAGE_BYTES = 4 << 20  # an image is closed when its bit stream has this many bytes
+GATHERED = 1 << 17  # tokens that are encoded at once
 _HEAD = "<4sHHIIQIQ"
 
 
@@ -141,24 +142,34 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return ids, bits, most
 
 
+def encode_documents(ids: np.ndarray, n: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bit streams of documents of so many tokens each (whole bytes, one after the other), the bytes of each,
+    and the bit offset of each token in its document's stream."""
+    kind = np.int32 if len(ids) < 1 << 25 else np.int64
+    bits = lengths[ids]
+    starts = np.cumsum(bits, dtype=kind)
+    ends = np.concatenate([np.zeros(1, kind), starts])[np.cumsum(n)]
+    total = np.diff(ends, prepend=kind(0))
+    sizes = (total + 7) // 8
+    starts -= bits
+    own = starts - np.repeat(ends - total, n)
+    starts = own + np.repeat((np.cumsum(sizes, dtype=kind) - sizes) * 8, n)
+    # A code word of at most 32 bits lies in two neighbouring words of 32 bits, which are added up as one of 64.
+    word = starts >> 5
+    placed = codes[ids] << (64 - (starts & 31) - bits).astype(np.uint64)
+    out = np.zeros(int(sizes.sum()) // 4 + 3, np.uint32)
+    if len(ids):
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        summed, at = np.add.reduceat(placed, first), word[first]
+        out[at] = summed >> np.uint64(32)
+        out[at + 1] |= summed.astype(np.uint32)
+    return out.astype(">u4").tobytes()[: int(sizes.sum())], sizes, own
+
+
 def encode_ids(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bit stream of a document (whole bytes) and the bit offset of each block."""
-    if not len(ids):
-        return b"", np.zeros(0, np.uint64)
-    bits = lengths[ids].astype(np.uint64)
-    ends = np.cumsum(bits)
-    starts = ends - bits
-    word, room = (starts >> np.uint64(6)).astype(np.int64), np.uint64(64) - (starts & np.uint64(63))
-    own = codes[ids]
-    over = bits > room
-    left = np.where(over, own >> np.where(over, bits - room, 0).astype(np.uint64),
-                    own << np.where(over, 0, room - bits).astype(np.uint64))
-    out = np.zeros(int(ends[-1] >> np.uint64(6)) + 2, np.uint64)
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    out[word[first]] = np.add.reduceat(left, first)
-    spill = np.flatnonzero(over)
-    out[word[spill] + 1] += own[spill] << (np.uint64(64) - (bits[spill] - room[spill]))
-    return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], starts[::BLOCK]
+    stream, _, starts = encode_documents(ids, np.array([len(ids)]), codes, lengths)
+    return stream, starts[::BLOCK].astype(np.uint64)
 
 
 def decode_blocks(stream: bytes, offsets: np.ndarray, tokens: np.ndarray, table: tuple) -> np.ndarray:
@@ -202,14 +213,17 @@ def write_token_files(ids: DataFrame) -> DataFrame:
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            n, payload, blocks = [], [], []
+            payload, blocks = [], []
             to = np.searchsorted(borders, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
-            for b in batch.column(1):
-                own = np.frombuffer(b.as_buffer(), np.uint32)
-                stream, offsets = encode_ids(own, codes, lengths)
-                n.append(len(own))
-                payload.append(stream)
-                blocks.append(offsets.tobytes())
+            held = batch.column(1).to_pylist()
+            n = np.array([len(b) // ID_BYTES for b in held], np.int64)
+            before = np.cumsum(n) - n
+            for group in np.split(np.arange(len(n)), np.flatnonzero(np.diff(before // GATHERED)) + 1):
+                own = np.frombuffer(b"".join([held[i] for i in group]), np.uint32)
+                stream, sizes, starts = encode_documents(own, n[group], codes, lengths)
+                ends, at = np.cumsum(sizes).tolist(), (before[group] - before[group[:1]]).tolist()
+                payload += [stream[a:b] for a, b in zip([0, *ends], ends)]
+                blocks += [starts[a:a + k:BLOCK].astype(np.uint64).tobytes() for a, k in zip(at, n[group].tolist())]
             yield pa.record_batch([pa.array(to), batch.column(0), pa.array(n, pa.int64()), pa.array(payload, pa.binary()), pa.array(blocks, pa.binary())], ["to", "doc_id", "n", "payload", "blocks"])
 
     def image(ids_: list, n: list, payload: list, blocks: list) -> bytes:
