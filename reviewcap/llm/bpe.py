@@ -49,7 +49,7 @@ _JOINED = "\0"  # begins a part that does not follow a space
 _WORD = rf"^\x00?[{_LETTERS}]+$"
 
 MANY = 100_000  # characters from which texts are encoded by ``Bulk``
-GATHERED = 8_000_000  # characters of texts that are encoded at once
+GATHERED = 3_000_000  # characters of texts that are encoded at once
 WORDS = 1 << 15  # new words that go to the library at once
 LONG = 1 << 26  # characters of a text that Arrow is not given, as its offsets have 32 bits
 SHORT = 8  # characters of a part or pre-token that is kept longest
@@ -155,7 +155,7 @@ class Encoder:
 class Bulk:
     """Many texts at once to ids: ``parts`` (each distinct part, as cut) and ``ids`` (its ids) hold up to ``kept`` of them."""
 
-    def __init__(self, encoder: Encoder, kept: int = 1 << 20):
+    def __init__(self, encoder: Encoder, kept: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder, self.kept = encoder, kept
