@@ -52,7 +52,7 @@ GATHERED = 1 << 20  # shingles that are counted at once
 MARKS = 1 << 22  # of the bitmap of classes that are in a candidate pair
 ORDERS = 8  # smallest hashes kept of a set
 AGREED = 3  # of these that two sets share before they are compared on the way to known components
-NEXT = 3  # classes that each is compared with under each order, of those with the same smallest hash
+NEXT = 8  # classes that each is compared with under each order, of those with the same smallest hash
 BLOCK = 1 << 10  # classes with the same smallest hash that are dealt together
 SKETCH = 8  # words of 64 bits in a set's parity sketch
 GROUPED = 1 << 20  # shingles of whole sets that a task sends at once
@@ -255,9 +255,10 @@ def near_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """a, b: each class with the NEXT ones of a random row of those with its smallest hash, where AGREED hashes and the sketches allow a link.
 
     These are at most ORDERS * NEXT pairs a class, however large its group of
-    near copies is.  Each order deals the group anew, so that links between a
-    few random pairs a class bring nearly all of it together even where only one
-    pair of ten reaches the threshold; what they leave apart the prefix join finds.
+    near copies is.  Each order deals the group anew, so that links between some
+    random pairs a class bring nearly all of it together even where only one pair of
+    ten reaches the threshold: of 64 pairs a class, some six link.  What they leave
+    apart the prefix join finds, whose rows are as many as are left apart times the group.
     """
     each = classes.select("node", F.posexplode(F.array(*MINS)).alias("j", "m")).withColumn("digest", F.xxhash64("j", "m"))
     members = each.groupBy("digest", "j", "m").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
